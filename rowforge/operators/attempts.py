@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowforge.operators.normalize import DONE, FAILED, INVALID, PENDING
+from rowforge.operators.normalize import DONE, FAILED, INVALID, PENDING, row_errors
 from rowforge.operators.ordered import latest, number_rows
 
 
@@ -68,10 +68,12 @@ def file_status(jobs: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
-def file_errors(errors: DataFrame, attempts: DataFrame) -> DataFrame:
-    """Errors of each row's latest run, ordered for reading."""
-    last = latest_attempts(attempts).select("source_row_id", "run_id")
-    return errors.join(last, ["source_row_id", "run_id"], "left_semi").orderBy("file_job_id", "row_number", "field")
+def file_errors(row_results: DataFrame) -> DataFrame:
+    """Errors of each row's latest run, ordered for reading. The errors travel with the
+    results, so one aggregate finds the latest run and its errors together."""
+    keep = ("source_row_id", "file_job_id", "row_number", "run_id")
+    last = latest(row_results.select(*keep, "status", "errors"), ["source_row_id"], ["run_id"])
+    return row_errors(last, keep).orderBy("file_job_id", "row_number", "field")
 
 
 def page(df: DataFrame, order: list[str], after: list | None, n: int) -> DataFrame:

@@ -85,3 +85,47 @@ def with_previous(
         .withColumn(out, _last("_seen", depth))
         .select(*df.columns, out)
     )
+
+
+def with_next(df: DataFrame, keys: list[str], at: str, value: str, seconds: int = 86400, out: str = "next") -> DataFrame:
+    """``value`` of the following row of the key in time order, null for the last."""
+    back = -F.unix_micros(F.col(at).cast("timestamp"))
+    seen = with_previous(
+        df.withColumn("_back", back), keys, ["_back"], [value],
+        F.floor(F.col("_back") / F.lit(seconds * 1_000_000)).cast("bigint"),
+    )
+    return seen.withColumn(out, F.try_element_at("previous", F.lit(1))[value]).drop("_back", "previous")
+
+
+def as_of(
+    left: DataFrame, right: DataFrame, keys: list[str], left_at: str, right_at: str, cols: list[str],
+    seconds: int = 86400,
+) -> DataFrame:
+    """Each left row with ``cols`` of the last right row at or before its time (null when none).
+
+    Both sides meet in (key, time range) windows; one carried value per range brings in
+    the state left by earlier ranges, so neither side is broadcast or held per key."""
+    payload = F.struct(*cols)
+    events = (
+        left.select(*keys, F.col(left_at).alias("_at"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
+        .withColumn("_value", F.lit(None).cast(right.select(payload.alias("p")).schema["p"].dataType))
+        .unionByName(
+            right.select(*keys, F.col(right_at).alias("_at"), F.lit(0).alias("_side"), payload.alias("_value")),
+            allowMissingColumns=True,
+        )
+        .withColumn(RANGE, time_range(F.col("_at"), seconds))
+    )
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        events.groupBy(*keys, RANGE)
+        .agg(F.max_by("_value", F.when(F.col("_side") == 0, F.col("_at"))).alias("_end"))
+        .select(*keys, RANGE, F.last("_end", ignorenulls=True).over(earlier).alias("_carried"))
+    )
+    so_far = Window.partitionBy(*keys, RANGE).orderBy("_at", "_side")
+    return (
+        events.withColumn("_seen", F.last("_value", ignorenulls=True).over(so_far))
+        .filter(F.col("_side") == 1)
+        .join(carried, [*keys, RANGE])
+        .withColumn("_hit", F.coalesce("_seen", "_carried"))
+        .select("_row.*", *[F.col("_hit")[c].alias(c) for c in cols])
+    )
