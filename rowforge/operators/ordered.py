@@ -129,3 +129,37 @@ def as_of(
         .withColumn("_hit", F.coalesce("_seen", "_carried"))
         .select("_row.*", *[F.col("_hit")[c].alias(c) for c in cols])
     )
+
+
+def percentiles(df: DataFrame, keys: list[str], value: str, shares: dict[str, float], span: Column) -> DataFrame:
+    """Nearest-rank percentiles per key, exact, without holding a key's values in one task.
+
+    Equal values are counted first, then counted up per (key, value range)."""
+    freq = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")).withColumn(RANGE, span)
+    before = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    ranges = (
+        freq.groupBy(*keys, RANGE)
+        .agg(F.sum("_n").alias("_rows"))
+        .select(
+            *keys, RANGE, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"),
+            F.sum("_rows").over(whole).alias("_total"),
+        )
+    )
+    up_to = Window.partitionBy(*keys, RANGE).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (
+        freq.withColumn("_up", F.sum("_n").over(up_to))
+        .join(ranges, [*keys, RANGE])
+        .withColumn("_high", F.col("_up") + F.col("_offset"))
+    )
+    hits = [
+        F.max(
+            F.when(
+                (F.ceil(F.col("_total") * share) <= F.col("_high"))
+                & (F.ceil(F.col("_total") * share) > F.col("_high") - F.col("_n")),
+                F.col(value),
+            )
+        ).alias(name)
+        for name, share in shares.items()
+    ]
+    return ranked.groupBy(*keys).agg(*hits)

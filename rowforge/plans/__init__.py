@@ -2,6 +2,6 @@
 
 
 def registered():
-    from rowforge.plans import catalog, configs, core, intake  # noqa: F401
+    from rowforge.plans import catalog, configs, core, formats, intake  # noqa: F401
 
     return dict(catalog.QUERIES), dict(catalog.ORACLES)
