@@ -57,6 +57,8 @@ def row_errors(results: DataFrame, keep: tuple[str, ...] = LINEAGE) -> DataFrame
 
 def preview(df: DataFrame, fields: list[C.Field], n: int, order: list[str], keep: tuple[str, ...] = LINEAGE) -> DataFrame:
     """First ``n`` rows with the text before and the value after each rule; writes nothing."""
+    if any(f.source == f.target for f in fields):
+        raise ValueError("preview needs source and target names that differ")
     sample = df.orderBy(*order).limit(n)
     result = normalize(sample, fields, keep + tuple(dict.fromkeys(f.source for f in fields)))
     cells = F.array(
@@ -67,9 +69,7 @@ def preview(df: DataFrame, fields: list[C.Field], n: int, order: list[str], keep
             )
             for f in fields
         ]
-    ) if all(f.source != f.target for f in fields) else None
-    if cells is None:
-        raise ValueError("preview needs source and target names that differ")
+    )
     reasons = F.map_from_entries("errors")
     return result.select(*keep, "status", F.explode(cells).alias("c"), reasons.alias("_r")).select(
         *keep, "status", "c.field", "c.before", "c.after", F.try_element_at("_r", F.col("c.field")).alias("reason")
