@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.functions.arrays import present
 from rowforge.functions.text import blank_to_null, error_category
 
 
@@ -48,7 +49,7 @@ def flagged(name: str, reason: str, number: int, flag: str) -> Check:
 
 def with_violations(df: DataFrame, checks: list[Check], out: str = "violations") -> DataFrame:
     items = [
-        F.when(
+        (
             k.violated,
             F.struct(
                 F.lit(k.field).alias("field"), F.lit(k.reason).alias("reason"), F.lit(k.number).alias("number"),
@@ -57,7 +58,7 @@ def with_violations(df: DataFrame, checks: list[Check], out: str = "violations")
         )
         for k in checks
     ]
-    return df.withColumn(out, F.array_compact(F.array(*items)))
+    return df.withColumn(out, present(items))
 
 
 def violations(df: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:

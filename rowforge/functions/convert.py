@@ -9,6 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rowforge.functions.arrays import present
 from rowforge.functions.text import blank_to_null
 
 # Reasons written to row errors.
@@ -118,8 +119,11 @@ def reason(raw: Column, value: Column, f: Field) -> Column:
     return out
 
 
+NO_ERRORS = "array<struct<field:string,reason:string>>"
+
+
 def all_errors(pairs: list[tuple[str, Column]]) -> Column:
     """array<struct<field,reason>> of every failing field, in field order."""
-    return F.array_compact(
-        F.array(*[F.when(r.isNotNull(), F.struct(F.lit(n).alias("field"), r.alias("reason"))) for n, r in pairs])
-    )
+    items = [(r.isNotNull(), F.struct(F.lit(n).alias("field"), r.alias("reason"))) for n, r in pairs]
+    good = F.coalesce(*[r for _, r in pairs]).isNull()
+    return F.when(good, F.array().cast(NO_ERRORS)).otherwise(present(items).cast(NO_ERRORS))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.functions.arrays import present
 from rowforge.functions.keys import archive_path
 
 
@@ -43,11 +44,11 @@ def archive_plan(jobs: DataFrame) -> DataFrame:
 
 def pending_finalization(jobs: DataFrame) -> DataFrame:
     """Mapped jobs that still owe an archive move or a notification, without mapping them again."""
-    owes = F.array_compact(
-        F.array(
-            F.when(F.col("archive_status").isin("NotArchived", "ArchiveFailed"), "archive"),
-            F.when(F.col("notification_status") != "Sent", "notification"),
-        )
+    owes = present(
+        [
+            (F.col("archive_status").isin("NotArchived", "ArchiveFailed"), F.lit("archive")),
+            (F.col("notification_status") != "Sent", F.lit("notification")),
+        ]
     )
     return (
         jobs.filter(F.col("state").isin("Succeeded", "PartiallySucceeded"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.functions.arrays import present
 from rowforge.session import stage
 
 
@@ -30,18 +31,16 @@ def parity(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
     cols = [c for c in a.columns if c not in key]
     text = lambda df, name: df.select(*key, F.struct(*[F.col(c).cast("string").alias(c) for c in cols]).alias(name))
     joined = text(a, "_a").join(text(b, "_b"), key, "full")
-    cells = F.array_compact(
-        F.array(
-            F.when(F.col("_a").isNull(), _cell("(row)", F.lit("missing"), F.lit("present"))),
-            F.when(F.col("_b").isNull(), _cell("(row)", F.lit("present"), F.lit("missing"))),
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    cells = present(
+        [
+            (F.col("_a").isNull(), _cell("(row)", F.lit("missing"), F.lit("present"))),
+            (F.col("_b").isNull(), _cell("(row)", F.lit("present"), F.lit("missing"))),
             *[
-                F.when(
-                    F.col("_a").isNotNull() & F.col("_b").isNotNull() & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")),
-                    _cell(c, F.col(f"_a.{c}"), F.col(f"_b.{c}")),
-                )
+                (both & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), _cell(c, F.col(f"_a.{c}"), F.col(f"_b.{c}")))
                 for c in cols
             ],
-        )
+        ]
     )
     return joined.select(*key, F.inline(cells))
 

@@ -14,13 +14,13 @@ from rowforge.sources.lines import value_columns
 # ---- selection ----------------------------------------------------------
 
 
+def open_headers(headers: DataFrame, system_id: str) -> DataFrame:
+    return headers.filter((F.col("system_id") == system_id) & (F.coalesce("exp_flag", F.lit("N")) == "N"))
+
+
 def not_exported(headers: DataFrame, system_id: str) -> DataFrame:
     """Distinct transactions of a system whose export flag is not set."""
-    return (
-        headers.filter((F.col("system_id") == system_id) & (F.coalesce("exp_flag", F.lit("N")) == "N"))
-        .select("trans_id")
-        .distinct()
-    )
+    return open_headers(headers, system_id).select("trans_id").distinct()
 
 
 def join_details(headers: DataFrame, details: DataFrame) -> DataFrame:
@@ -29,7 +29,7 @@ def join_details(headers: DataFrame, details: DataFrame) -> DataFrame:
 
 def export_selection(headers: DataFrame, details: DataFrame, system_id: str, condition: Column) -> DataFrame:
     """Header → file name → detail. The detail filter reaches the scan before the join."""
-    wanted = headers.join(not_exported(headers, system_id), "trans_id", "left_semi").select("trans_id", "ref_no")
+    wanted = open_headers(headers, system_id).select("trans_id", "ref_no").distinct()
     return join_details(wanted, details.filter(condition))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions import convert as C
+from rowforge.functions.arrays import settled
 from rowforge.functions.text import blank_to_null
 
 LINEAGE = ("source_row_id", "file_job_id", "row_number")
@@ -31,14 +32,18 @@ def with_staging_columns(df: DataFrame, file: Column, day: Column, trans_id: Col
 def normalize(df: DataFrame, fields: list[C.Field], keep: tuple[str, ...] = LINEAGE) -> DataFrame:
     """Typed columns, ``errors`` with every failing field, and ``status``.
 
-    Three stacked projections: trim, convert, judge. Each text is trimmed and
-    parsed once and the whole operator stays inside one generated stage."""
-    raw = {f.target: f"_raw_{f.target}" for f in fields}
-    trimmed = df.select(*keep, *[blank_to_null(F.col(f.source)).alias(raw[f.target]) for f in fields])
-    valued = trimmed.select("*", *[C.converted(F.col(raw[f.target]), f).alias(f.target) for f in fields])
-    errors = C.all_errors([(f.target, C.reason(F.col(raw[f.target]), F.col(f.target), f)) for f in fields])
-    return valued.select(*keep, *[f.target for f in fields], errors.alias("errors")).withColumn(
-        "status", F.when(F.size("errors") == 0, DONE).otherwise(INVALID)
+    Stacked projections: trim, convert, judge, collect. Each text is trimmed and parsed
+    once, also when the result is filtered by status afterwards."""
+    names = [f.target for f in fields]
+    trimmed = df.select(*keep, *[blank_to_null(F.col(f.source)).alias(f"_raw_{f.target}") for f in fields])
+    valued = trimmed.select("*", *[C.converted(F.col(f"_raw_{f.target}"), f).alias(f.target) for f in fields])
+    judged = valued.select(
+        *keep, *names, *[C.reason(F.col(f"_raw_{f.target}"), F.col(f.target), f).alias(f"_why_{f.target}") for f in fields]
+    )
+    why = {n: F.col(f"_why_{n}") for n in names}
+    status = F.when(F.coalesce(*why.values()).isNull(), DONE).otherwise(INVALID)
+    return settled(
+        judged, keep, [*[F.col(n) for n in names], C.all_errors(list(why.items())).alias("errors"), status.alias("status")]
     )
 
 

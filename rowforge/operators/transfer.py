@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.functions.arrays import present, settled
 from rowforge.functions.rules import Predicate, TargetMap, all_of, column_expr, conversion_failed
 from rowforge.operators.ordered import latest
 
@@ -62,20 +65,19 @@ def resolve_headers(deliveries: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def target_rows(df: DataFrame, target: TargetMap, keep: tuple[str, ...]) -> DataFrame:
-    """Rows of one target that pass its filter and convert completely."""
-    failed = target_failed(target)
-    return df.filter(all_of(target.where) & ~failed).select(
-        *keep, *[column_expr(m, target.conditions) for m in target.columns]
+    """Rows of one target that pass its filter and convert completely, each converted once."""
+    judged = settled(
+        df.filter(all_of(target.where)), keep,
+        [*[column_expr(m, target.conditions) for m in target.columns], target_failed(target).alias("_failed")],
     )
+    return judged.filter(~F.col("_failed")).drop("_failed")
 
 
 def target_failed(target: TargetMap) -> Column:
+    """True when any directly mapped column has text that does not convert."""
     special = {c.target for c in target.conditions}
-    out = F.lit(False)
-    for m in target.columns:
-        if m.target not in special:
-            out = out | conversion_failed(m)
-    return out
+    failures = [conversion_failed(m) for m in target.columns if m.target not in special]
+    return reduce(lambda a, b: a | b, failures, F.lit(False))
 
 
 def fan_out(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...]) -> dict[str, DataFrame]:
@@ -87,7 +89,7 @@ def operations(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...], o
     """One operation per row and target with its own result. All targets are judged in
     one pass over the rows, not one pass each."""
     judged = [
-        F.when(
+        (
             all_of(t.where),
             F.struct(
                 F.lit(t.target_id).alias("target_id"), F.lit(t.sequence).alias("sequence"),
@@ -97,7 +99,7 @@ def operations(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...], o
         )
         for t in sorted(targets, key=lambda t: t.sequence)
     ]
-    return df.select(*keep, F.explode(F.array_compact(F.array(*judged))).alias("o")).select(*keep, "o.*")
+    return df.select(*keep, F.inline(present(judged)))
 
 
 def with_union(df: DataFrame, primary: TargetMap, union: TargetMap, keep: tuple[str, ...]) -> DataFrame:

@@ -2,6 +2,6 @@
 
 
 def registered():
-    from rowforge.plans import catalog, configs, core, formats, intake, operations, transfer  # noqa: F401
+    from rowforge.plans import catalog, configs, core, formats, intake, operations, streams, transfer  # noqa: F401
 
     return dict(catalog.QUERIES), dict(catalog.ORACLES)
