@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.arrays import present
-from rowforge.functions.text import blank_to_null, error_category
+from rowforge.functions.text import error_category, non_blank, with_trimmed
 
 
 @dataclass(frozen=True)
@@ -17,25 +18,25 @@ class Check:
     reason: str
     number: int
     violated: Column
+    trim: bool = False
 
 
 def required(name: str) -> Check:
-    return Check(name, "Required", 515, blank_to_null(F.col(name)).isNull())
+    return Check(name, "Required", 515, ~non_blank(F.col(name)))
 
 
 def max_len(name: str, n: int) -> Check:
     return Check(name, "TooLong", 2628, F.length(F.col(name)) > n)
 
 
-def convertible(name: str, value: Column) -> Check:
-    return Check(name, "NotConvertible", 241, blank_to_null(F.col(name)).isNotNull() & value.isNull())
+def convertible(name: str, converter: Callable[[Column], Column]) -> Check:
+    text = F.col(f"_t_{name}")
+    return Check(name, "NotConvertible", 241, (F.coalesce(text, F.lit("")) != "") & converter(text).isNull(), trim=True)
 
 
 def fits(name: str, precision: int, scale: int) -> Check:
-    """A well-formed number too large for decimal(precision, scale)."""
-    whole = F.ltrim(F.regexp_replace(F.split_part(F.col(name), F.lit("."), F.lit(1)), "^[+-]", ""), F.lit("0"))
-    number = F.col(name).rlike(r"^[+-]?[0-9]+(\.[0-9]*)?$")
-    return Check(name, "Overflow", 8115, number & (F.length(whole) > precision - scale))
+    """A well-formed number with more whole digits than decimal(precision, scale) holds."""
+    return Check(name, "Overflow", 8115, F.col(name).rlike(rf"^[+-]?0*[1-9][0-9]{{{precision - scale},}}(\.[0-9]*)?$"))
 
 
 def check(name: str, holds: Column, reason: str = "CheckFailed") -> Check:
@@ -47,24 +48,21 @@ def flagged(name: str, reason: str, number: int, flag: str) -> Check:
     return Check(name, reason, number, F.coalesce(F.col(flag), F.lit(False)))
 
 
-def with_violations(df: DataFrame, checks: list[Check], out: str = "violations") -> DataFrame:
+def violations(df: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
+    """One row per violated check and input row.
+
+    Checks become boolean columns first; exploding a ready-made array column instead
+    would make the optimizer filter on its size and evaluate every check twice."""
+    flags = [k.violated.alias(f"_bad_{i}") for i, k in enumerate(checks)]
     items = [
         (
-            k.violated,
+            F.col(f"_bad_{i}"),
             F.struct(
                 F.lit(k.field).alias("field"), F.lit(k.reason).alias("reason"), F.lit(k.number).alias("number"),
                 error_category(F.lit(k.number)).alias("category"),
             ),
         )
-        for k in checks
+        for i, k in enumerate(checks)
     ]
-    return df.withColumn(out, present(items))
-
-
-def violations(df: DataFrame, keys: list[str], checks: list[Check]) -> DataFrame:
-    """One row per violated check and input row."""
-    return (
-        with_violations(df, checks)
-        .select(*keys, F.explode("violations").alias("v"))
-        .select(*keys, "v.field", "v.reason", "v.number", "v.category")
-    )
+    texts = with_trimmed(df, [k.field for k in checks if k.trim])
+    return texts.select(*keys, *flags).select(*keys, F.inline(present(items)))

@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from rowforge.functions import convert as C
-from rowforge.functions.text import blank_to_null, non_blank, trimmed
+from rowforge.functions.text import non_blank, trimmed
 
 
 @dataclass(frozen=True)
@@ -138,8 +138,21 @@ def default_expr(m: ColumnMap) -> Column:
     return F.lit(m.default).cast(CASTS[m.type])
 
 
-def column_expr(m: ColumnMap, conditions: tuple[Condition, ...] = ()) -> Column:
-    """First matching condition, else the default, else the typed source column."""
+def typed_sources(columns: tuple[ColumnMap, ...]) -> list[str]:
+    """Source columns whose trimmed copy the typed rules read."""
+    return [m.source for m in columns if m.source is not None and m.type != "STRING"]
+
+
+def typed_value(m: ColumnMap) -> Column:
+    if m.type not in TYPED:
+        raise ValueError(f"unsupported type {m.type!r} for {m.target}")
+    return TYPED[m.type](F.col(m.source if m.type == "STRING" else f"_t_{m.source}"))
+
+
+def column_expr(m: ColumnMap, conditions: tuple[Condition, ...] = (), value: Column | None = None) -> Column:
+    """First matching condition, else the default, else the typed source column.
+
+    ``value`` is the typed value when an earlier projection already made it."""
     mine = sorted((c for c in conditions if c.target == m.target), key=lambda c: c.sequence)
     if mine:
         if mine[0].kind not in RULES:
@@ -147,19 +160,17 @@ def column_expr(m: ColumnMap, conditions: tuple[Condition, ...] = ()) -> Column:
         return RULES[mine[0].kind](*mine[0].args).alias(m.target)
     if m.source is None:
         return default_expr(m).alias(m.target)
-    if m.type not in TYPED:
-        raise ValueError(f"unsupported type {m.type!r} for {m.target}")
-    value = TYPED[m.type](F.col(m.source))
+    value = typed_value(m) if value is None else value
     if m.default is not None:
         value = F.coalesce(value, default_expr(m))
     return value.alias(m.target)
 
 
-def conversion_failed(m: ColumnMap) -> Column:
+def conversion_failed(m: ColumnMap, value: Column | None = None) -> Column:
     """True when a typed column has text but no value."""
     if m.source is None or m.type == "STRING":
         return F.lit(False)
-    return blank_to_null(F.col(m.source)).isNotNull() & TYPED[m.type](F.col(m.source)).isNull()
+    return (F.coalesce(F.col(f"_t_{m.source}"), F.lit("")) != "") & (typed_value(m) if value is None else value).isNull()
 
 
 # ---- partner conversions ------------------------------------------------

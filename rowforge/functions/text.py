@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The Unicode code points counted as white space when trimming.
@@ -29,6 +29,11 @@ def trimmed(c: Column) -> Column:
     return F.btrim(c, F.lit(WHITE_SPACE))
 
 
+def with_trimmed(df: DataFrame, names: list[str]) -> DataFrame:
+    """Trimmed copies under ``_t_name``, so that later expressions name a column, not the trimming."""
+    return df.withColumns({f"_t_{n}": trimmed(F.col(n)) for n in dict.fromkeys(names)})
+
+
 def blank_to_null(c: Column) -> Column:
     return F.nullif(trimmed(c), F.lit(""))
 

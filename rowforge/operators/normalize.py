@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions import convert as C
 from rowforge.functions.arrays import settled
-from rowforge.functions.text import blank_to_null
+from rowforge.functions.text import trimmed
 
 LINEAGE = ("source_row_id", "file_job_id", "row_number")
 DONE, INVALID, FAILED, PENDING = "Done", "Invalid", "Failed", "Pending"
@@ -35,8 +35,8 @@ def normalize(df: DataFrame, fields: list[C.Field], keep: tuple[str, ...] = LINE
     Stacked projections: trim, convert, judge, collect. Each text is trimmed and parsed
     once, also when the result is filtered by status afterwards."""
     names = [f.target for f in fields]
-    trimmed = df.select(*keep, *[blank_to_null(F.col(f.source)).alias(f"_raw_{f.target}") for f in fields])
-    valued = trimmed.select("*", *[C.converted(F.col(f"_raw_{f.target}"), f).alias(f.target) for f in fields])
+    texts = df.select(*keep, *[trimmed(F.col(f.source)).alias(f"_raw_{f.target}") for f in fields])
+    valued = texts.select("*", *[C.converted(F.col(f"_raw_{f.target}"), f).alias(f.target) for f in fields])
     judged = valued.select(
         *keep, *names, *[C.reason(F.col(f"_raw_{f.target}"), F.col(f.target), f).alias(f"_why_{f.target}") for f in fields]
     )

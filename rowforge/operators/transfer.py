@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.arrays import present, settled
-from rowforge.functions.rules import Predicate, TargetMap, all_of, column_expr, conversion_failed
+from rowforge.functions.rules import (
+    ColumnMap, Predicate, TargetMap, all_of, column_expr, conversion_failed, typed_sources, typed_value,
+)
+from rowforge.functions.text import with_trimmed
 from rowforge.operators.ordered import latest
 
 SUCCEEDED, FAILED, UNKNOWN = "Succeeded", "Failed", "Unknown"
@@ -65,19 +68,31 @@ def resolve_headers(deliveries: DataFrame, headers: DataFrame) -> DataFrame:
 
 
 def target_rows(df: DataFrame, target: TargetMap, keep: tuple[str, ...]) -> DataFrame:
-    """Rows of one target that pass its filter and convert completely, each converted once."""
-    judged = settled(
-        df.filter(all_of(target.where)), keep,
-        [*[column_expr(m, target.conditions) for m in target.columns], target_failed(target).alias("_failed")],
+    """Rows of one target that pass its filter and convert completely.
+
+    Trim, convert, judge: three projections, so each field is worked on once."""
+    typed = [m for m in plain_columns(target) if m.source is not None and m.type != "STRING"]
+    value = {m.target: F.col(f"_v_{m.target}") for m in typed}
+    valued = with_trimmed(df.filter(all_of(target.where)), typed_sources(tuple(typed))).select(
+        "*", *[typed_value(m).alias(f"_v_{m.target}") for m in typed]
+    )
+    failed = [conversion_failed(m, value[m.target]) for m in typed]
+    judged = valued.select(
+        *keep, *[column_expr(m, target.conditions, value.get(m.target)) for m in target.columns],
+        reduce(lambda a, b: a | b, failed, F.lit(False)).alias("_failed"),
     )
-    return judged.filter(~F.col("_failed")).drop("_failed")
+    return settled(judged, keep, [F.col(c) for c in judged.columns if c not in keep]).filter(~F.col("_failed")).drop("_failed")
+
+
+def plain_columns(target: TargetMap) -> list[ColumnMap]:
+    """Columns mapped directly, not through a condition."""
+    special = {c.target for c in target.conditions}
+    return [m for m in target.columns if m.target not in special]
 
 
 def target_failed(target: TargetMap) -> Column:
     """True when any directly mapped column has text that does not convert."""
-    special = {c.target for c in target.conditions}
-    failures = [conversion_failed(m) for m in target.columns if m.target not in special]
-    return reduce(lambda a, b: a | b, failures, F.lit(False))
+    return reduce(lambda a, b: a | b, [conversion_failed(m) for m in plain_columns(target)], F.lit(False))
 
 
 def fan_out(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...]) -> dict[str, DataFrame]:
@@ -88,18 +103,24 @@ def fan_out(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...]) -> d
 def operations(df: DataFrame, targets: list[TargetMap], keep: tuple[str, ...], operation_type: str = PRIMARY) -> DataFrame:
     """One operation per row and target with its own result. All targets are judged in
     one pass over the rows, not one pass each."""
+    ordered = sorted(targets, key=lambda t: t.sequence)
+    flags = [
+        c for i, t in enumerate(ordered)
+        for c in (all_of(t.where).alias(f"_wanted_{i}"), target_failed(t).alias(f"_failed_{i}"))
+    ]
     judged = [
         (
-            all_of(t.where),
+            F.col(f"_wanted_{i}"),
             F.struct(
                 F.lit(t.target_id).alias("target_id"), F.lit(t.sequence).alias("sequence"),
                 F.lit(operation_type).alias("operation_type"),
-                F.when(target_failed(t), FAILED).otherwise(SUCCEEDED).alias("result"),
+                F.when(F.col(f"_failed_{i}"), FAILED).otherwise(SUCCEEDED).alias("result"),
             ),
         )
-        for t in sorted(targets, key=lambda t: t.sequence)
+        for i, t in enumerate(ordered)
     ]
-    return df.select(*keep, F.inline(present(judged)))
+    sources = [s for t in ordered for s in typed_sources(tuple(plain_columns(t)))]
+    return with_trimmed(df, sources).select(*keep, *flags).select(*keep, F.inline(present(judged)))
 
 
 def with_union(df: DataFrame, primary: TargetMap, union: TargetMap, keep: tuple[str, ...]) -> DataFrame:

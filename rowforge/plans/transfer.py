@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowforge.functions import checks as K
 from rowforge.functions import convert as C
 from rowforge.functions import rules as U
+from rowforge.functions.text import with_trimmed
 from rowforge.operators import lookup as J
 from rowforge.operators import normalize as N
 from rowforge.operators import transfer as X
@@ -59,9 +60,9 @@ line_ok AS (SELECT *, (trim(qty) = '' OR n_qty IS NOT NULL) AND n_price IS NOT N
       n_guid AS guid FROM line_value""",
 )
 def legacy_conversions(t: Tables) -> DataFrame:
-    typed = line_text(t).select(
-        *ROW, C.legacy_int(F.col("qty")).alias("qty"), C.legacy_decimal(F.col("price")).cast("double").alias("price"),
-        C.legacy_date(F.col("ship")).alias("ship"), C.to_uuid(F.col("guid")).alias("guid"),
+    typed = with_trimmed(line_text(t), ["qty", "price", "ship", "guid"]).select(
+        *ROW, C.legacy_int(F.col("_t_qty")).alias("qty"), C.legacy_decimal(F.col("_t_price")).cast("double").alias("price"),
+        C.legacy_date(F.col("_t_ship")).alias("ship"), C.to_uuid(F.col("_t_guid")).alias("guid"),
     )
     return typed.withColumn("ship", F.date_format("ship", "yyyy-MM-dd"))
 
@@ -279,11 +280,14 @@ def checked(t: Tables) -> DataFrame:
     return J.with_duplicate_flag(flagged, ["l_orderkey", "l_linenumber"], "twice")
 
 
-CHECKS = [
-    K.required("qty"), K.max_len("price", 12), K.convertible("ship", C.legacy_date(F.col("ship"))),
-    K.convertible("guid", C.to_uuid(F.col("guid"))), K.fits("price", 12, 2), K.check("flag", F.col("flag") != "N"),
-    K.flagged("l_partkey", "NoReference", 547, "no_part"), K.flagged("l_linenumber", "DuplicateKey", 2627, "twice"),
-]
+def checks() -> list[K.Check]:
+    return [
+        K.required("qty"), K.max_len("price", 12), K.convertible("ship", C.legacy_date),
+        K.convertible("guid", C.to_uuid), K.fits("price", 12, 2), K.check("flag", F.col("flag") != "N"),
+        K.flagged("l_partkey", "NoReference", 547, "no_part"), K.flagged("l_linenumber", "DuplicateKey", 2627, "twice"),
+    ]
+
+
 VIOLATIONS = f"""{TYPED_LINE}, dup AS (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1),
 found AS (
   SELECT {ROW_SQL}, 'qty' AS field, 'Required' AS reason, 515 AS number FROM line_value WHERE trim(qty) = ''
@@ -300,7 +304,7 @@ found AS (
 
 @query("violations", f"{VIOLATIONS} SELECT *, 'partner' AS category FROM found")
 def violations(t: Tables) -> DataFrame:
-    return K.violations(checked(t), list(ROW), CHECKS)
+    return K.violations(checked(t), list(ROW), checks())
 
 
 @query(
@@ -419,4 +423,4 @@ def error_summary(t: Tables) -> DataFrame:
 )
 def notification_summary(t: Tables) -> DataFrame:
     totals = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_rows"))
-    return X.notification_summary(K.violations(checked(t), list(ROW), CHECKS), totals, "l_suppkey")
+    return X.notification_summary(K.violations(checked(t), list(ROW), checks()), totals, "l_suppkey")
