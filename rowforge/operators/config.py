@@ -109,10 +109,14 @@ def validate_versions(versions: DataFrame, columns: DataFrame) -> DataFrame:
         )
 
     source_names = to_source.select("version_id", "source_column").unionByName(to_target.select("version_id", "source_column"))
-    required = (
-        tables.join(columns.filter("is_required").withColumnRenamed("table_id", "normalized_table_id"), "normalized_table_id")
-        .select("version_id", F.col("name").alias("normalized_column"))
-        .join(to_target, ["version_id", "normalized_column"], "left_anti")
+    # a version carries its rules and a table its columns as one short array each, so this
+    # joins one row to one row and only missing columns become rows
+    required = columns.filter("is_required").groupBy(F.col("table_id").alias("normalized_table_id")).agg(
+        F.collect_set("name").alias("_required")
+    )
+    mapped = F.transform("source_to_normalized", lambda r: r["normalizedColumn"])
+    unmapped = versions.join(required, "normalized_table_id").select(
+        "version_id", F.lit("RequiredUnmapped").alias("problem"), F.explode(F.array_except("_required", mapped)).alias("detail")
     )
     dates = (
         to_target.filter(F.col("format").isNotNull())
@@ -134,7 +138,7 @@ def validate_versions(versions: DataFrame, columns: DataFrame) -> DataFrame:
         duplicate_rules(to_target, ["version_id", "normalized_column"]).select(
             "version_id", F.lit("DuplicateTarget").alias("problem"), F.col("normalized_column").alias("detail")
         ),
-        required.select("version_id", F.lit("RequiredUnmapped").alias("problem"), F.col("normalized_column").alias("detail")),
+        unmapped,
         dates.select("version_id", F.lit("BadDateFormat").alias("problem"), F.col("format").alias("detail")),
     ]
     out = parts[0]

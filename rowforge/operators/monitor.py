@@ -47,9 +47,7 @@ def distinct_deliveries(df: DataFrame, keys: list[str], delivery: list[str]) ->
 def coverage(runs: DataFrame) -> DataFrame:
     """Scenarios seen per partner and job type, and the partner's share of all runs."""
     per = runs.groupBy("partner", "job_type").agg(F.count(F.lit(1)).alias("n_runs"))
-    total = per.agg(F.sum("n_runs").alias("n_all"))
-    # a single row by construction
-    return per.join(F.broadcast(total)).withColumn("share", F.col("n_runs") / F.col("n_all")).drop("n_all")
+    return per.withColumn("share", F.col("n_runs") / per.agg(F.sum("n_runs")).scalar())
 
 
 def search_jobs(jobs: DataFrame, partner=None, status=None) -> DataFrame:

@@ -98,20 +98,23 @@ def versions(t: Tables) -> DataFrame:
         )
         .select(
             "version_id", F.floor(F.col("version_id") / 10).alias("config_id"),
-            (F.col("version_id") % 10 + 1).alias("version_no"), F.lit(1).alias("source_table_id"),
-            F.lit(2).alias("normalized_table_id"), "file_to_source", "source_to_normalized",
+            (F.col("version_id") % 10 + 1).alias("version_no"), "file_to_source", "source_to_normalized",
+        )
+        .withColumns(
+            {"source_table_id": (F.col("config_id") % 2 * 2 + 1).cast("int"), "normalized_table_id": (F.col("config_id") % 2 * 2 + 2).cast("int")}
         )
     )
 
 
 def version_columns(t: Tables) -> DataFrame:
+    """Even configs use tables 1 and 2, odd ones 3 and 4, of the same columns."""
     number = F.replace(F.col("p_brand"), F.lit("Brand#"), F.lit("")).cast("int")
     source = t.part.filter(F.col("p_size") <= 45).select(
-        F.lit(1).alias("table_id"), F.concat(F.lit("col_"), F.col("p_size").cast("string")).alias("name"),
+        F.explode(F.array(F.lit(1), F.lit(3))).alias("table_id"), F.concat(F.lit("col_"), F.col("p_size").cast("string")).alias("name"),
         F.lit("text").alias("data_type"), F.lit(False).alias("is_required"), F.col("p_size").alias("ordinal"),
     )
     target = t.part.filter(F.col("p_brand") != "Brand#11").select(
-        F.lit(2).alias("table_id"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))).alias("name"),
+        F.explode(F.array(F.lit(2), F.lit(4))).alias("table_id"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))).alias("name"),
         F.when(number % 3 == 0, "date").otherwise("text").alias("data_type"), (number == 7).alias("is_required"),
         number.alias("ordinal"),
     )
@@ -126,12 +129,14 @@ def version_columns(t: Tables) -> DataFrame:
 def config_rules(t: Tables) -> DataFrame:
     """Rules out of the JSON snapshots, with the definition of the target column."""
     parsed = G.parse_rules(versions(t))
-    defs = version_columns(t).filter("table_id = 2").select(
-        F.col("name").alias("normalized_column"), "data_type", "is_required"
+    defs = version_columns(t).select(
+        F.col("table_id").alias("normalized_table_id"), F.col("name").alias("normalized_column"), "data_type", "is_required"
     )
     return (
-        G.target_rules(parsed).join(defs, "normalized_column", "left")
-        .join(parsed.select("version_id", "config_id", "version_no"), "version_id")
+        G.target_rules(parsed)
+        .join(parsed.select("version_id", "config_id", "version_no", "normalized_table_id"), "version_id")
+        .join(defs, ["normalized_table_id", "normalized_column"], "left")
+        .drop("normalized_table_id")
     )
 
 

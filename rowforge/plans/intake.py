@@ -269,10 +269,9 @@ def fair_batch(t: Tables) -> DataFrame:
 )
 def release_after(t: Tables) -> DataFrame:
     """Jobs whose 30 s hold ended a day before the newest event."""
-    now = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).cast("timestamp").alias("now"))
+    now = t.events.agg((F.max("ts") - F.expr("INTERVAL 1 DAY")).cast("timestamp")).scalar()
     held = t.events.select(F.col("event_id").alias("job_id"), "user_id", F.col("ts").cast("timestamp").alias("taken_at"))
-    # one row by construction
-    return I.release_after(held.join(F.broadcast(now)), F.col("now")).select("job_id", "user_id")
+    return I.release_after(held, now).select("job_id", "user_id")
 
 
 @query(

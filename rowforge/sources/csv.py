@@ -57,11 +57,14 @@ def headers(landed: DataFrame) -> DataFrame:
     )
 
 
+def lacking(required: list[str]) -> Column:
+    return F.array_except(F.array(*[F.lit(r) for r in required]), F.array_compact("header"))
+
+
 def missing_headers(heads: DataFrame, required: list[str]) -> DataFrame:
     """Files without a required header, with the names; a file-level failure, no row errors."""
-    missing = F.array_except(F.array(*[F.lit(r) for r in required]), F.array_compact("header"))
     return (
-        heads.withColumn("missing", missing)
+        heads.withColumn("missing", lacking(required))
         .filter(F.size("missing") > 0)
         .select(
             "file", F.lit("ImportFailed").alias("import_status"),
@@ -72,8 +75,7 @@ def missing_headers(heads: DataFrame, required: list[str]) -> DataFrame:
 
 def records(landed: DataFrame, heads: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     """Numbered Source rows of the files whose header is complete, columns found by header name."""
-    bad = missing_headers(heads, [h for h, _ in rules]).select("file")
-    good = heads.join(bad, "file", "left_anti")
+    good = heads.filter(F.size(lacking([h for h, _ in rules])) == 0)
     body = (
         landed.join(good, "file")
         .filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
