@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.operators.ordered import latest
+from rowforge.operators.skew import attach
 from rowforge.sources.lines import value_columns
 
 
@@ -30,7 +31,7 @@ def join_details(headers: DataFrame, details: DataFrame) -> DataFrame:
 def export_selection(headers: DataFrame, details: DataFrame, system_id: str, condition: Column) -> DataFrame:
     """Header → file name → detail. The detail filter reaches the scan before the join."""
     wanted = open_headers(headers, system_id).select("trans_id", "ref_no").distinct()
-    return join_details(wanted, details.filter(condition))
+    return attach(details.filter(condition), wanted, ["trans_id"], "inner")
 
 
 def mark_exported(headers: DataFrame, published: DataFrame) -> DataFrame:
@@ -58,7 +59,7 @@ def current_year(df: DataFrame, date_col: str, asof: Column) -> DataFrame:
 def enrich_policy(df: DataFrame, policy: DataFrame, motor: DataFrame, asof: Column) -> DataFrame:
     """Newest policy of this year by (chassis, agent), then its motor detail."""
     this_year = latest(current_year(policy, "cc_date", asof), ["chassis", "agent"], ["cc_date", "policy_no"])
-    return df.join(this_year, ["chassis", "agent"], "left").join(motor, "policy_no", "left")
+    return attach(df, this_year, ["chassis", "agent"]).join(motor, "policy_no", "left")
 
 
 def fill_enriched(df: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame:

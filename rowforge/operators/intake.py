@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.operators.ordered import latest, with_previous
+from rowforge.operators.skew import attach
 
 
 # ---- row numbers --------------------------------------------------------
@@ -53,11 +54,10 @@ def new_rows_only(df: DataFrame, source: DataFrame, key: tuple[str, ...] = ("fil
 def first_wins(files: DataFrame, key: list[str], order: list[str], id_col: str = "file_job_id") -> DataFrame:
     """Label every delivery ``First`` or ``Duplicate``; ``duplicate_of`` names the first.
 
-    The winner per key comes from a partial aggregate. It is joined back to the
-    deliveries, where AQE may split a key with many copies, as each delivery is
-    labelled on its own."""
+    The winner per key comes from a partial aggregate and is joined back so that the
+    copies of one content may be spread over tasks."""
     winners = files.groupBy(*key).agg(F.min_by(id_col, F.struct(*order)).alias("_winner"))
-    return files.join(winners, key).select(
+    return attach(files, winners, key, "inner").select(
         *files.columns,
         F.when(F.col(id_col) == F.col("_winner"), "First").otherwise("Duplicate").alias("delivery"),
         F.when(F.col(id_col) != F.col("_winner"), F.col("_winner")).alias("duplicate_of"),
@@ -74,8 +74,7 @@ def mark_duplicates(new: DataFrame, registry: DataFrame, key: list[str], order:
         .agg(F.min("file_job_id").alias("_known"))
     )
     return (
-        first_wins(new, key, order)
-        .join(known, key, "left")
+        attach(first_wins(new, key, order), known, key)
         .withColumn("duplicate_of", F.coalesce("_known", "duplicate_of"))
         .withColumn("import_status", F.when(F.col("duplicate_of").isNotNull(), "Duplicate").otherwise("Queued"))
         .drop("_known", "delivery")

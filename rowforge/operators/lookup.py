@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rowforge.operators.skew import attach
+
 
 def lookup(df: DataFrame, ref: DataFrame, on: list[str], mode: str = "attach") -> DataFrame:
     """attach: reference columns, null when missing; exists / missing: keep those rows.
@@ -20,7 +22,7 @@ def with_missing_flag(df: DataFrame, ref: DataFrame, on: str, ref_key: str, flag
     """True where a non-null value has no match (null values are the required check's business)."""
     keys = ref.select(F.col(ref_key).alias(on)).distinct().withColumn("_found", F.lit(True))
     return (
-        df.join(keys, on, "left")
+        attach(df, keys, [on])
         .withColumn(flag, F.col(on).isNotNull() & F.col("_found").isNull())
         .drop("_found")
     )
@@ -42,4 +44,4 @@ def duplicate_keys(df: DataFrame, keys: list[str], target: DataFrame | None = No
 
 def with_duplicate_flag(df: DataFrame, keys: list[str], flag: str, target: DataFrame | None = None) -> DataFrame:
     dup = duplicate_keys(df, keys, target).select(*keys, F.lit(True).alias("_dup"))
-    return df.join(dup, keys, "left").withColumn(flag, F.coalesce("_dup", F.lit(False))).drop("_dup")
+    return attach(df, dup, keys).withColumn(flag, F.coalesce("_dup", F.lit(False))).drop("_dup")

@@ -93,8 +93,8 @@ def versions(t: Tables) -> DataFrame:
     return (
         t.part.groupBy(F.floor(key / 8).alias("version_id"))
         .agg(
-            F.to_json(F.collect_list(to_source)).alias("file_to_source"),
-            F.to_json(F.collect_list(to_target)).alias("source_to_normalized"),
+            G.rules_json(G.FILE_TO_SOURCE, F.collect_list(to_source)).alias("file_to_source"),
+            G.rules_json(G.SOURCE_TO_NORMALIZED, F.collect_list(to_target)).alias("source_to_normalized"),
         )
         .select(
             "version_id", F.floor(F.col("version_id") / 10).alias("config_id"),

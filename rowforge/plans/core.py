@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.convert import Field
 from rowforge.operators import attempts as A
+from rowforge.operators import config as G
 from rowforge.operators import intake as I
 from rowforge.operators import normalize as N
 from rowforge.operators.ordered import id_range, number_rows
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.samples import ORDER_FIELDS, ORDER_TEXT_SQL, amount_number, day_text, order_text, typed_sql
+from rowforge.session import fresh_path
+from rowforge.sinks.tables import evolve_table
 
 TYPED = f"WITH {ORDER_TEXT_SQL}, {typed_sql()}"
 ERROR_ARMS = " UNION ALL ".join(
@@ -319,3 +322,16 @@ def file_errors(t: Tables) -> DataFrame:
 def page(t: Tables) -> DataFrame:
     rows = t.customer.select("c_mktsegment", "c_custkey", "c_name")
     return A.page(rows, ["c_mktsegment", "c_custkey"], ["BUILDING", 40], 25)
+
+
+@query(
+    "schema_evolution",
+    """SELECT o_orderkey, o_orderstatus AS state, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS priority,
+      CAST(NULL AS BOOLEAN) AS checked FROM orders""",
+)
+def schema_evolution(t: Tables) -> DataFrame:
+    """A column added later is null in rows written before; a column nobody filled is null everywhere."""
+    path = fresh_path(t.spark, "evolving")
+    rows = t.orders.select("o_orderkey", F.col("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("priority"))
+    evolve_table(rows.filter("state <> 'O'").drop("priority"), path)
+    return G.evolve(evolve_table(rows.filter("state = 'O'"), path), [("state", "text"), ("priority", "text"), ("checked", "boolean")])

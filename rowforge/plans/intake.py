@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowforge.functions.keys import content_hash, intake_key
 from rowforge.operators import archive as R
 from rowforge.operators import intake as I
+from rowforge.operators.lifecycle import retry_import as retry_rest
 from rowforge.operators.ordered import id_range, number_rows, time_range
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import NUMBERED, numbered
@@ -99,6 +100,18 @@ def snapshot_unchanged(t: Tables) -> DataFrame:
     return status.join(sizes, "path").groupBy("archive_status").agg(F.sum("n").alias("n_rows"))
 
 
+@query("retry_import", CSV_SQL)
+def retry_import(t: Tables) -> DataFrame:
+    """Imports broken off after row 49 of every file, completed from the snapshot."""
+    path = fresh_path(t.spark, "source")
+    snapshot = L.snapshot_files(t.spark, write_deliveries(t, "orders") + "/*.csv")
+    landed = S.parse_snapshot(snapshot, len(RULES))
+    S.records(landed, S.headers(landed), RULES).filter(F.col("row_number") < 50).write.parquet(path)
+    rest = retry_rest(snapshot, t.spark.read.parquet(path), RULES, len(RULES))
+    rest.write.mode("append").parquet(path)
+    return as_text(t.spark.read.parquet(path))
+
+
 @query("idempotent_append", f"WITH {NUMBERED} SELECT * FROM numbered")
 def idempotent_append(t: Tables) -> DataFrame:
     """A broken import, its retry and a repeated message leave every row once."""

@@ -22,6 +22,8 @@ from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import TYPED, jobs
 from rowforge.plans.samples import ORDER_FIELDS, order_text
 from rowforge.plans.transfer import HEADERS_SQL, headers
+from rowforge.session import fresh_path
+from rowforge.sinks.tables import write_single
 
 
 def micros(name: str) -> Column:
@@ -263,6 +265,21 @@ def export_selection(t: Tables) -> DataFrame:
     return E.export_columns(rows, [("trans_id", "trans_id"), ("ref_no", "File"), ("l_linenumber", "Line"), ("l_partkey", "Part")])
 
 
+@query(
+    "export_file",
+    f"""WITH {HEADERS_SQL} SELECT CAST(trans_id AS VARCHAR) AS "Transaction", ref_no AS "File", exp_flag AS "Flag" FROM headers
+    WHERE system_id = 'KK-02'""",
+)
+def export_file(t: Tables) -> DataFrame:
+    """Configured columns under their headings; a second export replaces the first."""
+    path = fresh_path(t.spark, "export")
+    rows = headers(t).filter(F.col("system_id") == "KK-02")
+    columns = [("trans_id", "Transaction"), ("ref_no", "File"), ("exp_flag", "Flag")]
+    write_single(E.export_columns(rows.filter("exp_flag = 'Y'"), columns), path)
+    write_single(E.export_columns(rows, columns), path)
+    return t.spark.read.option("header", True).schema("Transaction string, File string, Flag string").csv(path)
+
+
 @query(
     "mark_exported",
     f"""WITH {HEADERS_SQL} SELECT trans_id, system_id, CASE WHEN trans_id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'A')

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.operators.intake import with_row_number
+from rowforge.operators.skew import attach
 from rowforge.session import stage
 
 # One record: runs of plain text and quoted parts up to a line end outside quotes.
@@ -77,7 +78,7 @@ def records(landed: DataFrame, heads: DataFrame, rules: list[tuple[str, str]]) -
     """Numbered Source rows of the files whose header is complete, columns found by header name."""
     good = heads.filter(F.size(lacking([h for h, _ in rules])) == 0)
     body = (
-        landed.join(good, "file")
+        attach(landed, good, ["file"], "inner")
         .filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
     )
     named = body.select("file", "_block", "_pos", *[cell(h).alias(s) for h, s in rules])
@@ -99,7 +100,7 @@ def positional(landed: DataFrame, width: int = 230) -> DataFrame:
         ).alias("names"),
     )
     return (
-        landed.join(heads, "file")
+        attach(landed, heads, ["file"], "inner")
         .filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
         .select("file", "_block", "_pos", "names", F.slice("cells", 1, width).alias("cells"))
     )

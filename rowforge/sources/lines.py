@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowforge.functions.text import non_blank, padded_slice, trimmed
+from rowforge.operators.skew import attach
 
 MAX_PIPE, MAX_FIXED, MAX_SHEET, MAX_PROTECTED, LINE_WIDTH = 220, 110, 230, 200, 6000
 # Character set per partner; every other partner uses the default.
@@ -71,7 +72,7 @@ def parse_fixed_width(lines: DataFrame, layout: list[Slot]) -> DataFrame:
     """Only for files without a single pipe row; line 1 is skipped, Value1 must not be blank."""
     piped = lines.filter(~is_header_line(F.col("line")) & F.col("line").contains("|")).select("file").distinct()
     return (
-        lines.join(piped, "file", "left_anti")
+        attach(lines, piped, ["file"], "left_anti")
         .filter(F.col("line_no") > 1)
         .withColumn("cells", fixed_cells(F.col("line"), layout))
         .filter(non_blank(F.get("cells", F.lit(0))))
@@ -113,7 +114,7 @@ def accept_sheet_rows(cells: DataFrame, limit: int = MAX_SHEET) -> DataFrame:
 def first_sheet(cells: DataFrame, max_cols: int = MAX_PROTECTED) -> DataFrame:
     """Rows of each file's first sheet."""
     firsts = cells.groupBy("file").agg(F.min("sheet_idx").alias("sheet_idx"))
-    return cells.join(firsts, ["file", "sheet_idx"]).withColumn("cells", F.slice("cells", 1, max_cols))
+    return attach(cells, firsts, ["file", "sheet_idx"], "left_semi").withColumn("cells", F.slice("cells", 1, max_cols))
 
 
 def slice_records(df: DataFrame, start: int, finish: int, number: str = "row_number") -> DataFrame:
