@@ -22,7 +22,7 @@ from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import TYPED, jobs
 from rowforge.plans.samples import ORDER_FIELDS, order_text
 from rowforge.plans.transfer import HEADERS_SQL, headers
-from rowforge.session import fresh_path
+from rowforge.session import fresh_path, spread
 from rowforge.sinks.tables import write_single
 
 
@@ -468,7 +468,7 @@ def mask_results(t: Tables) -> DataFrame:
 @query("mask_documents", f"SELECT doc_id, sha256({MASK_SQL}) AS masked_hash, {MASK_SQL} <> text AS changed FROM documents")
 def mask_documents(t: Tables) -> DataFrame:
     text = masked(F.col("text"))
-    return t.documents.select("doc_id", Y.content_hash(text).alias("masked_hash"), (text != F.col("text")).alias("changed"))
+    return spread(t.documents).select("doc_id", Y.content_hash(text).alias("masked_hash"), (text != F.col("text")).alias("changed"))
 
 
 @query(

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.convert import Field
+from rowforge.session import spread
 
 
 def money(c: Column) -> Column:
@@ -17,7 +18,7 @@ def money(c: Column) -> Column:
 def order_text(orders: DataFrame) -> DataFrame:
     """Orders as Source rows: customer is the file, everything else text with faults."""
     k = F.col("o_orderkey")
-    return orders.select(
+    return spread(orders).select(
         k.alias("source_row_id"),
         F.col("o_custkey").alias("file_job_id"),
         k.alias("row_number"),

@@ -14,7 +14,7 @@ from rowforge.operators import normalize as N
 from rowforge.operators import transfer as X
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import ERROR_ARMS, TYPED, results
-from rowforge.plans.samples import amount_number, day_text
+from rowforge.session import spread
 
 ROW = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 ROW_SQL = ", ".join(ROW)
@@ -30,7 +30,7 @@ LINE_SQL = """line_text AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppke
 def line_text(t: Tables) -> DataFrame:
     """Line items as staging rows, every field text."""
     part, supp = F.col("l_partkey"), F.col("l_suppkey")
-    return t.lineitem.select(
+    return spread(t.lineitem).select(
         *ROW, F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("line_status"),
         F.when(part % 97 == 0, "abc").when(part % 61 == 0, " ")
         .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".00"))).alias("qty"),

@@ -52,6 +52,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/rowforge/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Raw rows over all cores when the scan has fewer splits than there are cores.
+
+    Conversions cost far more than moving a small input once. A large input has more splits
+    than cores and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back: fixed rows, no lineage, pruned columns."""
     spark = df.sparkSession
