@@ -220,7 +220,7 @@ def lineage(t: Tables) -> DataFrame:
 @query(
     "manifest_missing",
     """SELECT s_nationkey AS manifest_id, 'sup_' || s_suppkey AS expected_file FROM supplier
-    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A')""",
+    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A' AND l_linenumber = 7)""",
 )
 def manifest_missing(t: Tables) -> DataFrame:
     return E.missing_from_manifest(*manifest(t))
@@ -229,13 +229,13 @@ def manifest_missing(t: Tables) -> DataFrame:
 def manifest(t: Tables) -> tuple[DataFrame, DataFrame]:
     name = lambda c: F.concat(F.lit("sup_"), F.col(c).cast("string"))
     expected = t.supplier.select(F.col("s_nationkey").alias("manifest_id"), name("s_suppkey").alias("expected_file"))
-    arrived = t.lineitem.filter((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "A"))
+    arrived = t.lineitem.filter((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "A") & (F.col("l_linenumber") == 7))
     return expected, arrived.select(name("l_suppkey").alias("file_name"))
 
 
 @query(
     "manifest_ready",
-    """WITH here AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A')
+    """WITH here AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A' AND l_linenumber = 7)
     SELECT s_nationkey AS manifest_id, count(*) AS expected, count(l_suppkey) AS present, count(*) = count(l_suppkey) AS ready
     FROM supplier LEFT JOIN here ON l_suppkey = s_suppkey GROUP BY s_nationkey""",
 )

@@ -9,16 +9,18 @@ from rowforge.operators.ordered import latest
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import TYPED
 from rowforge.plans.samples import ORDER_FIELDS, order_text
-from rowforge.session import fresh_path
+from rowforge.session import fresh_path, spread
 from rowforge.streaming import intake as S
 from rowforge.streaming import runner as R
 from rowforge.streaming import state as H
 
 
-def feed(t: Tables, df: DataFrame, name: str, files: int = 3, per_batch: int = 1) -> DataFrame:
-    """A table written as a few files and read back as a stream of micro-batches."""
+def feed(t: Tables, df: DataFrame, name: str, batches: int = 3) -> DataFrame:
+    """A table written in its own partitions and read back as a stream of some micro-batches."""
     path = fresh_path(t.spark, name)
-    df.repartition(files).write.parquet(path)
+    spread(df).write.parquet(path)
+    files = max(df.rdd.getNumPartitions(), t.spark.sparkContext.defaultParallelism)
+    per_batch = max(1, -(-files // batches))
     return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
 
 
@@ -110,8 +112,8 @@ def stream_readiness(t: Tables) -> DataFrame:
         F.col("user_id").cast("string").alias("path"), F.col("ts").alias("observed_at"),
         F.floor(F.col("value") / 40).alias("size"), F.length("event_type").cast("bigint").alias("mtime"),
     )
-    # observations come in time order here: one file, one batch
-    ready = H.readiness_stream(feed(t, seen, "observations", files=1))
+    # one batch: readiness needs the observations of a path in time order
+    ready = H.readiness_stream(feed(t, seen, "observations", batches=1))
     return R.to_table(ready, "ready").select("path", F.unix_micros("ready_at").alias("ready_us"))
 
 
@@ -124,25 +126,26 @@ def stream_hold(t: Tables) -> DataFrame:
     """Jobs released by a timer 30 s after they were taken, in event time."""
     R.use_rocksdb(t.spark)
     taken = events(t).select(F.col("event_id").alias("job_id"), F.col("ts").alias("taken_at"))
-    return R.to_table(H.hold_stream(feed(t, taken, "taken", files=1)), "released")
+    return R.to_table(H.hold_stream(feed(t, taken, "taken", batches=1)), "released")
 
 
 @query(
     "stream_intake",
-    """SELECT 'nation=' || s_nationkey AS folder, sha256(string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS content_hash,
-      CASE WHEN s_nationkey % 7 = 0 THEN 'NoActiveConfig' ELSE 'Queued' END AS outcome,
-      CASE WHEN s_nationkey % 7 <> 0 THEN s_nationkey * 10 + 1 END AS version_id FROM supplier GROUP BY s_nationkey""",
+    """WITH s AS (SELECT *, s_suppkey // 500 * 25 + s_nationkey AS lot FROM supplier)
+    SELECT 'lot=' || lot AS folder, sha256(string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS content_hash,
+      CASE WHEN lot % 7 = 0 THEN 'NoActiveConfig' ELSE 'Queued' END AS outcome,
+      CASE WHEN lot % 7 <> 0 THEN lot * 10 + 1 END AS version_id FROM s GROUP BY lot""",
 )
 def stream_intake(t: Tables) -> DataFrame:
-    """One file of supplier names per nation folder; every seventh folder has no config.
+    """One file of supplier names per lot folder, at most 500 names each; every seventh has no config.
 
     Each config activates a second version in the future, which must not be pinned."""
     root, registry, warnings = (fresh_path(t.spark, n) for n in ("drop", "registry", "warnings"))
-    names = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", F.col("s_name").alias("value"))
-    names.repartition("nation").sortWithinPartitions("nation", "s_suppkey").drop("s_suppkey").write.partitionBy("nation").text(root)
-    nation = F.col("n_nationkey")
-    configs = t.nation.filter(nation % 7 != 0).select(
-        F.concat(F.lit("nation="), nation.cast("string")).alias("folder"), nation.alias("config_id")
+    lot = F.floor(F.col("s_suppkey") / 500) * 25 + F.col("s_nationkey")
+    names = t.supplier.select(lot.alias("lot"), "s_suppkey", F.col("s_name").alias("value"))
+    names.repartition("lot").sortWithinPartitions("lot", "s_suppkey").drop("s_suppkey").write.partitionBy("lot").text(root)
+    configs = names.select("lot").distinct().filter(F.col("lot") % 7 != 0).select(
+        F.concat(F.lit("lot="), F.col("lot").cast("string")).alias("folder"), F.col("lot").alias("config_id")
     )
     now = F.current_timestamp()
     activations = configs.select(
@@ -158,7 +161,7 @@ def stream_intake(t: Tables) -> DataFrame:
     R.drain_batches(arrivals, S.intake_batch(configs, activations, registry, warnings), fresh_path(t.spark, "checkpoint"))
     jobs = t.spark.read.parquet(registry).select("folder", "content_hash", F.col("import_status").alias("outcome"), "version_id")
     lost = t.spark.read.parquet(warnings).join(hashes(t, root), "path").select(
-        "folder", "content_hash", F.col("warning").alias("outcome"), F.lit(None).cast("int").alias("version_id")
+        "folder", "content_hash", F.col("warning").alias("outcome"), F.lit(None).cast("bigint").alias("version_id")
     )
     return jobs.unionByName(lost)
 

@@ -68,7 +68,7 @@ def legacy_conversions(t: Tables) -> DataFrame:
 
 
 ORIGINAL = U.TargetMap(
-    "mti_original", 1,
+    "original", 1,
     (
         U.ColumnMap("nQty", "qty", "INT", "0"), U.ColumnMap("nPrice", "price", "DECIMAL"), U.ColumnMap("dShip", "ship", "DATE"),
         U.ColumnMap("cSTATUS", default="I"), U.ColumnMap("cFlag", "flag"), U.ColumnMap("cAgent", "agent"),
@@ -82,17 +82,17 @@ ORIGINAL = U.TargetMap(
     ),
 )
 CLIENT = U.TargetMap(
-    "mti_original_client", 2, (U.ColumnMap("cAgent", "agent"), U.ColumnMap("cKind", "line_status")),
+    "original_client", 2, (U.ColumnMap("cAgent", "agent"), U.ColumnMap("cKind", "line_status")),
     where=(U.Predicate("flag", "in", ("A", "R")),),
 )
-CAR = U.TargetMap("mti_original_cardetail", 3, (U.ColumnMap("cGuid", "guid", "UNIQUEIDENTIFIER"), U.ColumnMap("nQty", "qty")))
+CAR = U.TargetMap("original_cardetail", 3, (U.ColumnMap("cGuid", "guid", "UNIQUEIDENTIFIER"), U.ColumnMap("nQty", "qty")))
 TARGETS = [CAR, ORIGINAL, CLIENT]
 
 OPS = f"""{TYPED_LINE}, ops AS (
-  SELECT {ROW_SQL}, 'mti_original' AS target_id, 1 AS sequence, 'PRIMARY' AS operation_type,
+  SELECT {ROW_SQL}, 'original' AS target_id, 1 AS sequence, 'PRIMARY' AS operation_type,
     CASE WHEN ok_original THEN 'Succeeded' ELSE 'Failed' END AS result FROM line_ok
-  UNION ALL SELECT {ROW_SQL}, 'mti_original_client', 2, 'PRIMARY', 'Succeeded' FROM line_ok WHERE flag IN ('A', 'R')
-  UNION ALL SELECT {ROW_SQL}, 'mti_original_cardetail', 3, 'PRIMARY', CASE WHEN ok_car THEN 'Succeeded' ELSE 'Failed' END FROM line_ok)"""
+  UNION ALL SELECT {ROW_SQL}, 'original_client', 2, 'PRIMARY', 'Succeeded' FROM line_ok WHERE flag IN ('A', 'R')
+  UNION ALL SELECT {ROW_SQL}, 'original_cardetail', 3, 'PRIMARY', CASE WHEN ok_car THEN 'Succeeded' ELSE 'Failed' END FROM line_ok)"""
 
 
 @query(
@@ -104,7 +104,7 @@ OPS = f"""{TYPED_LINE}, ops AS (
     FROM line_ok WHERE ok_original""",
 )
 def legacy_mapping(t: Tables) -> DataFrame:
-    out = X.fan_out(line_text(t), TARGETS, ROW)["mti_original"]
+    out = X.fan_out(line_text(t), TARGETS, ROW)["original"]
     return out.withColumns({"nPrice": F.col("nPrice").cast("double"), "dShip": F.date_format("dShip", "yyyy-MM-dd")})
 
 
@@ -115,36 +115,36 @@ def fan_out_targets(t: Tables) -> DataFrame:
 
 @query(
     "union_ops",
-    f"""{TYPED_LINE} SELECT {ROW_SQL}, 'mti_original' AS target_id, 1 AS sequence, 'PRIMARY' AS operation_type,
+    f"""{TYPED_LINE} SELECT {ROW_SQL}, 'original' AS target_id, 1 AS sequence, 'PRIMARY' AS operation_type,
       CASE WHEN ok_original THEN 'Succeeded' ELSE 'Failed' END AS result FROM line_ok
-    UNION ALL SELECT {ROW_SQL}, 'mti_original', 2, 'UNION', CASE WHEN trim(qty) = '' OR n_qty IS NOT NULL THEN 'Succeeded' ELSE 'Failed' END
+    UNION ALL SELECT {ROW_SQL}, 'original', 2, 'UNION', CASE WHEN trim(qty) = '' OR n_qty IS NOT NULL THEN 'Succeeded' ELSE 'Failed' END
       FROM line_ok WHERE line_status = 'O'""",
 )
 def union_ops(t: Tables) -> DataFrame:
-    second = U.TargetMap("mti_original", 2, (U.ColumnMap("nQty", "qty", "INT"),), where=(U.Predicate("line_status", "eq", "O"),))
+    second = U.TargetMap("original", 2, (U.ColumnMap("nQty", "qty", "INT"),), where=(U.Predicate("line_status", "eq", "O"),))
     return X.with_union(line_text(t), ORIGINAL, second, ROW)
 
 
 def reported(t: Tables) -> DataFrame:
     """Operations as recorded: the car target's answer is unknown for one flag and part group."""
-    unclear = (F.col("target_id") == "mti_original_cardetail") & (F.col("l_partkey") % 71 == 0)
+    unclear = (F.col("target_id") == "original_cardetail") & (F.col("l_partkey") % 71 == 0)
     ops = X.operations(line_text(t), TARGETS, ROW)
     result = F.when(unclear, X.UNKNOWN).otherwise(F.col("result"))
     return ops.withColumns(
-        {"result": result, "required": F.col("target_id") != "mti_original_client",
+        {"result": result, "required": F.col("target_id") != "original_client",
          "affected_rows": F.when(result == X.SUCCEEDED, 1).when(result == X.FAILED, 0)}
     )
 
 
 REPORTED = f"""{OPS}, reported AS (SELECT * EXCLUDE (result),
-  CASE WHEN target_id = 'mti_original_cardetail' AND l_partkey % 71 = 0 THEN 'Unknown' ELSE result END AS result FROM ops)"""
+  CASE WHEN target_id = 'original_cardetail' AND l_partkey % 71 = 0 THEN 'Unknown' ELSE result END AS result FROM ops)"""
 
 
 @query(
     "job_state",
     f"""{REPORTED} SELECT l_orderkey, CASE WHEN bool_or(result = 'Unknown') THEN 'NeedsReview'
       WHEN bool_and(result = 'Succeeded') THEN 'Succeeded' WHEN bool_or(result = 'Succeeded') THEN 'PartiallySucceeded'
-      ELSE 'Failed' END AS state FROM reported WHERE target_id <> 'mti_original_client' GROUP BY l_orderkey""",
+      ELSE 'Failed' END AS state FROM reported WHERE target_id <> 'original_client' GROUP BY l_orderkey""",
 )
 def job_state(t: Tables) -> DataFrame:
     return X.job_state(reported(t), "l_orderkey")
@@ -329,10 +329,10 @@ def lookup_attach(t: Tables) -> DataFrame:
 @query(
     "fk_violations",
     """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, 'NoReference' AS reason FROM lineitem
-    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)""",
+    WHERE l_suppkey NOT IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 5000)""",
 )
 def fk_violations(t: Tables) -> DataFrame:
-    active = t.supplier.filter(F.col("s_acctbal") > 0)
+    active = t.supplier.filter(F.col("s_acctbal") > 5000)
     flagged = J.with_missing_flag(t.lineitem.select(*ROW), active, "l_suppkey", "s_suppkey", "no_supplier")
     return K.violations(flagged, list(ROW), [K.flagged("l_suppkey", "NoReference", 547, "no_supplier")]).select(*ROW, "reason")
 

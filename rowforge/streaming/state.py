@@ -21,15 +21,16 @@ class Readiness(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         size, mtime, run, done = self.seen.get() if self.seen.exists() else (None, None, 0, False)
-        for batch in rows:
-            for at, s, m in batch.sort_values("observed_at")[["observed_at", "size", "mtime"]].itertuples(index=False):
-                if done:
-                    break
-                run = run + 1 if (s, m) == (size, mtime) else 1
-                size, mtime = int(s), int(m)
-                if run >= self.n:
-                    done = True
-                    yield pd.DataFrame({"path": [key[0]], "ready_at": [at]})
+        # one path in one micro-batch: three numbers per observation, bounded by the batch size
+        seen = pd.concat([b[["observed_at", "size", "mtime"]] for b in rows]).sort_values("observed_at")
+        for at, s, m in seen.itertuples(index=False):
+            if done:
+                break
+            run = run + 1 if (s, m) == (size, mtime) else 1
+            size, mtime = int(s), int(m)
+            if run >= self.n:
+                done = True
+                yield pd.DataFrame({"path": [key[0]], "ready_at": [at]})
         self.seen.update((size, mtime, run, done))
 
     def close(self) -> None:
