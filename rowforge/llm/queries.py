@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import warc
+from rowforge.llm import secrets, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def query(name: str, sql: str | None = None):
 def op1_warc(t: Tables) -> DataFrame:
     index, folder = warc.archive(t.spark, t.pages)
     return warc.read_bundles(index, folder)
+
+
+@query("op5_secrets")
+def op5_secrets(t: Tables) -> DataFrame:
+    return secrets.report(t.documents)
