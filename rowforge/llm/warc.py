@@ -194,7 +194,7 @@ def described(head: dict[str, str], block: bytes) -> tuple[int | None, int, str,
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
     """All records of the bundles that ``index`` names, frame by frame."""
     bundles = index.select("bundle").distinct()
-    spread = bundles.repartition(max(1, bundles.count()), "bundle")
+    spread = bundles.repartition(max(1, bundles.count()), F.hash("bundle"))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
