@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import secrets, warc
+from rowforge.llm import langid, packing, quality, secrets, spotsigs, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +41,26 @@ def op1_warc(t: Tables) -> DataFrame:
     return warc.read_bundles(index, folder)
 
 
+@query("op2_language")
+def op2_language(t: Tables) -> DataFrame:
+    return langid.identify(t.documents)
+
+
+@query("op4_quality")
+def op4_quality(t: Tables) -> DataFrame:
+    return quality.resample(t.documents, t.labels).drop("_hash")
+
+
 @query("op5_secrets")
 def op5_secrets(t: Tables) -> DataFrame:
     return secrets.report(t.documents)
+
+
+@query("op7_packing")
+def op7_packing(t: Tables) -> DataFrame:
+    return packing.pack(t.documents)
+
+
+@query("op10_spotsigs")
+def op10_spotsigs(t: Tables) -> DataFrame:
+    return spotsigs.compare_with_next(t.documents)

@@ -11,8 +11,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SPACE = np.zeros(256, bool)
-SPACE[[9, 10, 11, 12, 13, 32]] = True
+# Byte classes: a word is a maximal run of one class other than 0.
+WORDS = np.ones(256, np.uint8)
+WORDS[[9, 10, 11, 12, 13, 32]] = 0
+SYMBOLS = WORDS.copy()  # letters, digits and bytes of longer code points apart from symbols
+SYMBOLS[[c for c in range(33, 127) if not chr(c).isalnum()]] = 2
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 EXACT = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,13 +89,15 @@ def prefix_hash(data: np.ndarray, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def words(column: pa.Array, values: np.ndarray = FOLDED) -> Words:
+def words(column: pa.Array, values: np.ndarray = FOLDED, classes: np.ndarray = WORDS) -> Words:
     data, offsets = utf8(column)
-    inside = ~SPACE[data]
+    kind = classes[data]
+    inside = kind > 0
     begins, ends = inside.copy(), inside.copy()
     if len(data):
-        begins[1:] &= ~inside[:-1]
-        ends[:-1] &= ~inside[1:]
+        same = kind[1:] == kind[:-1]
+        begins[1:] &= ~same
+        ends[:-1] &= ~same
         full = offsets[:-1] < offsets[1:]
         begins[offsets[:-1][full]] = inside[offsets[:-1][full]]
         ends[offsets[1:][full] - 1] = inside[offsets[1:][full] - 1]
@@ -132,10 +137,27 @@ def shingles(found: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def sets(row: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (row, value), sorted by both."""
+def sets(row: np.ndarray, value: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (row, top ``bits`` of value), sorted by both. Fewer bits sort faster and need rows below ``2**(64 - bits)``."""
+    value = value >> np.uint64(64 - bits)
+    if bits < 64:
+        both = np.sort((row.astype(np.uint64) << np.uint64(bits)) | value)
+        keep = np.ones(len(both), bool)
+        keep[1:] = both[1:] != both[:-1]
+        both = both[keep]
+        return (both >> np.uint64(bits)).astype(np.int64), both & np.uint64((1 << bits) - 1)
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     keep = np.ones(len(row), bool)
     keep[1:] = (row[1:] != row[:-1]) | (value[1:] != value[:-1])
     return row[keep], value[keep]
+
+
+def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Per row, the Jaccard likeness of two sets as ``sets`` gives them; 1 for two empty ones."""
+    sizes = np.bincount(left[0], minlength=rows) + np.bincount(right[0], minlength=rows)
+    row, value = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
+    order = np.lexsort((value, row))
+    row, value = row[order], value[order]
+    shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=rows)
+    return np.where(sizes > 0, shared / np.maximum(sizes - shared, 1), 1.0)
