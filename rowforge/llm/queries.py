@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import langid, packing, quality, secrets, spotsigs, warc
+from rowforge.llm import decontaminate, extract, langid, packing, quality, secrets, spotsigs, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -46,6 +46,11 @@ def op2_language(t: Tables) -> DataFrame:
     return langid.identify(t.documents)
 
 
+@query("op3_decontamination")
+def op3_decontamination(t: Tables) -> DataFrame:
+    return decontaminate.find(t.documents, t.benchmark)
+
+
 @query("op4_quality")
 def op4_quality(t: Tables) -> DataFrame:
     return quality.resample(t.documents, t.labels).drop("_hash")
@@ -56,6 +61,11 @@ def op5_secrets(t: Tables) -> DataFrame:
     return secrets.report(t.documents)
 
 
+@query("op6_extraction")
+def op6_extraction(t: Tables) -> DataFrame:
+    return extract.extract(t.pages)
+
+
 @query("op7_packing")
 def op7_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents)

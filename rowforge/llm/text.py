@@ -55,13 +55,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges whose bytes stay near ``most``, so that work arrays stay small. A longer row stands alone."""
+def pieces(column: pa.Array, most: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows whose bytes stay near ``most``, so that work arrays stay small. A longer row stands alone."""
     _, offsets = utf8(column)
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
-        yield at, min(to, len(column))
+        yield at, (to := min(to, len(column), at + rows))
         at = to
 
 
@@ -153,11 +153,17 @@ def sets(row: np.ndarray, value: np.ndarray, bits: int = 64) -> tuple[np.ndarray
     return row[keep], value[keep]
 
 
-def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
-    """Per row, the Jaccard likeness of two sets as ``sets`` gives them; 1 for two empty ones."""
+def overlap(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per row, the sizes of the intersection and the union of two sets as ``sets`` gives them."""
     sizes = np.bincount(left[0], minlength=rows) + np.bincount(right[0], minlength=rows)
     row, value = np.concatenate([left[0], right[0]]), np.concatenate([left[1], right[1]])
     order = np.lexsort((value, row))
     row, value = row[order], value[order]
     shared = np.bincount(row[1:][(row[1:] == row[:-1]) & (value[1:] == value[:-1])], minlength=rows)
-    return np.where(sizes > 0, shared / np.maximum(sizes - shared, 1), 1.0)
+    return shared, sizes - shared
+
+
+def jaccard(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray], rows: int) -> np.ndarray:
+    """Likeness per row; 1 for two empty sets."""
+    shared, union = overlap(left, right, rows)
+    return np.where(union > 0, shared / np.maximum(union, 1), 1.0)
