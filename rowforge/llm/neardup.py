@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from rowforge.llm import text as T
 from rowforge.llm.components import components
+from rowforge.llm.ids import Marks, drop_keys, select
 from rowforge.llm.store import stage
 from rowforge.operators.skew import attach
 
@@ -35,8 +36,6 @@ DEEPER = 4
 NEIGHBOURS = 3
 HUBS = 4
 SEED = 8
-MOST_BITS = 1 << 27
-PAGE = 32_768  # bits of one of Spark's bitmaps
 
 
 def minima(row: np.ndarray, value: np.ndarray, rows: int, hashes: int = HASHES) -> np.ndarray:
@@ -161,24 +160,10 @@ def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """doc_id, text of the documents in ``pairs``, and of few others: a bitmap of hashed ids, at most
-    ``MOST_BITS`` bits, leaves the rest out before anything is shuffled."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    bits = int(min(MOST_BITS, max(PAGE, 1 << (16 * max(1, pairs.count())).bit_length())))
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    marks = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / PAGE).alias("page")).agg(F.bitmap_construct_agg((F.col("p") % PAGE).cast("long")).alias("bits"))
-    bitmap = np.zeros(bits // 8, np.uint8)
-    for page, data in marks.collect():  # at most MOST_BITS / PAGE rows
-        bitmap[page * PAGE // 8 : (page + 1) * PAGE // 8] = np.frombuffer(data, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            p = np.asarray(batch.column(2))
-            yield batch.select(["doc_id", "text"]).filter(pa.array((shared.value[p // 8] >> (p % 8)) & 1 == 1))
-
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.col("text").cast("string").alias("text"), F.pmod(F.xxhash64("doc_id"), F.lit(bits)).alias("place"))
-    return rows.mapInArrow(run, "doc_id long, text string")
+    """doc_id, text of the documents in ``pairs``, and of few others."""
+    marks = Marks(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    return select(rows, F.col("doc_id"), marks, True).select("doc_id", "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -227,3 +212,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     every = found.unionByName(bare)
     kept = F.col("_component").isNull() | F.coalesce(F.col("doc_id") == F.col("_component"), F.lit(False))
     return every.select("doc_id", "n_shingles", F.col("_component").alias("component_id"), kept.alias("kept"), "a", "b")
+
+
+def keep_one(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The documents that ``near_duplicates`` keeps, with all their columns; of repeated rows of one id, one stays."""
+    found = near_duplicates(docs, words, percent)
+    ids = found.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("id")).agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+    told = stage(ids.where("NOT kept OR n > 1"), "gone")
+    return drop_keys(docs, F.col("doc_id"), told.where("NOT kept").select("id"), told.where("kept").select("id"))

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.llm import text as T
+from rowforge.llm.ids import drop_keys
 from rowforge.llm.store import stage
 
 BUCKETS = 1 << 16
@@ -136,7 +137,6 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the resampling keeps, with all their columns."""
-    chosen = resample(docs, labels).where("kept").select("doc_id", "_hash").distinct()
-    own = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    right = chosen.select(F.col("doc_id").alias("_id"), F.col("_hash").alias("_own"))
-    return docs.join(right, docs["doc_id"].eqNullSafe(right["_id"]) & (own == right["_own"]), "left_semi").select(*docs.columns)
+    key = lambda own: F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), own)
+    gone = stage(resample(docs, labels).where("NOT kept").select(key(F.col("_hash")).alias("id")), "rejected")
+    return drop_keys(docs, key(F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))), gone)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import decontaminate, extract, langid, packing, quality, secrets, spotsigs, warc
+from rowforge.llm import decontaminate, extract, langid, neardup, packing, quality, secrets, spotsigs, substrings, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,6 +71,16 @@ def op7_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents)
 
 
+@query("op8_neardup")
+def op8_neardup(t: Tables) -> DataFrame:
+    return neardup.near_duplicates(t.documents).drop("a", "b")
+
+
+@query("op9_substrings")
+def op9_substrings(t: Tables) -> DataFrame:
+    return substrings.remove_repeats(t.documents)
+
+
 @query("op10_spotsigs")
 def op10_spotsigs(t: Tables) -> DataFrame:
     return spotsigs.compare_with_next(t.documents)
