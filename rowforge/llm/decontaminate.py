@@ -1,8 +1,9 @@
 """Benchmark items found in documents within a share of edits, by CGK embedding and bit-sampling LSH.
 
 Texts are sequences of lower-case words (letters and digits). An item of m words is found where some run
-of document words is at edit distance k = floor(m / 5) or less. Windows of item size start at every word; a
-count of shared word pairs, which no such run can fail, leaves the few worth embedding. The CGK walk turns edit
+of document words is at edit distance k = floor(m / 5) or less. Windows of item size start at every word;
+counts of shared word pairs and triples, which no such run can fail (an edit breaks two or three), leave the
+few worth embedding. The CGK walk turns edit
 distance into Hamming distance: at step t it puts out the word it stands on and moves on if a random bit of
 (t, word) says so. Each table samples a few steps of a walk; windows and items with equal samples meet and
 the edit distance is then computed exactly.
@@ -31,7 +32,7 @@ BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 8 << 20
 SEED = 11
 HITS = "doc_id long, item_id long, edits int, item_words int"
-BITS = 22
+BITS = 21
 
 
 def budget(m: int, share: float = EDITS) -> int:
@@ -75,13 +76,18 @@ class Index:
         self.share, self.walks, self.tables, self.samples = share, walks, tables, samples
         self.words = [code[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
         self.ids = [i for i, _ in items]
+        self.chosen: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         self.of_length: dict[int, list[int]] = defaultdict(list)
-        self.pairs = np.zeros(1 << BITS, bool)
+        self.shared = {n: np.zeros(1 << BITS, np.uint64) for n in (2, 3)}  # a bit per item length, by turns
         for k, words in enumerate(self.words):
             if len(words) >= LEAST:
                 self.of_length[len(words)].append(k)
-                self.pairs[self.slot(words)] = True
         self.lengths = sorted(self.of_length)
+        self.bit = {m: np.uint64(1 << (k % 64)) for k, m in enumerate(self.lengths)}
+        for m, own in self.of_length.items():
+            for n, marks in self.shared.items():
+                for k in own:
+                    marks[self.slot(self.words[k], n)] |= self.bit[m]
         self.keys: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for m, own in self.of_length.items():
             joined = np.concatenate([self.words[k] for k in own])
@@ -91,30 +97,46 @@ class Index:
             self.keys[m] = keys[order], item[order]
 
     @staticmethod
-    def slot(words: np.ndarray) -> np.ndarray:
-        return (T.chained([words[:-1], words[1:]]) >> np.uint64(64 - BITS)).astype(np.int64)
+    def slot(words: np.ndarray, n: int) -> np.ndarray:
+        last = len(words) - n + 1
+        return (T.chained([words[k : k + max(last, 0)] for k in range(n)]) >> np.uint64(64 - BITS)).astype(np.int64)
+
+    def marked(self, row: np.ndarray, words: np.ndarray) -> dict[int, np.ndarray]:
+        """For each word, the item lengths that have the pair and the triple which begins there."""
+        out = {}
+        for n, marks in self.shared.items():
+            out[n] = np.zeros(len(words), np.uint64)
+            if len(words) >= n:
+                whole = row[n - 1 :] == row[: len(row) - n + 1]
+                out[n][: len(whole)] = np.where(whole, marks[self.slot(words, n)], np.uint64(0))
+        return out
+
+    def choices(self, m: int) -> tuple[np.ndarray, np.ndarray]:
+        """Random bits of the walks, (walks, steps), and the sampled steps of each table, (walks, tables, samples)."""
+        if m not in self.chosen:
+            rng, steps = np.random.default_rng([SEED, m]), 2 * m
+            turn = rng.integers(1, 1 << 63, (self.walks, steps), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+            order = np.argsort(rng.random((self.walks, self.tables, steps)), axis=2)[:, :, : self.samples]
+            self.chosen[m] = turn, np.sort(order, axis=2)
+        return self.chosen[m]
 
     def embed(self, words: np.ndarray, start: np.ndarray, stop: np.ndarray, m: int) -> np.ndarray:
         """Table keys (windows, walks * tables) of windows of ``m`` words from ``start``, padded past ``stop``."""
         stop = np.minimum(stop, start + m)
+        turn, chosen = self.choices(m)
         padded = np.append(words, np.uint64(0))
-        out = []
-        for walk in range(self.walks):
-            rng = np.random.default_rng([SEED, walk, m])
-            steps = 2 * m
-            turn = rng.integers(1, 1 << 63, steps, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-            chosen = [np.sort(rng.choice(steps, min(self.samples, steps), replace=False)) for _ in range(self.tables)]
-            need = set(np.concatenate(chosen).tolist())
-            at, seen = start.copy(), {}
-            for t in range(max(need) + 1):
-                on = at < stop
-                word = padded[np.where(on, at, len(words))]
-                if t in need:
-                    seen[t] = word
-                at = at + (on & ((T.mix(word * turn[t]) >> np.uint64(63)) == 1))
-            for number, ts in enumerate(chosen):
-                out.append(T.chained([np.full(len(start), walk * self.tables + number + 1, np.uint64), *[seen[t] for t in ts]]))
-        return np.stack(out, axis=1) if out else np.zeros((len(start), 0), np.uint64)
+        at = np.repeat(start[None, :], self.walks, axis=0)
+        seen = []
+        for t in range(int(chosen.max()) + 1):
+            on = at < stop
+            word = padded[np.where(on, at, len(words))]
+            seen.append(word)
+            at += on & ((word * turn[:, t : t + 1]) >> np.uint64(63) == 1)
+        steps = np.stack(seen)  # (steps, walks, windows)
+        number = np.arange(1, self.walks * self.tables + 1, dtype=np.uint64).reshape(self.walks, self.tables)
+        walk = np.arange(self.walks)[:, None]
+        keys = T.chained([np.broadcast_to(number[:, :, None], (*number.shape, len(start))), *[steps[chosen[:, :, k], walk] for k in range(chosen.shape[2])]])
+        return keys.reshape(-1, len(start)).T
 
     def groups(self) -> list[list[int]]:
         """Item lengths in groups of near sizes, so that the pair count is taken once a group."""
@@ -132,27 +154,40 @@ class Index:
         if not n or not self.lengths:
             return {}
         stop = np.searchsorted(row, row, "right")
-        shared = np.zeros(n + 1, np.int64)
-        if n > 1:
-            np.cumsum(self.pairs[self.slot(words)] & (row[1:] == row[:-1]), out=shared[1:n])
-        shared[n] = shared[n - 1]
+        marks = self.marked(row, words)
+        need = {m: {k: m - k + 1 - k * budget(m, self.share) for k in self.shared} for m in self.lengths}
+
+        def holds(begin: np.ndarray, size: int, bits: np.uint64, least: dict[int, int], at: np.ndarray, last: np.ndarray) -> np.ndarray:
+            """Those of ``begin`` whose next ``size`` words, at ``at`` of the marks, hold enough shared pairs and triples."""
+            for k, few in least.items():
+                total = np.concatenate([[0], np.cumsum((marks[k][at] & bits) != 0)])
+                end = np.maximum(np.minimum(begin + size, last[begin]) - k + 1, begin)
+                begin = begin[total[end] - total[begin] >= few]
+            return begin
+
         met: dict[tuple[int, int], list[int]] = defaultdict(list)
+        every = np.arange(n)
         for group in self.groups():
             most = group[-1] + budget(group[-1], self.share)
-            least = min(m - 1 - 2 * budget(m, self.share) for m in group)
-            begin = np.flatnonzero(shared[np.minimum(np.arange(n) + most - 1, stop - 1)] - shared[:n] >= max(least, 1))
+            bits = np.bitwise_or.reduce([self.bit[m] for m in group])
+            begin = holds(every, most, bits, {k: min(need[m][k] for m in group) for k in (3, 2)}, every, stop)
+            # What follows looks at the words of these windows only.
+            edges = np.zeros(n + 1, np.int64)
+            np.add.at(edges, begin, 1)
+            np.add.at(edges, np.minimum(begin + most, stop[begin]), -1)
+            near = np.flatnonzero(np.cumsum(edges[:n]))
+            place = np.searchsorted(near, begin)
+            last = np.searchsorted(near, stop[near])
             for m in group if len(begin) else ():
-                k = budget(m, self.share)
-                last = np.minimum(begin + m + k - 1, stop[begin] - 1)
-                start = begin[shared[last] - shared[begin] >= m - 1 - 2 * k]
+                start = near[holds(place, m + budget(m, self.share), self.bit[m], need[m], near, last)]
                 if not len(start):
                     continue
                 keys, (known, item) = self.embed(words, start, stop[start], m), self.keys[m]
                 low, high = np.searchsorted(known, keys, "left"), np.searchsorted(known, keys, "right")
                 hit, table = np.nonzero(high > low)
                 many = (high - low)[hit, table]
-                place = np.repeat(low[hit, table] - np.cumsum(many) + many, many) + np.arange(many.sum())
-                both = np.unique(np.stack([np.repeat(hit, many), item[place]], axis=1), axis=0)
+                flat = np.repeat(low[hit, table] - np.cumsum(many) + many, many) + np.arange(many.sum())
+                both = np.unique(np.stack([np.repeat(hit, many), item[flat]], axis=1), axis=0)
                 for i, found in both.tolist():
                     met[int(row[start[i]]), found].append(int(start[i]))
         return self.verified(met, row, words)
