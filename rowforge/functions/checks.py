@@ -35,8 +35,9 @@ def convertible(name: str, converter: Callable[[Column], Column]) -> Check:
 
 
 def fits(name: str, precision: int, scale: int) -> Check:
-    """A well-formed number with more whole digits than decimal(precision, scale) holds."""
-    return Check(name, "Overflow", 8115, F.col(name).rlike(rf"^[+-]?0*[1-9][0-9]{{{precision - scale},}}(\.[0-9]*)?$"))
+    """A well-formed number with more whole digits than decimal(precision, scale) holds, judged without commas as it is converted."""
+    plain = F.replace(F.col(f"_t_{name}"), F.lit(","), F.lit(""))
+    return Check(name, "Overflow", 8115, plain.rlike(rf"^[+-]?0*[1-9][0-9]{{{precision - scale},}}(\.[0-9]*)?$"), trim=True)
 
 
 def check(name: str, holds: Column, reason: str = "CheckFailed") -> Check:

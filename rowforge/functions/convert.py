@@ -19,7 +19,7 @@ DEFAULT_DATE_FORMAT = "yyyy-MM-dd"
 PLAIN_DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 PLAIN_INTEGER = r"^[+-]?[0-9]+$"
 UUID_PATTERN = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
-DATE_FORMAT_SHAPE = r"^(yyyy|MM|dd|HH|mm|ss|[-/. :])+$"
+DATE_FORMAT_SHAPE = r"^(y{4}|y{2}|M{1,4}|d{1,2}|H{1,2}|h{1,2}|m{1,2}|s{1,2}|a|[-/. :,])+$"
 
 
 @dataclass(frozen=True)
@@ -37,12 +37,22 @@ class Field:
 
 
 def usable_date_format(fmt: str) -> bool:
-    return bool(re.match(DATE_FORMAT_SHAPE, fmt)) and all(p in fmt for p in ("yyyy", "MM", "dd"))
+    return bool(re.match(DATE_FORMAT_SHAPE, fmt)) and all(p in fmt for p in "yMd")
 
 
 def exact_shape(fmt: str) -> str:
-    """Regex for text of exactly the shape of a numeric date format; there is no year 0."""
-    shape = re.sub(r"[A-Za-z]+", lambda m: f"[0-9]{{{len(m.group())}}}", re.sub(r"([.])", r"\\\1", fmt))
+    """Regex for text of exactly the shape of a date format; there is no year 0. A single letter takes one or two
+    digits; three or four M are a month's name."""
+
+    def part(m: re.Match) -> str:
+        letters = m.group()
+        if letters[0] == "a":
+            return "[AaPp][Mm]"
+        if letters[0] == "M" and len(letters) > 2:
+            return "[A-Za-z]{3}" if len(letters) == 3 else "[A-Za-z]{3,9}"
+        return "[0-9]{1,2}" if len(letters) == 1 else f"[0-9]{{{len(letters)}}}"
+
+    shape = re.sub(r"([A-Za-z])\1*", part, fmt.replace(".", "\\."))
     return "^" + shape.replace("[0-9]{4}", "(?!0000)[0-9]{4}") + "$"
 
 

@@ -92,7 +92,7 @@ def target_rules(versions: DataFrame) -> DataFrame:
 
 
 def usable_format(fmt: Column) -> Column:
-    return fmt.rlike(DATE_FORMAT_SHAPE) & fmt.contains("yyyy") & fmt.contains("MM") & fmt.contains("dd")
+    return fmt.rlike(DATE_FORMAT_SHAPE) & fmt.contains("y") & fmt.contains("M") & fmt.contains("d")
 
 
 def validate_versions(versions: DataFrame, columns: DataFrame) -> DataFrame:
@@ -153,14 +153,17 @@ def attach_config(jobs: DataFrame, versions: DataFrame) -> DataFrame:
 
 
 def fields_of(versions: DataFrame, columns: DataFrame, version_id: int) -> list[Field]:
-    """Rules of one version compiled for ``normalize``. A version has one rule per target column."""
+    """Rules of one version compiled for ``normalize``. A version has one rule per target column.
+
+    Column definitions may carry precision, scale and max_length; the defaults of ``Field`` hold where they don't."""
+    sizes = [c for c in ("precision", "scale", "max_length") if c in columns.columns]
     rules = target_rules(versions.filter(F.col("version_id") == version_id))
     target = versions.filter(F.col("version_id") == version_id).select(F.col("normalized_table_id").alias("table_id"))
     defs = columns.join(target, "table_id", "left_semi")
     found = (
         rules.join(defs, rules.normalized_column == defs.name, "left")
         .orderBy("ordinal")
-        .select("source_column", "normalized_column", "data_type", "is_required", "format")
+        .select("source_column", "normalized_column", "data_type", "is_required", "format", *sizes)
         .limit(MAX_RULES + 1)
         .collect()
     )
@@ -169,7 +172,10 @@ def fields_of(versions: DataFrame, columns: DataFrame, version_id: int) -> list[
     unknown = [r.normalized_column for r in found if r.data_type is None]
     if unknown:
         raise ValueError(f"version {version_id} maps unknown columns {unknown}")
-    return [Field(r.source_column, r.normalized_column, r.data_type, r.is_required, r.format) for r in found]
+    return [
+        Field(r.source_column, r.normalized_column, r.data_type, r.is_required, r.format, **{c: r[c] for c in sizes if r[c] is not None})
+        for r in found
+    ]
 
 
 def next_version(versions: DataFrame) -> DataFrame:

@@ -147,22 +147,27 @@ def job_counts(ops: DataFrame, job: str, row: list[str]) -> DataFrame:
 
 
 def job_state(ops: DataFrame, job: str) -> DataFrame:
-    """State from required operations; any unclear outcome stops for review."""
-    required = ops.filter("required")
-    ok = F.col("result") == SUCCEEDED
-    return required.groupBy(job).agg(
-        F.when(F.bool_or(F.coalesce(F.col("result") == UNKNOWN, F.lit(True))), "NeedsReview")
-        .when(F.bool_and(ok), "Succeeded").when(F.bool_or(ok), "PartiallySucceeded").otherwise("Failed").alias("state")
+    """State from required operations; any unclear outcome stops for review. Nothing required is nothing failed."""
+    needed = F.coalesce(F.col("required"), F.lit(False))
+    ok = F.when(needed, F.coalesce(F.col("result") == SUCCEEDED, F.lit(False)))
+    unclear = F.when(needed, F.coalesce(F.col("result") == UNKNOWN, F.lit(True)))
+    return ops.groupBy(job).agg(
+        F.when(F.bool_or(unclear), "NeedsReview")
+        .when(F.coalesce(F.bool_and(ok), F.lit(True)), "Succeeded").when(F.bool_or(ok), "PartiallySucceeded").otherwise("Failed").alias("state")
     )
 
 
-def close_headers(headers: DataFrame, ops: DataFrame, n_targets: int) -> DataFrame:
-    """Open headers become A or E once every target has reported; closed ones never change.
+def close_headers(headers: DataFrame, ops: DataFrame, selected: DataFrame) -> DataFrame:
+    """Open headers become A or E once every target that selected rows of them has reported on all; closed ones never change.
 
-    ``ops`` has trans_id, target_id and result."""
-    per_target = ops.groupBy("trans_id", "target_id").agg(F.bool_and(F.col("result") == SUCCEEDED).alias("_ok"))
-    done = per_target.groupBy("trans_id").agg(F.count(F.lit(1)).alias("_seen"), F.bool_and("_ok").alias("_all_ok"))
-    closing = (F.col("stat_flag") == "I") & (F.col("_seen") >= n_targets)
+    ``ops`` has trans_id, target_id and result; ``selected`` has trans_id, target_id and n_rows. A header
+    that no target selected rows of has nothing to wait for and closes as A once it has rows at all (n_rows 0)."""
+    per_target = ops.groupBy("trans_id", "target_id").agg(F.count(F.lit(1)).alias("_done"), F.bool_and(F.col("result") == SUCCEEDED).alias("_ok"))
+    due = selected.join(per_target, ["trans_id", "target_id"], "left")
+    done = due.groupBy("trans_id").agg(
+        F.bool_and(F.coalesce(F.col("_done"), F.lit(0)) >= F.col("n_rows")).alias("_seen"), F.bool_and(F.coalesce(F.col("_ok"), F.lit(True))).alias("_all_ok")
+    )
+    closing = (F.col("stat_flag") == "I") & F.coalesce(F.col("_seen"), F.lit(False))
     return (
         headers.join(done, "trans_id", "left")
         .withColumn("stat_flag", F.when(closing, F.when(F.col("_all_ok"), "A").otherwise("E")).otherwise(F.col("stat_flag")))
@@ -170,6 +175,13 @@ def close_headers(headers: DataFrame, ops: DataFrame, n_targets: int) -> DataFra
     )
 
 
+def selected_rows(df: DataFrame, targets: list[TargetMap], trans: str = "trans_id") -> DataFrame:
+    """(trans_id, target_id, n_rows): rows of each transaction that each target selects, zero included."""
+    counts = df.groupBy(F.col(trans).alias("trans_id")).agg(*[F.count_if(all_of(t.where)).alias(f"_n_{i}") for i, t in enumerate(targets)])
+    rows = F.array(*[F.struct(F.lit(t.target_id).alias("target_id"), F.col(f"_n_{i}").alias("n_rows")) for i, t in enumerate(targets)])
+    return counts.select("trans_id", F.inline(rows))
+
+
 def reconcile(results: DataFrame, keys: list[str]) -> DataFrame:
     """Steps 1 source, 2 success, 3 error per key, as rows."""
     counts = results.groupBy(*keys).agg(

@@ -180,6 +180,51 @@ def positional_columns(t: Tables) -> DataFrame:
     return staged.drop("trans_id", "row_number")
 
 
+@query(
+    "positional_gaps",
+    """SELECT s_suppkey, 'Column1_Key' AS name1, CAST(NULL AS VARCHAR) AS name2, 'Column3_Nation' AS name3, s_name AS value2,
+      CAST(s_nationkey AS VARCHAR) AS value3 FROM supplier WHERE s_suppkey % 7 <> 0""",
+)
+def positional_gaps(t: Tables) -> DataFrame:
+    """A blank header keeps its place; rows with text only after the fifth cell are not accepted."""
+    path = fresh_path(t.spark, "positional-gaps")
+    empty = F.col("s_suppkey") % 7 == 0
+    cell = lambda c: F.when(~empty, F.col(c).cast("string"))
+    t.supplier.select(
+        cell("s_suppkey").alias("Key"), cell("s_name").alias(" "), cell("s_nationkey").alias("Nation"),
+        *[F.lit(None).cast("string").alias(f"x{k}") for k in range(2)], F.lit("tail").alias("Tail"),
+    ).write.option("header", True).csv(path)
+    rows = S.positional(S.land(t.spark, path, embedded_newlines=False))
+    value, name = (lambda i: F.get("cells", F.lit(i))), (lambda i: F.get("names", F.lit(i)))
+    return rows.select(
+        value(0).cast("bigint").alias("s_suppkey"), name(0).alias("name1"), name(1).alias("name2"), name(2).alias("name3"),
+        value(1).alias("value2"), value(2).alias("value3"),
+    )
+
+
+@query(
+    "slice_overruns",
+    """SELECT p_brand AS file, 'ImportFailed' AS import_status, 'Slice of 90 rows leaves nothing of ' || count(*) AS last_error
+    FROM part GROUP BY p_brand HAVING count(*) <= 90""",
+)
+def slice_overruns(t: Tables) -> DataFrame:
+    """Files no longer than the cut fail as files."""
+    rows = t.part.select(F.col("p_brand").alias("file"), "p_partkey")
+    return P.slice_overruns(number_rows(rows, ["file"], ["p_partkey"], id_range(F.col("p_partkey"))), 10, 100)
+
+
+@query(
+    "parse_fixed_long",
+    """SELECT p_brand AS file, p_partkey, p_name AS value1, p_type AS value2, '' AS value3 FROM part""",
+)
+def parse_fixed_long(t: Tables) -> DataFrame:
+    """A slot that begins after 6000 characters, and one past the end of the line."""
+    line = F.concat(F.rpad("p_name", 6500, " "), F.col("p_type"))
+    rows = t.part.select(F.col("p_brand").alias("file"), "p_partkey", F.lit(2).alias("line_no"), line.alias("line"))
+    layout = [P.Slot(1, 30), P.Slot(6501, 40), P.Slot(9000, 10)]
+    return first_cells(P.parse_fixed_width(rows, layout), 3, "file", "p_partkey")
+
+
 @query(
     "positional_csv",
     """SELECT s_suppkey, 'Column1_Supp Key' AS name1, 'Column2_Name' AS name2, s_name AS value2,

@@ -81,6 +81,26 @@ def missing_headers(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "csv_ragged",
+    """SELECT reason, n_cells, count(*) AS n_rows, min(raw) AS first_raw FROM (
+      SELECT CASE o_orderkey % 5 WHEN 1 THEN 'TooManyCells' ELSE 'TooFewCells' END AS reason,
+        CAST(CASE o_orderkey % 5 WHEN 1 THEN 4 ELSE 2 END AS INTEGER) AS n_cells,
+        CASE o_orderkey % 5 WHEN 1 THEN o_orderkey || ',"a,b",x,more' ELSE o_orderkey || ',5"6' END AS raw
+      FROM orders WHERE o_orderkey % 5 IN (1, 2)) GROUP BY reason, n_cells""",
+)
+def csv_ragged(t: Tables) -> DataFrame:
+    """Records longer or shorter than their header are reported with their text; the width comes from the header."""
+    key = F.col("o_orderkey").cast("string")
+    kind = F.col("o_orderkey") % 5
+    line = F.when(kind == 1, F.concat(key, F.lit(',"a,b",x,more'))).when(kind == 2, F.concat(key, F.lit(',5"6'))).otherwise(F.concat(key, F.lit(',"say ""x"", y",z')))
+    path = fresh_path(t.spark, "ragged")
+    t.orders.select(line.alias("Key,Text,Last")).write.option("header", True).option("quote", "").csv(path, sep="\x01")
+    landed = S.land(t.spark, path, embedded_newlines=False)
+    found = S.ragged(landed, S.headers(landed))
+    return found.groupBy("reason", "n_cells").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("first_raw"))
+
+
 @query("snapshot_source", CSV_SQL)
 def snapshot_source(t: Tables) -> DataFrame:
     """The same deliveries parsed from their stored bytes, as a retry does."""

@@ -133,13 +133,14 @@ def stream_hold(t: Tables) -> DataFrame:
     "stream_intake",
     """WITH s AS (SELECT *, s_suppkey // 500 * 25 + s_nationkey AS lot FROM supplier)
     SELECT 'lot=' || lot AS folder, sha256(string_agg(s_name, chr(10) ORDER BY s_suppkey) || chr(10)) AS content_hash,
-      CASE WHEN lot % 7 = 0 THEN 'NoActiveConfig' ELSE 'Queued' END AS outcome,
-      CASE WHEN lot % 7 <> 0 THEN lot * 10 + 1 END AS version_id FROM s GROUP BY lot""",
+      CASE WHEN lot % 7 = 0 THEN 'NoActiveConfig' WHEN lot % 7 = 1 THEN 'NoActiveVersion' ELSE 'Queued' END AS outcome,
+      CASE WHEN lot % 7 > 1 THEN lot * 10 + 1 END AS version_id FROM s GROUP BY lot""",
 )
 def stream_intake(t: Tables) -> DataFrame:
     """One file of supplier names per lot folder, at most 500 names each; every seventh has no config.
 
-    Each config activates a second version in the future, which must not be pinned."""
+    The first version of a config becomes active after its file was written and before it is received; the second
+    in the future, which must not be pinned. Every seventh config has no active version yet."""
     root, registry, warnings = (fresh_path(t.spark, n) for n in ("drop", "registry", "warnings"))
     lot = F.floor(F.col("s_suppkey") / 500) * 25 + F.col("s_nationkey")
     names = t.supplier.select(lot.alias("lot"), "s_suppkey", F.col("s_name").alias("value"))
@@ -147,12 +148,13 @@ def stream_intake(t: Tables) -> DataFrame:
     configs = names.select("lot").distinct().filter(F.col("lot") % 7 != 0).select(
         F.concat(F.lit("lot="), F.col("lot").cast("string")).alias("folder"), F.col("lot").alias("config_id")
     )
-    now = F.current_timestamp()
+    now = F.lit(t.spark.range(1).select(F.current_timestamp()).first()[0])
+    early = F.when(F.col("config_id") % 7 == 1, now + F.expr("INTERVAL 12 HOURS")).otherwise(now)
     activations = configs.select(
         "config_id",
         F.inline(
             F.array(
-                F.struct((now - F.expr("INTERVAL 1 DAY")).alias("activated_at"), (F.col("config_id") * 10 + 1).alias("version_id")),
+                F.struct(early.alias("activated_at"), (F.col("config_id") * 10 + 1).alias("version_id")),
                 F.struct((now + F.expr("INTERVAL 1 DAY")).alias("activated_at"), (F.col("config_id") * 10 + 2).alias("version_id")),
             )
         ),

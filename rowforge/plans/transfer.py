@@ -21,7 +21,7 @@ ROW_SQL = ", ".join(ROW)
 LINE_SQL = """line_text AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag AS flag, l_linestatus AS line_status,
   CASE WHEN l_partkey % 97 = 0 THEN 'abc' WHEN l_partkey % 61 = 0 THEN ' '
        ELSE CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) || '.00' END AS qty,
-  CASE WHEN l_partkey % 89 = 0 THEN '12345678901.00' ELSE format('{:,.2f}', CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE)) END AS price,
+  CASE WHEN l_partkey % 178 = 0 THEN '12,345,678,901.00' WHEN l_partkey % 89 = 0 THEN '12345678901.00' ELSE format('{:,.2f}', CAST(CAST(l_extendedprice AS DECIMAL(15,2)) AS DOUBLE)) END AS price,
   CASE WHEN l_suppkey % 13 = 0 THEN '31/02/2026' WHEN l_partkey % 50 = 0 THEN '' ELSE strftime(l_shipdate, '%d/%m/%Y') END AS ship,
   CASE WHEN l_partkey % 83 = 0 THEN 'not-a-guid' ELSE '6F9619FF-8B86-D011-B42D-' || lpad(CAST(l_partkey AS VARCHAR), 12, '0') END AS guid,
   'O''Neil "' || l_returnflag || '"' AS agent FROM lineitem)"""
@@ -34,7 +34,7 @@ def line_text(t: Tables) -> DataFrame:
         *ROW, F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("line_status"),
         F.when(part % 97 == 0, "abc").when(part % 61 == 0, " ")
         .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".00"))).alias("qty"),
-        F.when(part % 89 == 0, "12345678901.00")
+        F.when(part % 178 == 0, "12,345,678,901.00").when(part % 89 == 0, "12345678901.00")
         .otherwise(F.format_number(F.col("l_extendedprice").cast("decimal(15,2)"), 2)).alias("price"),
         F.when(supp % 13 == 0, "31/02/2026").when(part % 50 == 0, "").otherwise(F.date_format("l_shipdate", "dd/MM/yyyy")).alias("ship"),
         F.when(part % 83 == 0, "not-a-guid")
@@ -142,12 +142,16 @@ REPORTED = f"""{OPS}, reported AS (SELECT * EXCLUDE (result),
 
 @query(
     "job_state",
-    f"""{REPORTED} SELECT l_orderkey, CASE WHEN bool_or(result = 'Unknown') THEN 'NeedsReview'
-      WHEN bool_and(result = 'Succeeded') THEN 'Succeeded' WHEN bool_or(result = 'Succeeded') THEN 'PartiallySucceeded'
-      ELSE 'Failed' END AS state FROM reported WHERE target_id <> 'original_client' GROUP BY l_orderkey""",
+    f"""{REPORTED}, needed AS (SELECT *, target_id <> 'original_client' AND l_orderkey % 17 <> 0 AS required FROM reported)
+    SELECT l_orderkey, CASE WHEN count(*) FILTER (required AND result = 'Unknown') > 0 THEN 'NeedsReview'
+      WHEN count(*) FILTER (required AND result <> 'Succeeded') = 0 THEN 'Succeeded'
+      WHEN count(*) FILTER (required AND result = 'Succeeded') > 0 THEN 'PartiallySucceeded'
+      ELSE 'Failed' END AS state FROM needed GROUP BY l_orderkey""",
 )
 def job_state(t: Tables) -> DataFrame:
-    return X.job_state(reported(t), "l_orderkey")
+    """Jobs of every seventeenth order have no required operation and are listed all the same."""
+    ops = reported(t)
+    return X.job_state(ops.withColumn("required", F.col("required") & (F.col("l_orderkey") % 17 != 0)), "l_orderkey")
 
 
 @query(
@@ -182,14 +186,36 @@ def headers(t: Tables) -> DataFrame:
 
 @query(
     "close_headers",
-    f"""{OPS}, {HEADERS_SQL}, done AS (SELECT l_orderkey AS trans_id, count(DISTINCT target_id) AS seen, bool_and(result = 'Succeeded') AS ok
-      FROM ops GROUP BY ALL)
-    SELECT trans_id, system_id, CASE WHEN stat_flag = 'I' AND seen >= 3 THEN CASE WHEN ok THEN 'A' ELSE 'E' END ELSE stat_flag END AS stat_flag
-    FROM headers LEFT JOIN done USING (trans_id)""",
+    f"""{OPS}, {HEADERS_SQL}, told AS (SELECT * FROM ops WHERE NOT (target_id = 'original_cardetail' AND l_orderkey % 19 = 0)),
+    due AS (SELECT l_orderkey AS trans_id, count(*) + count(*) FILTER (flag IN ('A', 'R')) + count(*) AS n FROM line_text GROUP BY l_orderkey),
+    done AS (SELECT l_orderkey AS trans_id, count(*) AS n_told, bool_and(result = 'Succeeded') AS ok FROM told GROUP BY l_orderkey)
+    SELECT trans_id, system_id, CASE WHEN stat_flag = 'I' AND n_told = n THEN CASE WHEN ok THEN 'A' ELSE 'E' END ELSE stat_flag END AS stat_flag
+    FROM headers LEFT JOIN due USING (trans_id) LEFT JOIN done USING (trans_id)""",
 )
 def close_headers(t: Tables) -> DataFrame:
-    ops = X.operations(line_text(t), TARGETS, ROW).withColumnRenamed("l_orderkey", "trans_id")
-    return X.close_headers(headers(t), ops, 3).select("trans_id", "system_id", "stat_flag")
+    """Headers without a row for the client target close with the others; those the car target is silent on stay open."""
+    rows = line_text(t)
+    ops = X.operations(rows, TARGETS, ROW).withColumnRenamed("l_orderkey", "trans_id")
+    told = ops.filter(~((F.col("target_id") == "original_cardetail") & (F.col("trans_id") % 19 == 0)))
+    return X.close_headers(headers(t), told, X.selected_rows(rows, TARGETS, "l_orderkey")).select("trans_id", "system_id", "stat_flag")
+
+
+@query(
+    "client_rows",
+    f"""{TYPED_LINE} SELECT {ROW_SQL}, agent AS "cAgent", line_status AS "cKind" FROM line_ok WHERE flag IN ('A', 'R')""",
+)
+def client_rows(t: Tables) -> DataFrame:
+    """The rows of the filtered second target."""
+    return X.fan_out(line_text(t), TARGETS, ROW)["original_client"]
+
+
+@query(
+    "cardetail_rows",
+    f"""{TYPED_LINE} SELECT {ROW_SQL}, n_guid AS "cGuid", trim(qty) AS "nQty" FROM line_ok WHERE ok_car""",
+)
+def cardetail_rows(t: Tables) -> DataFrame:
+    """The rows of the third target; its quantity stays text."""
+    return X.fan_out(line_text(t), TARGETS, ROW)["original_cardetail"]
 
 
 @query(
@@ -294,7 +320,7 @@ found AS (
   UNION ALL SELECT {ROW_SQL}, 'price', 'TooLong', 2628 FROM line_value WHERE length(price) > 12
   UNION ALL SELECT {ROW_SQL}, 'ship', 'NotConvertible', 241 FROM line_value WHERE ship <> '' AND n_ship IS NULL
   UNION ALL SELECT {ROW_SQL}, 'guid', 'NotConvertible', 241 FROM line_value WHERE n_guid IS NULL
-  UNION ALL SELECT {ROW_SQL}, 'price', 'Overflow', 8115 FROM line_value WHERE price = '12345678901.00'
+  UNION ALL SELECT {ROW_SQL}, 'price', 'Overflow', 8115 FROM line_value WHERE price IN ('12345678901.00', '12,345,678,901.00')
   UNION ALL SELECT {ROW_SQL}, 'flag', 'CheckFailed', 547 FROM line_value WHERE flag = 'N'
   UNION ALL SELECT {ROW_SQL}, 'l_partkey', 'NoReference', 547 FROM line_value
     WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 3)

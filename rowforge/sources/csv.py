@@ -13,25 +13,46 @@ from pyspark.sql import types as T
 from rowforge.operators.intake import with_row_number
 from rowforge.operators.skew import attach
 from rowforge.session import stage
+from rowforge.sources.lines import accept
 
-# One record: runs of plain text and quoted parts up to a line end outside quotes.
-RECORD = r'((?:[^"\r\n]++|"(?:[^"]++|"")*+")++)'
+# One record, as Spark's reader sees it: a quote opens a quoted cell only where a cell begins; one that
+# never closes runs to the end of the file.
+CELL = r'(?:"(?:[^"]++|"")*+"[^,\r\n]*+|"[\s\S]*+|[^",\r\n][^,\r\n]*+)?+'
+RECORD = rf"({CELL}(?:,{CELL})*+)"
+QUOTED = r'(^|,)"(?:[^"]++|"")*+"'
+RAW = "_raw"
 
 
 def cell_schema(width: int) -> T.StructType:
-    return T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width + 1)])
+    return T.StructType([T.StructField(n, T.StringType()) for n in (*[f"c{i}" for i in range(width)], RAW)])
 
 
-def land(spark: SparkSession, paths: list[str] | str, width: int, embedded_newlines: bool = True) -> DataFrame:
-    """(file, _block, _pos, cells) of every record, header included, written once.
+def cell_count(record: Column) -> Column:
+    """Cells of a record's text: commas outside quoted cells, and one."""
+    bare = F.regexp_replace(record, QUOTED, "$1")
+    return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
-    With embedded newlines a file is one task; a config that declares none lets
-    Spark split files. ``wide`` marks records with more than ``width`` cells."""
+
+def header_width(spark: SparkSession, paths: list[str] | str) -> int:
+    """Cells of the widest header line among the files."""
+    lines = spark.read.text(paths).filter(F.col("_metadata.file_block_start") == 0)
+    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_pos"), "value")
+    first = placed.groupBy("file").agg(F.min_by("value", "_pos").alias("line"))
+    return first.agg(F.max(cell_count(F.col("line")))).first()[0] or 1
+
+
+def land(spark: SparkSession, paths: list[str] | str, width: int | None = None, embedded_newlines: bool = True) -> DataFrame:
+    """(file, _block, _pos, cells, n_cells, raw) of every record, header included, written once.
+
+    Without ``width`` the widest header decides. A record of another length keeps its text in ``raw``
+    and its length in ``n_cells``, so no cell is lost. With embedded newlines a file is one task; a
+    config that declares none lets Spark split files."""
+    width = width or header_width(spark, paths)
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
     raw = (
         spark.read.schema(cell_schema(width))
         .option("header", False).option("multiLine", embedded_newlines).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"')
+        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
         .csv(paths)
     )
@@ -39,20 +60,36 @@ def land(spark: SparkSession, paths: list[str] | str, width: int, embedded_newli
         raw.select(
             F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
             F.monotonically_increasing_id().alias("_pos"), cells.alias("cells"),
-            F.col(f"c{width}").isNotNull().alias("wide"),
+            n_cells(F.col(RAW), width), F.col(RAW).alias("raw"),
         ),
         "landed",
     )
 
 
+def n_cells(raw: Column, width: int) -> Column:
+    return F.when(raw.isNull(), width).otherwise(cell_count(raw)).cast("int").alias("n_cells")
+
+
+def ragged(landed: DataFrame, heads: DataFrame) -> DataFrame:
+    """(file, row_number, n_cells, header_cells, reason, raw) of records whose length differs from their header's."""
+    named = heads.select("file", "_header_pos", "header_cells")
+    body = attach(landed, named, ["file"], "inner").filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
+    numbered = with_row_number(body.select("file", "_block", "_pos", "n_cells", "header_cells", "raw"), "file")
+    reason = F.when(F.col("n_cells") > F.col("header_cells"), "TooManyCells").otherwise("TooFewCells")
+    return numbered.filter(F.col("n_cells") != F.col("header_cells")).select(
+        "file", "row_number", "n_cells", "header_cells", reason.alias("reason"), "raw"
+    )
+
+
 def headers(landed: DataFrame) -> DataFrame:
     """Header cells per file: the first record of the first split."""
     return (
         landed.filter(F.col("_block") == 0)
         .groupBy("file")
-        .agg(F.min_by("cells", "_pos").alias("cells"), F.min("_pos").alias("_header_pos"))
+        .agg(F.min_by(F.struct("cells", "n_cells"), "_pos").alias("_first"), F.min("_pos").alias("_header_pos"))
+        .select("file", "_header_pos", "_first.cells", F.col("_first.n_cells").alias("header_cells"))
         .select(
-            "file", "_header_pos",
+            "file", "_header_pos", "header_cells",
             F.transform("cells", lambda c: F.btrim(F.replace(c, F.lit("\ufeff"), F.lit("")))).alias("header"),
         )
     )
@@ -90,19 +127,19 @@ def cell(header: str) -> Column:
     return F.get("cells", at - 1)
 
 
-def positional(landed: DataFrame, width: int = 230) -> DataFrame:
-    """Header names become ``ColumnN_header``; cells keep their position."""
+def positional(landed: DataFrame) -> DataFrame:
+    """Header names become ``ColumnN_header`` by their place; a blank one leaves its place without a name.
+
+    Cells keep their position; rows without text in the first five cells are left out, as on sheets."""
     heads = headers(landed).select(
         "file", "_header_pos",
-        F.transform(
-            F.filter("header", lambda h: h.isNotNull()),
-            lambda h, i: F.concat(F.lit("Column"), (i + 1).cast("string"), F.lit("_"), h),
-        ).alias("names"),
+        F.transform("header", lambda h, i: F.when(h != "", F.concat(F.lit("Column"), (i + 1).cast("string"), F.lit("_"), h))).alias("names"),
     )
     return (
         attach(landed, heads, ["file"], "inner")
         .filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
-        .select("file", "_block", "_pos", "names", F.slice("cells", 1, width).alias("cells"))
+        .filter(accept("sheet", F.col("cells")))
+        .select("file", "_block", "_pos", "names", "cells")
     )
 
 
@@ -111,10 +148,10 @@ def parse_snapshot(snapshot: DataFrame, width: int) -> DataFrame:
     text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
     split = snapshot.select(
         F.col("path").alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit(RECORD), 1)).alias("_pos", "_record")
-    )
-    ddl = ", ".join(f"c{i} string" for i in range(width + 1))
-    parsed = F.from_csv("_record", ddl, {"quote": '"', "escape": '"', "multiLine": "true"})
+    ).filter(F.col("_record") != "")
+    ddl = ", ".join(f"{n} string" for n in cell_schema(width).names)
+    parsed = F.from_csv("_record", ddl, {"quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": RAW})
     return split.select("file", F.lit(0).cast("bigint").alias("_block"), F.col("_pos").cast("bigint"), parsed.alias("r")).select(
         "file", "_block", "_pos", F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("cells"),
-        F.col(f"r.c{width}").isNotNull().alias("wide"),
+        n_cells(F.col(f"r.{RAW}"), width), F.col(f"r.{RAW}").alias("raw"),
     )

@@ -6,13 +6,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.text import non_blank, padded_slice, trimmed
 from rowforge.operators.skew import attach
 
-MAX_PIPE, MAX_FIXED, MAX_SHEET, MAX_PROTECTED, LINE_WIDTH = 220, 110, 230, 200, 6000
 # Character set per partner; every other partner uses the default.
 CHARSETS = {"TIB": "UTF-8"}
 DEFAULT_CHARSET = "x-windows-874"
@@ -37,16 +36,8 @@ def read_lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
 
 
-def text_lines(spark: SparkSession, paths: list[str] | str, encoding: str = "UTF-8") -> DataFrame:
-    """Lines of large files, split over tasks; place kept as (_block, _pos)."""
-    return spark.read.option("encoding", encoding).text(paths).select(
-        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_pos"), F.col("value").alias("line"),
-    )
-
-
-def clean_cells(cells: Column, limit: int) -> Column:
-    return F.transform(F.slice(cells, 1, limit), lambda c: trimmed(F.replace(c, F.lit('"'), F.lit(""))))
+def clean_cells(cells: Column) -> Column:
+    return F.transform(cells, lambda c: trimmed(F.replace(c, F.lit('"'), F.lit(""))))
 
 
 def is_header_line(line: Column) -> Column:
@@ -58,14 +49,14 @@ def parse_pipe(lines: DataFrame) -> DataFrame:
     cells = F.split("line", r"\|")
     return (
         lines.filter(~is_header_line(F.col("line")) & F.col("line").contains("|"))
-        .withColumn("cells", clean_cells(cells, MAX_PIPE))
+        .withColumn("cells", clean_cells(cells))
         .drop("line")
     )
 
 
 def fixed_cells(line: Column, layout: list[Slot]) -> Column:
-    padded = F.rpad(line, LINE_WIDTH, " ")
-    return F.array(*[trimmed(padded_slice(padded, s.start, s.length)) for s in layout[:MAX_FIXED]])
+    """Every slot of the layout; a line that ends before a slot gives it as empty."""
+    return F.array(*[trimmed(padded_slice(line, s.start, s.length)) for s in layout])
 
 
 def parse_fixed_width(lines: DataFrame, layout: list[Slot]) -> DataFrame:
@@ -102,19 +93,19 @@ def accept(kind: str, cells: Column) -> Column:
     raise ValueError(f"unknown format {kind!r}")
 
 
-def accept_sheet_rows(cells: DataFrame, limit: int = MAX_SHEET) -> DataFrame:
+def accept_sheet_rows(cells: DataFrame) -> DataFrame:
     """All sheets as one list; sheet names lose ``$`` and quotes."""
     return (
         cells.filter(accept("sheet", F.col("cells")))
         .withColumn("sheet", F.translate("sheet", "$'", ""))
-        .withColumn("cells", F.transform(F.slice("cells", 1, limit), trimmed))
+        .withColumn("cells", F.transform("cells", trimmed))
     )
 
 
-def first_sheet(cells: DataFrame, max_cols: int = MAX_PROTECTED) -> DataFrame:
+def first_sheet(cells: DataFrame) -> DataFrame:
     """Rows of each file's first sheet."""
     firsts = cells.groupBy("file").agg(F.min("sheet_idx").alias("sheet_idx"))
-    return attach(cells, firsts, ["file", "sheet_idx"], "left_semi").withColumn("cells", F.slice("cells", 1, max_cols))
+    return attach(cells, firsts, ["file", "sheet_idx"], "left_semi")
 
 
 def slice_records(df: DataFrame, start: int, finish: int, number: str = "row_number") -> DataFrame:
@@ -125,8 +116,18 @@ def slice_records(df: DataFrame, start: int, finish: int, number: str = "row_num
     return df.filter(F.col(number) > cut).withColumn(number, F.col(number) - cut)
 
 
+def slice_overruns(df: DataFrame, start: int, finish: int, file: str = "file", number: str = "row_number") -> DataFrame:
+    """Files that a cut leaves without any row: failed as files."""
+    cut = finish - start if start > 0 and finish > start else 0
+    sizes = df.groupBy(file).agg(F.max(number).alias("n_rows"))
+    return sizes.filter((F.col("n_rows") <= cut) & (F.lit(cut) > 0)).select(
+        file, F.lit("ImportFailed").alias("import_status"),
+        F.concat(F.lit(f"Slice of {cut} rows leaves nothing of "), F.col("n_rows").cast("string")).alias("last_error"),
+    )
+
+
 def positional_to_columns(df: DataFrame, layout: list[tuple[str, int]], ordinal: Column | None = None) -> DataFrame:
-    """(column, field) pairs by field: 0 is the row ordinal, 1..230 the cell of that number."""
+    """(column, field) pairs by field: 0 is the row ordinal, others the cell of that number."""
     keep = [c for c in df.columns if c != "cells"]
     row = ordinal if ordinal is not None else F.col("row_number")
     picked = [

@@ -58,7 +58,10 @@ def coalesce_events(events: DataFrame, key: list[str], at: str, delay: str) -> D
 
 
 def intake_batch(configs: DataFrame, activations: DataFrame, registry: str, warnings: str):
-    """Handler: pin the version, find duplicates, write jobs; folders without a config only warn.
+    """Handler: pin the version active at receipt, find duplicates, write jobs. Folders without a config, and
+    configs without an active version, only warn.
+
+    Receipt is when the batch is first handled, stored with its jobs; a replay keeps that time.
 
     Only one intake query may own a registry, as nothing else stops two writers from both
     calling the same content new."""
@@ -68,9 +71,12 @@ def intake_batch(configs: DataFrame, activations: DataFrame, registry: str, warn
         files = files.persist()
         known = files.join(configs.select("folder", "config_id"), "folder")
         keyed = with_intake_key(known, F.col("config_id"))
-        pinned = G.pin_version(keyed.withColumn("received_at", F.col("mtime")), activations)
-        jobs = pinned.withColumn("file_job_id", F.sha2("intake_key", 256)).dropDuplicates(["intake_key"])
         stored = read_table(spark, registry)
+        first = stored.filter(F.col("batch_id") == batch_id).agg(F.min("received_at")).first()[0] if stored is not None else None
+        received = first or spark.range(1).select(F.current_timestamp()).first()[0]
+        pinned = G.pin_version(keyed.withColumn("received_at", F.lit(received).cast("timestamp")), activations).persist()
+        known_version = pinned.filter(F.col("version_id").isNotNull())
+        jobs = known_version.withColumn("file_job_id", F.sha2("intake_key", 256)).dropDuplicates(["intake_key"])
         if stored is not None:
             stored = stored.filter(F.col("batch_id") != batch_id).drop("batch_id")
             jobs = new_rows_only(jobs, stored, ("intake_key",))
@@ -78,11 +84,14 @@ def intake_batch(configs: DataFrame, activations: DataFrame, registry: str, warn
             stored = jobs.withColumn("import_status", F.lit("Queued")).limit(0)
         marked = mark_duplicates(
             jobs, stored.select("config_id", "content_hash", "file_job_id", "import_status"),
-            ["config_id", "content_hash"], ["received_at", "file_job_id"],
+            ["config_id", "content_hash"], ["mtime", "file_job_id"],
         )
         write_batch(marked, registry, batch_id)
-        lost = files.join(configs.select("folder"), "folder", "left_anti")
-        write_batch(lost.select("folder", "path").withColumn("warning", F.lit("NoActiveConfig")), warnings, batch_id)
+        lost = files.join(configs.select("folder"), "folder", "left_anti").withColumn("warning", F.lit("NoActiveConfig"))
+        idle = pinned.filter(F.col("version_id").isNull()).withColumn("warning", F.lit("NoActiveVersion"))
+        cols = ("folder", "path", "warning")
+        write_batch(lost.select(*cols).unionByName(idle.select(*cols)), warnings, batch_id)
+        pinned.unpersist()
         files.unpersist()
 
     return handle

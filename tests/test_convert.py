@@ -109,8 +109,17 @@ def test_config_cannot_carry_code():
         rules.register_conversion("x", "upper(a)")
 
 
-def test_date_formats():
+def test_date_formats(spark):
     assert C.usable_date_format("dd/MM/yyyy") and not C.usable_date_format("yyyy-QQ") and not C.usable_date_format("MM/yyyy")
+    cases = {
+        "d/M/yyyy": {"5/3/2024": "2024-03-05", "15/12/2024": "2024-12-15", "31/2/2024": None, "005/3/2024": None},
+        "dd MMM yyyy": {"05 Mar 2024": "2024-03-05", "05 Foo 2024": None, "5 Mar 2024": None},
+        "dd/MM/yy": {"05/03/24": "2024-03-05", "05/03/2024": None}, "yyyyMMdd": {"20240305": "2024-03-05", "2024-03-05": None},
+    }
+    for fmt, texts in cases.items():
+        assert C.usable_date_format(fmt)
+        df = spark.createDataFrame([(k,) for k in texts], "t string").select("t", C.to_date(F.col("t"), fmt).cast("string").alias("d"))
+        assert {r.t: r.d for r in df.collect()} == texts
 
 
 def test_operation_key_parts_do_not_run_together(spark):

@@ -117,6 +117,9 @@ def test_config_compiles_to_fields(spark):
         spark.createDataFrame([(5, 1, 2, "[]", rules)], "version_id int, source_table_id int, normalized_table_id int, file_to_source string, source_to_normalized string")
     )
     assert G.fields_of(versions, columns, 5) == V2
+    sized = columns.withColumns({"precision": F.lit(20), "scale": F.lit(15), "max_length": F.when(F.col("name") == "order_no", 9)})
+    got = G.fields_of(versions, sized, 5)
+    assert [(f.precision, f.scale, f.max_length) for f in got] == [(20, 15, 9), (20, 15, None)]
 
 
 def test_header_closes_only_after_all_targets(spark):
@@ -125,7 +128,12 @@ def test_header_closes_only_after_all_targets(spark):
         [(1, "a", "Succeeded"), (2, "a", "Succeeded"), (2, "b", "Failed"), (3, "a", "Succeeded"), (3, "b", "Succeeded"),
          (4, "a", "Succeeded"), (4, "b", "Succeeded")], "trans_id int, target_id string, result string",
     )
-    assert {r.trans_id: r.stat_flag for r in X.close_headers(headers, ops, 2).collect()} == {1: "I", 2: "E", 3: "A", 4: "E"}
+    due = [(i, t, 1) for i in (1, 2, 3, 4) for t in "ab"] + [(5, "a", 1), (5, "b", 0)]
+    selected = spark.createDataFrame(due, "trans_id int, target_id string, n_rows long")
+    headers = headers.union(spark.createDataFrame([(5, "I"), (6, "I")], headers.schema))
+    ops = ops.union(spark.createDataFrame([(5, "a", "Succeeded")], ops.schema))
+    got = {r.trans_id: r.stat_flag for r in X.close_headers(headers, ops, selected).collect()}
+    assert got == {1: "I", 2: "E", 3: "A", 4: "E", 5: "A", 6: "I"}
 
 
 def test_rows_are_scoped_by_transaction(spark):
