@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.keys import content_hash, intake_key
 from rowforge.operators import archive as R
+from rowforge.operators import config as G
 from rowforge.operators import intake as I
+from rowforge.operators import normalize as N
 from rowforge.operators.lifecycle import retry_import as retry_rest
 from rowforge.operators.ordered import id_range, number_rows, time_range
 from rowforge.plans.catalog import Tables, query
-from rowforge.plans.core import NUMBERED, numbered
+from rowforge.plans.core import BOTH, NUMBERED, numbered
 from rowforge.plans.samples import ORDER_TEXT_SQL, order_text
 from rowforge.session import fresh_path
-from rowforge.sinks.tables import append_source
+from rowforge.sinks.tables import append_source, current_results, write_run
 from rowforge.sources import csv as S
 from rowforge.sources import files as L
 
@@ -142,6 +146,45 @@ def idempotent_append(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path)
 
 
+CONFIG_COLUMNS = "table_id int, name string, data_type string, is_required boolean, ordinal int, precision int, scale int, max_length int"
+CONFIG_VERSIONS = "version_id int, source_table_id int, normalized_table_id int, file_to_source string, source_to_normalized string"
+KINDS = {"order_no": "text", "customer_name": "text", "order_date": "date", "amount": "decimal", "is_paid": "boolean"}
+
+
+def configured(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Column definitions and two rule versions as a user saves them; the second reads other dates."""
+    columns = [(2, name, kind, True, k, *((38, 10) if kind == "decimal" else (None, None)), 30 if kind == "text" else None) for k, (name, kind) in enumerate(KINDS.items())]
+    heads = json.dumps([{"csvHeader": h, "sourceColumn": s} for h, s in RULES if s in KINDS])
+    rules = lambda fmt: json.dumps([{"sourceColumn": n, "normalizedColumn": n} | ({"format": fmt} if k == "date" else {}) for n, k in KINDS.items()])
+    versions = [(1, 1, 2, heads, rules("yyyy-MM-dd")), (2, 1, 2, heads, rules("dd/MM/yyyy"))]
+    return t.spark.createDataFrame(columns, CONFIG_COLUMNS), G.parse_rules(t.spark.createDataFrame(versions, CONFIG_VERSIONS))
+
+
+@query(
+    "pipeline_from_config",
+    f"""{BOTH}, both_runs AS (SELECT a.status AS s1, b.status AS s2 FROM typed_status a JOIN typed2_status b USING (source_row_id))
+    SELECT CAST(1 AS BIGINT) AS run_id, s1 AS what, count(*) AS n FROM both_runs GROUP BY s1
+    UNION ALL SELECT CAST(2 AS BIGINT), s2, count(*) FROM both_runs GROUP BY s2
+    UNION ALL SELECT CAST(CASE WHEN s2 = 'Done' THEN 2 ELSE 1 END AS BIGINT) AS run_id, 'Current', count(*) FROM both_runs
+      WHERE 'Done' IN (s1, s2) GROUP BY ALL""",
+)
+def pipeline_from_config(t: Tables) -> DataFrame:
+    """Definitions and JSON rules to fields, CSV to Source, one stored run per version; counts and current rows from the stored runs."""
+    columns, versions = configured(t)
+    landed = S.land(t.spark, write_deliveries(t, "configured"))
+    runs = fresh_path(t.spark, "runs")
+    for version in (1, 2):
+        own = versions.filter(F.col("version_id") == version)
+        heads = [(r.csv_header, r.source_column) for r in G.file_rules(own).limit(G.MAX_RULES).collect()]
+        rows = S.records(landed, S.headers(landed), heads)
+        source = rows.withColumns({"source_row_id": F.col("order_no").cast("bigint"), "file_job_id": F.col("file")})
+        write_run(N.normalize(source, G.fields_of(versions, columns, version)), runs, version)
+    stored = t.spark.read.parquet(runs).withColumn("run_id", F.col("run_id").cast("bigint"))
+    states = stored.groupBy("run_id", F.col("status").alias("what")).agg(F.count(F.lit(1)).alias("n"))
+    current = current_results(stored).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"))
+    return states.unionByName(current.select("run_id", F.lit("Current").alias("what"), "n"))
+
+
 # ---- documents as files -------------------------------------------------
 
 LISTING_SQL = """listing AS (SELECT doc_id, n_chars AS size,
