@@ -141,12 +141,14 @@ def redacted(text: Column, spans: str, placeholder: str = PLACEHOLDER) -> Column
 
 def redact(docs: DataFrame, placeholder: str = PLACEHOLDER) -> DataFrame:
     """``docs`` with every secret replaced; ``n_chars``, where present, follows the new text. No row goes."""
-    kept = docs.columns
     found = stage(linked(scan(docs)), "secret-links")
-    rows = with_linked(scan(docs, *kept), found, *kept)
-    text = F.when(F.size("spans") > 0, redacted(F.col("text"), "spans", placeholder)).otherwise(F.col("text"))
-    rows = rows.select(*[F.col(c) if c != "text" else text.alias("text") for c in kept], (F.size("spans") > 0).alias("_found"))
-    if "n_chars" in kept:
-        size = F.when(F.col("_found"), F.char_length("text")).otherwise(F.col("n_chars"))
-        rows = rows.withColumn("n_chars", size.cast(docs.schema["n_chars"].dataType))
-    return rows.select(*kept)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")  # own names can't clash
+    rows = with_linked(scan(whole, "row"), found, "row")
+    hit = F.size("spans") > 0
+    text = F.when(hit, redacted(F.col("row.text"), "spans", placeholder)).otherwise(F.col("row.text"))
+    rows = rows.select("row", hit.alias("hit"), text.alias("new"))
+    out = {c: F.col(f"row.`{c}`") for c in docs.columns} | {"text": F.col("new")}
+    if "n_chars" in out:
+        size = F.when(F.col("hit"), F.char_length("new")).otherwise(out["n_chars"])
+        out["n_chars"] = size.cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[c.alias(name) for name, c in out.items()])
