@@ -129,7 +129,15 @@ def validate_versions(versions: DataFrame, columns: DataFrame) -> DataFrame:
         )
         .filter(~usable_format(F.col("format")))
     )
+    targets = columns.select(F.col("table_id").alias("normalized_table_id"), F.col("name").alias("normalized_column"), "data_type")
+    unsupported = (
+        to_target.join(tables, "version_id").join(targets, ["normalized_table_id", "normalized_column"])
+        .filter(~F.coalesce(F.col("data_type").isin(*DATA_TYPES), F.lit(False)))
+    )
+    crowded = versions.filter(F.size("source_to_normalized") > MAX_RULES)
     parts = [
+        unsupported.select("version_id", F.lit("UnsupportedType").alias("problem"), F.col("normalized_column").alias("detail")),
+        crowded.select("version_id", F.lit("TooManyRules").alias("problem"), F.size("source_to_normalized").cast("string").alias("detail")),
         unknown(source_names, "source_table_id", "source_column", "UnknownSourceColumn"),
         unknown(to_target, "normalized_table_id", "normalized_column", "UnknownTargetColumn"),
         duplicate_rules(to_source, ["version_id", "csv_header"]).select(

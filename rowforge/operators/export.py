@@ -53,7 +53,9 @@ def export_columns(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
 
 
 def current_year(df: DataFrame, date_col: str, asof: Column) -> DataFrame:
-    return df.filter(F.year(date_col) == F.year(asof))
+    """Rows of the year of ``asof``, as a range that reaches the scan."""
+    start = F.make_date(F.year(asof), F.lit(1), F.lit(1))
+    return df.filter((F.col(date_col) >= start) & (F.col(date_col) < F.add_months(start, 12)))
 
 
 def enrich_policy(df: DataFrame, policy: DataFrame, motor: DataFrame, asof: Column) -> DataFrame:

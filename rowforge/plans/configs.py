@@ -75,7 +75,8 @@ rules AS (SELECT p_partkey // 8 AS version_id, p_partkey // 80 AS config_id, (p_
 cols AS (SELECT DISTINCT 'src' AS side, 'col_' || p_size AS name, 'text' AS data_type, FALSE AS is_required
          FROM part WHERE p_size <= 45
   UNION ALL SELECT 'norm', lower(replace(p_brand, '#', '_')),
-    CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 3 = 0 THEN 'date' ELSE 'text' END,
+    CASE WHEN CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 11 = 0 THEN 'money'
+      WHEN CAST(replace(p_brand, 'Brand#', '') AS INTEGER) % 3 = 0 THEN 'date' ELSE 'text' END,
     CAST(replace(p_brand, 'Brand#', '') AS INTEGER) = 7
   FROM part WHERE p_brand <> 'Brand#11' GROUP BY p_brand)"""
 
@@ -115,7 +116,7 @@ def version_columns(t: Tables) -> DataFrame:
     )
     target = t.part.filter(F.col("p_brand") != "Brand#11").select(
         F.explode(F.array(F.lit(2), F.lit(4))).alias("table_id"), F.lower(F.replace(F.col("p_brand"), F.lit("#"), F.lit("_"))).alias("name"),
-        F.when(number % 3 == 0, "date").otherwise("text").alias("data_type"), (number == 7).alias("is_required"),
+        F.when(number % 11 == 0, "money").when(number % 3 == 0, "date").otherwise("text").alias("data_type"), (number == 7).alias("is_required"),
         number.alias("ordinal"),
     )
     return source.unionByName(target).distinct()
@@ -152,7 +153,9 @@ def config_rules(t: Tables) -> DataFrame:
       UNION ALL SELECT v.version_id, 'RequiredUnmapped', c.name FROM (SELECT DISTINCT version_id FROM rules) v, cols c
         WHERE c.is_required AND NOT EXISTS (SELECT 1 FROM rules r WHERE r.version_id = v.version_id AND r.normalized_column = c.name)
       UNION ALL SELECT version_id, 'BadDateFormat', format FROM rules JOIN cols ON side = 'norm' AND name = normalized_column
-        WHERE data_type = 'date' AND format = 'yyyy-QQ')
+        WHERE data_type = 'date' AND format = 'yyyy-QQ'
+      UNION ALL SELECT version_id, 'UnsupportedType', normalized_column FROM rules JOIN cols ON side = 'norm' AND name = normalized_column
+        WHERE data_type = 'money')
     SELECT DISTINCT * FROM found""",
 )
 def validate_versions(t: Tables) -> DataFrame:

@@ -136,13 +136,14 @@ def first_sheet(t: Tables) -> DataFrame:
       '' AS "VALUE4", c5 AS "VALUE5" FROM sheets WHERE raw_sheet = 'PROMO$' AND (trim(c1) <> '' OR trim(c5) <> '')""",
 )
 def merge_files(t: Tables) -> DataFrame:
-    """One sheet of every file merged; the heading rule leaves out totals and caps the columns."""
+    """One sheet of every file merged, from two deliveries; the heading rule leaves out totals and caps the columns."""
     kept = P.accept_sheet_rows(sheets(t))
     named = kept.select(
-        "sheet", "p_partkey", *[F.get("cells", F.lit(i)).alias(f"VALUE{i + 1}") for i in range(5)],
+        "file", "sheet", "p_partkey", *[F.get("cells", F.lit(i)).alias(f"VALUE{i + 1}") for i in range(5)],
         F.get("cells", F.lit(5)).alias("VALUE_TOTAL"),
     )
-    merged = X.merge_files([named], "PROMO")
+    even = F.col("file").substr(-1, 1).cast("int") % 2 == 0
+    merged = X.merge_files([named.filter(even).drop("file"), named.filter(~even).drop("file")], "PROMO")
     return X.merge_output(merged, 23, keep=("p_partkey",)).withColumn(
         "output", X.merge_name(F.lit("2026-01-31").cast("date"))
     )

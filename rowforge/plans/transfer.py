@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rowforge.functions import checks as K
 from rowforge.functions import convert as C
 from rowforge.functions import rules as U
-from rowforge.functions.text import with_trimmed
+from rowforge.functions.text import strip_quotes, with_trimmed
 from rowforge.operators import lookup as J
 from rowforge.operators import normalize as N
 from rowforge.operators import transfer as X
@@ -241,6 +241,28 @@ def row_selection(t: Tables) -> DataFrame:
     return X.row_selection(rows, open_, where).select(*ROW, "flag")
 
 
+@query(
+    "row_number_rule",
+    f"""WITH {HEADERS_SQL}, {LINE_SQL} SELECT {ROW_SQL}, flag FROM line_text
+    WHERE l_linenumber <= 2 AND l_orderkey IN (SELECT trans_id FROM headers WHERE stat_flag = 'I')""",
+)
+def row_number_rule(t: Tables) -> DataFrame:
+    """A rule on the row number replaces all others of the selection."""
+    where = [U.Predicate("flag", "eq", "A"), U.Predicate("row_number", "le", 2), U.Predicate("qty", "blank")]
+    rows = line_text(t).withColumns({"trans_id": F.col("l_orderkey"), "row_number": F.col("l_linenumber")})
+    return X.row_selection(rows, headers(t).filter("stat_flag = 'I'"), where).select(*ROW, "flag")
+
+
+@query(
+    "legacy_times",
+    f"""{TYPED_LINE} SELECT {ROW_SQL}, strftime(CAST(n_ship AS TIMESTAMP), '%Y-%m-%d %H:%M:%S') AS shipped_at, 'ONeil ' || flag AS agent FROM line_value""",
+)
+def legacy_times(t: Tables) -> DataFrame:
+    """Dates of the old style as timestamps, and texts without quotes and apostrophes."""
+    at = F.date_format(C.legacy_timestamp(F.col("ship")), "yyyy-MM-dd HH:mm:ss")
+    return line_text(t).select(*ROW, at.alias("shipped_at"), strip_quotes(F.col("agent")).alias("agent"))
+
+
 CONFIG_SQL = """static_info AS (SELECT p_partkey, CASE WHEN p_size > 3 THEN 'MAPOR' ELSE 'TIMER' END AS grp,
   CASE p_type WHEN 'ECONOMY' THEN 'AY' WHEN 'PROMO' THEN 'TQM' ELSE 'KK' END AS desc1,
   lpad(CAST(p_partkey % 60 AS VARCHAR), 2, '0') AS desc5, CASE WHEN p_size % 4 = 0 THEN 'I' ELSE 'A' END AS stat_flag FROM part)"""
@@ -302,8 +324,8 @@ def checked(t: Tables) -> DataFrame:
     """Staging rows with the answers of the reference and uniqueness checks."""
     rows = line_text(t)
     nations = t.part.filter(F.col("p_size") > 3)
-    flagged = J.with_missing_flag(rows, nations, "l_partkey", "p_partkey", "no_part")
-    return J.with_duplicate_flag(flagged, ["l_orderkey", "l_linenumber"], "twice")
+    flagged = J.with_duplicate_flag(rows, ["l_orderkey", "l_linenumber"], "twice")
+    return J.with_missing_flag(flagged, nations, "l_partkey", "p_partkey", "no_part")
 
 
 def checks() -> list[K.Check]:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +24,15 @@ class Readiness(StatefulProcessor):
         size, mtime, run, done = self.seen.get() if self.seen.exists() else (None, None, 0, False)
         # one path in one micro-batch: three numbers per observation, bounded by the batch size
         seen = pd.concat([b[["observed_at", "size", "mtime"]] for b in rows]).sort_values("observed_at")
-        for at, s, m in seen.itertuples(index=False):
-            if done:
-                break
-            run = run + 1 if (s, m) == (size, mtime) else 1
-            size, mtime = int(s), int(m)
-            if run >= self.n:
-                done = True
-                yield pd.DataFrame({"path": [key[0]], "ready_at": [at]})
-        self.seen.update((size, mtime, run, done))
+        values, place = seen[["size", "mtime"]].to_numpy("int64"), np.arange(len(seen))
+        before = np.vstack([values[:1] - 1 if size is None else [[size, mtime]], values[:-1]])
+        begun = np.maximum.accumulate(np.where((values != before).any(axis=1), place, -1))
+        runs = np.where(begun >= 0, place - begun + 1, run + place + 1)
+        ready = np.flatnonzero(runs >= self.n)
+        if len(ready) and not done:
+            done = True
+            yield pd.DataFrame({"path": [key[0]], "ready_at": [seen["observed_at"].iloc[ready[0]]]})
+        self.seen.update((int(values[-1, 0]), int(values[-1, 1]), int(runs[-1]), done))
 
     def close(self) -> None:
         pass
