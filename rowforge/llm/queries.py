@@ -71,12 +71,45 @@ def op7_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents)
 
 
-@query("op8_neardup")
+@query(
+    "op8_neardup",
+    r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[ \t-\r]+'), lambda x: x <> '') AS ws FROM documents
+    ), s AS (
+        SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+            ELSE list_distinct([array_to_string(ws[i : i + 3], ' ') FOR i IN range(1, len(ws) - 2)]) END AS sh FROM w
+    ), e AS (SELECT doc_id, unnest(sh) AS g FROM s),
+    p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+    l AS (SELECT p.a, p.b FROM p JOIN s x ON x.doc_id = p.a JOIN s y ON y.doc_id = p.b WHERE 100 * n >= 80 * (len(x.sh) + len(y.sh) - n)),
+    both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+    c AS (SELECT doc_id, doc_id AS root FROM s UNION SELECT b, root FROM c JOIN both_ways ON a = c.doc_id)
+    SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, root AS component_id, doc_id = root AS kept
+    FROM s JOIN (SELECT doc_id, min(root) AS root FROM c GROUP BY doc_id) USING (doc_id)
+    """,
+)
 def op8_neardup(t: Tables) -> DataFrame:
     return neardup.near_duplicates(t.documents).drop("a", "b")
 
 
-@query("op9_substrings")
+@query(
+    "op9_substrings",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM (SELECT *, unnest(range(0, len(h) // 2 - 49)) AS i FROM d WHERE len(h) >= 100)),
+    m AS (SELECT g, min(doc_id) AS first_id FROM w GROUP BY g),
+    c AS (SELECT doc_id, i, coalesce(i - lag(i) OVER o > 50, TRUE) AS fresh FROM w JOIN m USING (g) WHERE first_id < doc_id WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+    r AS (SELECT doc_id, i, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM c),
+    runs AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM r GROUP BY doc_id, k),
+    gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS e FROM runs),
+    cut AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last_end,
+        string_agg(substr(h, 2 * e + 1, 2 * (a - e)), '' ORDER BY a) AS kept FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+        sha256(from_hex(coalesce(kept, '') || substr(h, 2 * coalesce(last_end, 0) + 1))) AS kept_sha256
+    FROM d LEFT JOIN cut USING (doc_id)
+    """,
+)
 def op9_substrings(t: Tables) -> DataFrame:
     return substrings.remove_repeats(t.documents)
 
