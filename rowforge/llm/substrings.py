@@ -31,8 +31,8 @@ from rowforge.operators.skew import attach
 
 LENGTH = 50
 GRAM = 20
-BLOCK = 8 << 20  # bytes of text handled together
-SEGMENT = 2 << 20
+BLOCK = 3 << 20  # bytes of text handled together
+SEGMENT = 1 << 20
 RANGE_ANCHORS = 1 << 20
 SHARD_BYTES = 1 << 20
 PLACE = 24  # low bits of a sort key that hold a position

@@ -55,7 +55,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 2 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
+def pieces(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Ranges of at most ``rows`` rows whose bytes stay near ``most``, so that work arrays stay small. A longer row stands alone."""
     _, offsets = utf8(column)
     at = 0
