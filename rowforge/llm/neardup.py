@@ -10,7 +10,12 @@ are by range and end with the id: no region, of any size, is one task's work, an
 classes, not with the square of a region.
 
 Links are confirmed on full shingle sets: first the best candidate of every class, then, as links within a
-component change nothing, every candidate that still joins two components."""
+component change nothing, every candidate that still joins two components.
+
+The forest only saves work; what it misses is found exactly. The shingles of a class are ranked, rarest first, by
+hashed counts. Two sets of the asked likeness have ``need`` shingles in common among the first of both, as many
+first ones as their sizes ask for. Classes of different components that do, and that lengths and ranks don't
+rule out, are confirmed as well. Of a shingle that a large component holds, only the other classes meet all."""
 
 from __future__ import annotations
 
@@ -36,6 +41,9 @@ DEEPER = 4
 NEIGHBOURS = 3
 HUBS = 4
 SEED = 8
+NEED, NEED_SHARE = 3, 32  # shared first shingles asked of a pair, and one more for so many shingles
+BUCKETS = 1 << 20
+SLICES = 64
 
 
 def minima(row: np.ndarray, value: np.ndarray, rows: int, hashes: int = HASHES) -> np.ndarray:
@@ -54,8 +62,43 @@ def minima(row: np.ndarray, value: np.ndarray, rows: int, hashes: int = HASHES)
     return out
 
 
-def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, set digest (a, b) and minima of each row; null and empty texts have the empty set."""
+def common(docs: DataFrame, words: int = WORDS) -> np.ndarray:
+    """About how many rows hold the shingles of each bucket of hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for at, to in T.pieces(batch.column(0)):
+                _, value = T.sets(*T.shingles(T.words(batch.column(0).slice(at, to - at)), words), 48)
+                count += np.bincount((value % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+        parts = [c.tobytes() for c in np.split(count, SLICES)]
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array(parts, pa.binary())], names=["slice", "counts"])
+
+    def add(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS // SLICES, np.int64)
+        for batch in batches:
+            for c in batch.column("counts"):
+                total += np.frombuffer(c.as_py(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["slice", "counts"])
+
+    schema = "slice int, counts binary"
+    found = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, schema).groupBy("slice").applyInArrow(add, schema)
+    out = np.zeros((SLICES, BUCKETS // SLICES), np.int64)
+    for k, counts in found.collect():  # SLICES rows
+        out[k] = np.frombuffer(counts, np.int64)
+    return np.minimum(out.ravel(), (1 << 32) - 1).astype(np.uint32)
+
+
+def first_ones(size: np.ndarray, percent: int, smaller: bool) -> tuple[np.ndarray, np.ndarray]:
+    """How many first shingles of sets of a size to compare, with larger sets (``smaller``) or with smaller ones, and ``need``."""
+    least = -(-2 * percent * size // (100 + percent)) if smaller else -(-percent * size // 100)
+    need = np.minimum(NEED + size // NEED_SHARE, np.maximum(least, 1))
+    return size - np.maximum(least, 1) + need, need
+
+
+def describe(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, set digest (a, b), minima and first shingles of each row; null and empty texts have the empty set."""
+    ranks = docs.sparkSession.sparkContext.broadcast(common(docs, words))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -64,19 +107,23 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
                 row, value = T.sets(*T.shingles(T.words(batch.column(1).slice(at, n)), words), 48)
                 count = np.bincount(row, minlength=n)
                 digest = []
+                cut = np.searchsorted(row, np.arange(n + 1))
                 for salt in (1, 2):
                     sums = np.zeros(len(value) + 1, np.uint64)
                     np.cumsum(T.mix(value * np.uint64(2) + np.uint64(salt << 60)), out=sums[1:])
-                    cut = np.searchsorted(row, np.arange(n + 1))
                     digest.append((sums[cut[1:]] - sums[cut[:-1]]).astype(np.int64))
                 signs = minima(row, value, n)
+                rank = (row.astype(np.uint64) << np.uint64(32)) | ranks.value[(value % np.uint64(BUCKETS)).astype(np.int64)]
+                ranked = value[np.argsort(rank, kind="stable")].astype(np.int64)
+                most, _ = first_ones(count, percent, False)
+                first = [ranked[a : a + m].tobytes() if c else b"" for a, m, c in zip(cut[:-1].tolist(), most.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, n), pa.array(count), *map(pa.array, digest), pa.array([s.tobytes() for s in signs], pa.binary())],
-                    names=["doc_id", "n_shingles", "a", "b", "minima"],
+                    [batch.column(0).slice(at, n), pa.array(count), *map(pa.array, digest), pa.array([s.tobytes() for s in signs], pa.binary()), pa.array(first, pa.binary())],
+                    names=["doc_id", "n_shingles", "a", "b", "minima", "first"],
                 )
 
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, minima binary")
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, a long, b long, minima binary, first binary")
 
 
 def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
@@ -159,6 +206,48 @@ def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
     return near.unionByName(star).groupBy("a", "b").agg(F.sum("trees").alias("trees"))
 
 
+def left_over(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, _a, _b: every pair of different components among ``sets`` (id, n, first, component) that may be ``percent`` alike.
+
+    Both sides are checked by the pair's rarest shingles, their number, sizes and what follows the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(2)]
+            size = np.array([len(d) for d in data], np.int64)
+            if not size.sum():
+                continue
+            n = np.asarray(batch.column(1)).astype(np.int64)
+            most, need = first_ones(n, percent, True)
+            row = np.repeat(np.arange(len(size)), size)
+            rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
+            shingle = np.concatenate(data)
+            for a in range(0, len(row), 1 << 16):
+                own, k = row[a : a + (1 << 16)], rank[a : a + (1 << 16)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(shingle[a : a + (1 << 16)]), batch.column(0).take(pa.array(own)), pa.array(n[own]), pa.array(k), pa.array(need[own]), pa.array(k < most[own]), batch.column(3).take(pa.array(own))],
+                    names=["g", "id", "n", "rank", "need", "early", "c"],
+                )
+
+    firsts = sets.select("id", "n", "first", "component").mapInArrow(run, "g long, id long, n long, rank long, need long, early boolean, c long")
+    ends = firsts.groupBy("g").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("g")
+    met = stage(attach(firsts, ends, ["g"], "inner"), "shared")
+    sizes = met.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
+    major = sizes.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("_major"))
+    told = stage(attach(met, major, ["g"]).withColumn("minor", F.expr("c <> _major")).drop("_major"), "shared")
+    x, y = told.where("early").alias("x"), told.alias("y")
+    least = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent} - 1e-6)")
+    fits = F.expr(f"x.g = y.g AND x.c <> y.c AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND 100 * x.n >= {percent} * y.n")
+    late = F.least(F.expr("x.n - x.rank"), F.expr("y.n - y.rank")) + F.expr("x.need") > least
+    of = lambda left, right: left.join(right, fits & late).select(
+        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("_a"), F.col("y.c").alias("_b"), F.col("x.need").alias("need"), least.alias("least"),
+        F.expr("x.n - x.rank - 1").alias("rest_a"), F.expr("y.n - y.rank - 1").alias("rest_b"),
+    )
+    both = of(x.where("minor"), y).unionByName(of(x.where("NOT minor"), y.where("minor")))
+    found = both.groupBy("a", "b", "_a", "_b", "need", "least").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("rest_a", "rest_b")).alias("rest"))
+    return found.where("k >= need AND k + rest >= least").select("a", "b", "_a", "_b").distinct()
+
+
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in ``pairs``, and of few others."""
     marks = Marks(pairs.select(F.explode(F.array("a", "b")).alias("id")))
@@ -183,15 +272,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: i
     return met.mapInArrow(run, "a long, b long")
 
 
+def merged(known: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """id, component with the links of ``pairs`` (a, b, and their components _a, _b) added to ``known``."""
+    links = confirmed(pairs, texts, words, percent).join(pairs, ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+    more = components(links).select(F.col("id").alias("component"), F.col("component").alias("_last"))
+    final = known.join(more, "component", "left").select("id", F.coalesce("_last", "component").alias("component"))
+    alone = more.join(known.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("_last").alias("component"))
+    return stage(final.unionByName(alone), "components")
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set digest (a, b) of every row.
 
     ``component_id`` is the smallest doc_id reachable over links. Rows without a word are linked with nothing.
     Rows that share a doc_id are one document to links. A row without an id belongs to the class of its set;
     where that has no id either, component_id is null and the row is kept."""
-    rows = stage(describe(docs, words), "shingles")
+    rows = stage(describe(docs, words, percent), "shingles")
     full = rows.where("n_shingles > 0")
-    classes = stage(full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("minima").alias("minima")), "classes")
+    classes = full.groupBy("a", "b", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("minima").alias("minima"), F.first("first").alias("first"))
+    classes = stage(classes, "classes")
     named = classes.where("id IS NOT NULL")
     pairs = stage(candidates(named.select("id", "minima"), trees), "candidates")
     texts = stage(texts_of(docs, pairs), "texts")
@@ -202,13 +301,13 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
     told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("_a", F.coalesce("_a", "a")).withColumn("_b", F.coalesce("_b", "b"))
     open_pairs = stage(told.where("_a <> _b").select("a", "b", "_a", "_b"), "open")
-    links = confirmed(open_pairs, texts, words, percent).join(open_pairs, ["a", "b"]).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    second = components(links).select(F.col("id").alias("component"), F.col("component").alias("_last"))
-    final = first.join(second, "component", "left").select("id", F.coalesce("_last", "component").alias("component"))
-    alone = second.join(first.select("component").distinct(), "component", "left_anti").select(F.col("component").alias("id"), F.col("_last").alias("component"))
-    named_by = named.join(final.unionByName(alone), "id", "left").select("a", "b", "n_shingles", F.coalesce("component", "id").alias("_component"))
-    found = attach(full.drop("minima"), named_by, ["a", "b", "n_shingles"])
-    bare = rows.where("n_shingles = 0").drop("minima").withColumn("_component", F.col("doc_id"))
+    second = merged(first, open_pairs, texts, words, percent)
+    sets = named.join(second, "id", "left").select("id", F.col("n_shingles").alias("n"), "first", F.coalesce("component", "id").alias("component"))
+    rest = stage(left_over(sets, percent), "rest")
+    third = merged(second, rest, stage(texts_of(docs, rest), "texts"), words, percent)
+    facts = named.join(third, "id", "left").select("a", "b", "n_shingles", F.coalesce("component", "id").alias("_component"))
+    found = attach(full.drop("minima", "first"), facts, ["a", "b", "n_shingles"])
+    bare = rows.where("n_shingles = 0").drop("minima", "first").withColumn("_component", F.col("doc_id"))
     every = found.unionByName(bare)
     kept = F.col("_component").isNull() | F.coalesce(F.col("doc_id") == F.col("_component"), F.lit(False))
     return every.select("doc_id", "n_shingles", F.col("_component").alias("component_id"), kept.alias("kept"), "a", "b")

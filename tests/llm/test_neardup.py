@@ -99,5 +99,24 @@ def test_large_group_of_near_copies(spark):
     assert got == brute(rows) and sum(r[3] for r in got) < 30
 
 
+def test_pairs_of_a_source_that_shares_a_passage(spark):
+    rng = random.Random(11)
+    passage = [f"p{k}" for k in range(84)]
+    rows = []
+    for k in range(1000):
+        own = [f"o{k}x{j}" for j in range(18)]
+        rows.append((2 * k, " ".join(passage + own), 1, "x", "y"))
+        if k % 10 == 0:  # a partner of about 0.84 likeness, the only one
+            rows.append((2 * k + 1, " ".join(passage + own[:9] + [f"n{k}x{rng.random()}" for _ in range(8)]), 1, "x", "y"))
+    got = run(spark, rows)
+    assert sum(r[3] for r in got) == 1000 and got == brute(rows)
+
+
+def test_nothing_depends_on_the_forest(spark):
+    rng = random.Random(12)
+    rows = [(k, t, 1, "x", "y") for k, t in enumerate(t for _ in range(30) for t in group(rng, 12, 70, 6))]
+    assert run(spark, rows, trees=1) == brute(rows)
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
