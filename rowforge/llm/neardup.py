@@ -5,9 +5,9 @@ has ``HASHES`` minima; each of ``TREES`` orders sorts all classes by a different
 whose labels agree in the first ``DEPTH`` minima lie in one region, and inside it the sort goes on to deeper
 minima, so that in crowded regions the neighbours are those with the longest common prefix. The next
 ``NEIGHBOURS`` classes of the region are candidates. A second sort puts the classes that meet most others
-first in their region: the origins of groups of copies. The first ``HUBS`` are candidates for all of it. Both sorts
-are by range and end with the id: no region, of any size, is one task's work, and candidates grow with the
-classes, not with the square of a region.
+first in their region: the origins of groups of copies. The first ``HUBS`` are candidates for all of it. The sort
+is by range and ends with the id, and hubs are joined to rows: no region, of any size, is one task's work, and
+candidates grow with the classes, not with the square of a region.
 
 Links are confirmed on full shingle sets: first the best candidate of every class, then, as links within a
 component change nothing, every candidate that still joins two components.
@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowforge.llm import text as T
@@ -142,17 +142,23 @@ def forest(classes: DataFrame, trees: int = TREES) -> DataFrame:
     return classes.select("id", "minima", "met").mapInArrow(run, "tree int, region long, deeper long, met long, id long")
 
 
-def in_order(placed: DataFrame, *order: str) -> DataFrame:
-    return placed.select("tree", "region", *order, "id").repartitionByRange("tree", "region", *order, "id").sortWithinPartitions("tree", "region", *order, "id")
-
-
 def neighbours(placed: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
-    """a < b for the classes next to each other in a region."""
+    """a < b with the number of orders in which they are next to each other in a region.
+
+    Tasks also give the first and last classes of their range, a few each, which are compared across the ranges."""
+    keys = ["tree", "region", "deeper", "id"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = [np.zeros(0, np.int64)] * 3
+        last = [np.zeros(0, np.int64)] * 4
+        seen = 0
+        edge = lambda rows: pa.RecordBatch.from_arrays([pa.nulls(len(rows[0]), pa.int64())] * 2 + [pa.array(c).cast(t) for c, t in zip(rows, kinds, strict=True)], names=["a", "b", *keys])
         for batch in batches:
-            tree, region, ident = (np.concatenate([old, np.asarray(batch.column(k)).astype(np.int64)]) for old, k in zip(last, (0, 1, 3), strict=True))
+            now = [np.asarray(batch.column(k)).astype(np.int64) for k in range(4)]
+            if seen < most:
+                yield edge([c[: most - seen] for c in now])
+            seen += batch.num_rows
+            tree, region, deeper, ident = (np.concatenate([old, new]) for old, new in zip(last, now, strict=True))
             left, right = [], []
             for step in range(1, most + 1):
                 near = (tree[step:] == tree[:-step]) & (region[step:] == region[:-step])
@@ -160,46 +166,35 @@ def neighbours(placed: DataFrame, most: int = NEIGHBOURS) -> DataFrame:
                 left.append(ident[:-step][near])
                 right.append(ident[step:][near])
             a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            last = [tree[-most:], region[-most:], ident[-most:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *[pa.nulls(len(a), t) for t in kinds]], names=["a", "b", *keys])
+            last = [c[-most:] for c in (tree, region, deeper, ident)]
+        yield edge(last)
 
-    return in_order(placed, "deeper").mapInArrow(run, "a long, b long").where("a <> b")
+    ordered = placed.select(*keys).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    found = ordered.mapInArrow(run, "a long, b long, tree int, region long, deeper long, id long").groupBy("a", "b", *keys).agg(F.count(F.lit(1)).alias("trees"))
+    found = stage(found, "ordered")
+    order = Window.partitionBy("tree", "region").orderBy("deeper", "id")
+    after = F.array(*[F.lead("id", k).over(order) for k in range(1, most + 1)])
+    edges = found.where("tree IS NOT NULL").withColumn("_after", after).select("id", F.explode("_after").alias("next")).where("next IS NOT NULL")
+    across = edges.select(F.least("id", "next").alias("a"), F.greatest("id", "next").alias("b"), F.lit(1).cast("long").alias("trees"))
+    both = found.where("tree IS NULL").select("a", "b", "trees").unionByName(across)
+    return both.where("a <> b").groupBy("a", "b").agg(F.sum("trees").alias("trees"))
 
 
 def hubs(placed: DataFrame, most: int = HUBS) -> DataFrame:
-    """a < b for each class of a region with the first of it that meet most others."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, first = None, np.zeros(0, np.int64)
-        for batch in batches:
-            tree, region, ident = (np.asarray(batch.column(k)).astype(np.int64) for k in (0, 1, 3))
-            fresh = np.ones(len(tree), bool)
-            fresh[1:] = (tree[1:] != tree[:-1]) | (region[1:] != region[:-1])
-            if not len(tree):
-                continue
-            if last == (tree[0], region[0]):
-                ident, fresh = np.concatenate([first, ident]), np.concatenate([np.arange(len(first)) == 0, fresh])
-                fresh[len(first)] = False
-            head = np.flatnonzero(fresh)
-            start = np.repeat(head, np.diff(np.append(head, len(ident))))
-            end = np.repeat(np.append(head[1:], len(ident)), np.diff(np.append(head, len(ident))))
-            old = len(first) if last == (tree[0], region[0]) else 0
-            left, right = [], []
-            for k in range(most):
-                own = np.flatnonzero((start + k < end) & (np.arange(len(ident)) > start + k) & (np.arange(len(ident)) >= old))
-                left.append(ident[start[own] + k])
-                right.append(ident[own])
-            a, b = np.concatenate(left), np.concatenate(right)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            last, first = (tree[-1], region[-1]), ident[head[-1] : head[-1] + most]
+    """a < b for each class of a region with the first of it that meet most others.
 
-    return in_order(placed, "met").mapInArrow(run, "a long, b long").where("a <> b")
+    The first ones are cut within each task before they move, and are joined to all rows of their region, however many tasks hold it."""
+    first = placed.withColumn("_n", F.row_number().over(Window.partitionBy("tree", "region").orderBy("met", "id"))).where(F.col("_n") <= most)
+    heads = first.groupBy("tree", "region").agg(F.collect_list("id").alias("_heads")).where(F.size("_heads") > 1)
+    met = attach(placed, heads, ["tree", "region"], "inner").select("id", F.explode("_heads").alias("_head")).where("id <> _head")
+    return met.select(F.least("id", "_head").alias("a"), F.greatest("id", "_head").alias("b"))
 
 
 def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
     """a < b with the number of orders in which they are candidates."""
     near = neighbours(forest(classes.withColumn("met", F.lit(0).cast("long")), trees))
-    near = stage(near.groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees")), "neighbours")
+    near = stage(near, "neighbours")
     ends = near.select(F.explode(F.array("a", "b")).alias("id"), "trees")
     met = ends.groupBy("id").agg((-F.sum("trees")).alias("met"))
     star = hubs(forest(classes.join(met, "id"), trees)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))

@@ -118,5 +118,18 @@ def test_nothing_depends_on_the_forest(spark):
     assert run(spark, rows, trees=1) == brute(rows)
 
 
+def test_hubs_and_neighbours_reach_over_tasks(spark):
+    rows = [(0, 7, k, k, k) for k in range(4000)] + [(1, 7, 0, 0, 5000), (1, 7, 1, 1, 5001)]
+    placed = spark.createDataFrame(rows, "tree int, region long, deeper long, met long, id long").repartition(8)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        star = {(r.a, r.b) for r in N.hubs(placed).select("a", "b").collect()}
+        near = {(r.a, r.b) for r in N.neighbours(placed).select("a", "b").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert star == {(h, k) for h in range(N.HUBS) for k in range(h + 1, 4000)} | {(5000, 5001)}
+    assert near >= {(k, k + step) for step in range(1, N.NEIGHBOURS + 1) for k in range(4000 - step)}
+
+
 def test_empty_table(spark):
     assert run(spark, []) == []
