@@ -4,13 +4,15 @@ Markup is stripped to lines: every block-level tag ends a line, so markup betwee
 What HTML itself or its naming marks as menu, header, footer, sidebar, notice, advert, form or comment leaves
 empty lines too. Text lengths are summed over windows of ``WINDOW`` lines. Text starts at a surge (a sum over
 ``SURGE`` after empty lines) and ends at a dive (a sum of 0); linked text has no length. The stretch with most
-text is the main one; others of at least ``SHARE`` of its length, mostly unlinked, belong to the text as well. Where
-these lie in article or main elements, the text is exactly what those elements hold."""
+text is the main one; others of at least ``SHARE`` of its length, mostly unlinked, belong to the text as well. So
+do mostly unlinked lines of any length beside the main stretch, in the element around it that holds more than it.
+Where stretches lie in article or main elements, the text is exactly what those elements hold."""
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +39,7 @@ VOID = set("area base br col embed hr img input link meta param source track wbr
 BREAKS = {"br", "img", "wbr", "hr"}
 CLOSED_BY_NEXT = {"p": BLOCKS, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "head": {"body"}}
 CONTAINERS = {"article", "main"}
+GROUPS = BLOCKS - set(CLOSED_BY_NEXT) - CONTAINERS  # elements with an end tag
 # Elements and names that mark what is not the article.
 AROUND = set("nav header footer aside form menu dialog search head title button label input legend fieldset".split())
 NAMES = (
@@ -75,6 +78,10 @@ class Lines:
         self.text: list[str] = []
         self.size: list[int] = []
         self.home: list[int] = []
+        self.group: list[int] = []  # the innermost open group of each line
+        self.parent, self.last = [-1], [0]  # of each group: the one around it, the last one opened inside
+        self.stack = [("", 0)]
+        self.names: dict[str, int] = {}
         self.parts: list[str] = []
         self.linked = 0
         self.container = self.opened = 0
@@ -116,6 +123,8 @@ class Lines:
                 self.nest(-1 if closing else 1)
             elif name in BLOCKS:
                 self.end()
+                if name in GROUPS and name not in VOID:
+                    self.enter(name, bool(closing))
             elif name in BREAKS:
                 self.parts.append(" ")
             elif name == "a":
@@ -123,6 +132,8 @@ class Lines:
         if not skip:
             self.add(page[at:], links > 0)
         self.end()
+        while self.stack:
+            self.last[self.stack.pop()[1]] = len(self.parent) - 1
 
     def add(self, raw: str, linked: bool) -> None:
         text = html.unescape(raw) if "&" in raw else raw
@@ -136,8 +147,38 @@ class Lines:
         self.text.append(text)
         self.size.append(max(0, len(text) - self.linked))
         self.home.append(self.container)
+        self.group.append(self.stack[-1][1])
         self.parts, self.linked = [], 0
 
+    def enter(self, name: str, closing: bool) -> None:
+        if not closing:
+            self.parent.append(self.stack[-1][1])
+            self.last.append(0)
+            self.stack.append((name, len(self.parent) - 1))
+            self.names[name] = self.names.get(name, 0) + 1
+        elif self.names.get(name):
+            found = ""
+            while found != name:
+                found, group = self.stack.pop()
+                self.names[found] -= 1
+                self.last[group] = len(self.parent) - 1
+
+    def beside(self, first: int, to: int) -> tuple[int, int]:
+        """Range of the groups around lines ``first`` to ``to``: where these lie in one part of it, it holds other text as well."""
+        texts = sorted(g for g, n in zip(self.group, self.size, strict=True) if n)
+        own = [g for g, n in zip(self.group[first:to], self.size[first:to], strict=True) if n]
+        low, high, around = min(own), max(own), min(own)
+        while self.last[around] < high:
+            around = self.parent[around]
+        inside = lambda g: bisect_right(texts, self.last[g]) - bisect_left(texts, g)
+        if low == high or around in own:
+            held = inside(around)
+            while self.parent[around] >= 0:
+                around = self.parent[around]
+                if inside(around) > held:
+                    break
+        return around, self.last[around]
+
     def blank(self) -> None:
         for _ in range(WINDOW):
             self.end()
@@ -187,7 +228,10 @@ def main_text(page: str | None) -> str:
         homes |= {lines.home[k] for a, b, *_ in chosen for k in range(a, b)} - {0}
         kept = [t for t, home in zip(lines.text, lines.home, strict=True) if home in homes]
     else:
-        kept = [t for a, b, *_ in chosen for t, home in zip(lines.text[a:b], lines.home[a:b], strict=True)]
+        low, high = lines.beside(*largest[:2])
+        taken = {k for a, b, *_ in chosen for k in range(a, b)}
+        near = lambda k: low <= lines.group[k] <= high and len(lines.text[k]) < 2 * lines.size[k]
+        kept = [t for k, t in enumerate(lines.text) if k in taken or near(k)]
     return "\n".join(t for t in kept if t)
 
 

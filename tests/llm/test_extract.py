@@ -26,6 +26,14 @@ def test_without_article_element():
     assert E.main_text(page) == f"Title\n{PROSE}\nShort.\n{PROSE} <b> &amp; x y z"
 
 
+def test_short_sections_without_article_element():
+    long = " ".join([PROSE] * 20)
+    page = f"""<body><div class=page><div><div><h1>Title</h1></div></div><div><div><p>{long}</p><p>{PROSE}</p></div></div><div class=ad>{PROSE}</div>
+    <div><div><p>{PROSE[:60]}</p></div></div><div><div><p>Short section.</p></div></div><div><div><a href=x>More of this</a></div></div>
+    <div><div><p>The end.</p></div></div></div><div><p>Outside.</p></div></body>"""
+    assert E.main_text(page) == f"Title\n{long}\n{PROSE}\n{PROSE[:60]}\nShort section.\nThe end."
+
+
 def test_inside_article():
     page = f"""<body><header><h1>Site</h1></header><main><article><header><h1>Title</h1></header><p>{PROSE}</p><aside>{PROSE}</aside>
     <div><div><div><p>One.</p></div></div></div><div class="ad">{PROSE}</div><p class="promo">{PROSE}<p>Last.</p><script>if (a < b) "</p>"</script>
