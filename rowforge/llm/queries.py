@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import decontaminate, extract, langid, neardup, packing, quality, secrets, spotsigs, substrings, warc
+from rowforge.llm import decontaminate, extract, langid, neardup, packing, quality, secrets, spotsigs, substrings, variants, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,3 +117,41 @@ def op9_substrings(t: Tables) -> DataFrame:
 @query("op10_spotsigs")
 def op10_spotsigs(t: Tables) -> DataFrame:
     return spotsigs.compare_with_next(t.documents)
+
+
+@query(
+    "op11_variants",
+    r"""
+    WITH RECURSIVE bits AS (
+        SELECT b, 0 AS k, b::BIGINT AS c FROM range(256) t(b)
+        UNION ALL SELECT b, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+    ), crc AS (SELECT list(c ORDER BY b) AS tab FROM bits WHERE k = 8),
+    runs AS (
+        SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents) WHERE length(run) >= 6 GROUP BY doc_id, run
+    ), hashed AS (
+        SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [('0x' || substr(hx, 2 * i + 1, 2))::BIGINT FOR i IN range(len(hx) // 2)]),
+            lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h
+        FROM (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS hx FROM runs), crc
+    ), words AS (
+        SELECT word, CAST(sum(n) AS BIGINT) AS n
+        FROM (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed)
+        WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), skips AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+    near AS (
+        SELECT a.word, b.word AS other FROM skips a JOIN skips b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION SELECT a.word, b.word FROM skips a JOIN words b ON a.rest = b.word
+        UNION SELECT b.word, a.word FROM skips a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT near.word, count(*) AS n_near, min(struct_pack(m := -o.n, other := other)) AS b
+        FROM near JOIN words o ON o.word = other GROUP BY near.word
+    ), judged AS (
+        SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -b.m >= 5 * n THEN b.other END AS form, CASE WHEN -b.m >= 5 * n THEN -b.m END AS form_n
+        FROM words LEFT JOIN best USING (word)
+    ), up AS (SELECT word, word AS at, form AS next FROM judged UNION ALL SELECT up.word, j.word, j.form FROM up JOIN judged j ON j.word = up.next)
+    SELECT word, form, up.at AS root, n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n
+    FROM judged JOIN up USING (word) WHERE up.next IS NULL
+    """,
+)
+def op11_variants(t: Tables) -> DataFrame:
+    return variants.variants(t.documents)
