@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rowforge.llm import decontaminate, extract, langid, neardup, packing, quality, secrets, spotsigs, substrings, variants, warc
+from rowforge.llm import decontaminate, extract, langid, neardup, packing, phrases, pii, quality, secrets, spotsigs, substrings, variants, warc
 from rowforge.plans.catalog import Tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -155,3 +155,38 @@ def op10_spotsigs(t: Tables) -> DataFrame:
 )
 def op11_variants(t: Tables) -> DataFrame:
     return variants.variants(t.documents)
+
+
+@query("op12_pii")
+def op12_pii(t: Tables) -> DataFrame:
+    return pii.report(t.documents)
+
+
+@query(
+    "op13_phrases",
+    r"""
+    WITH pieces AS (
+        SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents
+    ), words AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \t]+'), lambda x: x <> '') AS w FROM pieces),
+    grams AS (
+        SELECT lang, size, phrase, count(*) AS f FROM (
+            SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase
+            FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, range(1, 5) s(size)))
+        GROUP BY ALL HAVING count(*) >= 30 OR size = 1
+    ), totals AS (SELECT lang, sum(f) AS n FROM grams WHERE size = 1 GROUP BY lang),
+    cands AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM grams WHERE size > 1),
+    cuts AS (SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS p, array_to_string(w[k + 1 : size], ' ') AS q
+        FROM (SELECT *, unnest(range(1, size)) AS k FROM cands)),
+    judged AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(2000000 * c.a::HUGEINT // (x.f + y.f) AS BIGINT) AS score
+        FROM cuts c JOIN grams x ON x.lang = c.lang AND x.phrase = c.p JOIN grams y ON y.lang = c.lang AND y.phrase = c.q),
+    best AS (SELECT * FROM judged QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+    inside AS (SELECT lang, array_to_string(w[i : i + m - 1], ' ') AS phrase, a AS longer
+        FROM (SELECT lang, w, a, m, unnest(range(1, size - m + 2)) AS i FROM cands, range(2, 4) s(m) WHERE m < size)),
+    kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.longer >= 80 * b.a)),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+    SELECT lang, rank, phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+    """,
+)
+def op13_phrases(t: Tables) -> DataFrame:
+    return phrases.collocations(t.documents)
