@@ -11,6 +11,7 @@ from rowforge.plans.catalog import Tables, query
 from rowforge.session import fresh_path
 from rowforge.sources import csv as S
 from rowforge.sources import lines as P
+from rowforge.sources.stored import raw_lines
 
 BRAND_NO = "CAST(replace(p_brand, 'Brand#', '') AS INTEGER)"
 LINES_SQL = f"""lines AS (SELECT p_brand AS file, p_partkey,
@@ -195,7 +196,7 @@ def positional_gaps(t: Tables) -> DataFrame:
         cell("s_suppkey").alias("Key"), cell("s_name").alias(" "), cell("s_nationkey").alias("Nation"),
         *[F.lit(None).cast("string").alias(f"x{k}") for k in range(2)], F.lit("tail").alias("Tail"),
     ).write.option("header", True).csv(path)
-    rows = S.positional(S.land(t.spark, path, embedded_newlines=False))
+    rows = S.positional(S.land(t.spark, path))
     value, name = (lambda i: F.get("cells", F.lit(i))), (lambda i: F.get("names", F.lit(i)))
     return rows.select(
         value(0).cast("bigint").alias("s_suppkey"), name(0).alias("name1"), name(1).alias("name2"), name(2).alias("name3"),
@@ -236,7 +237,7 @@ def positional_csv(t: Tables) -> DataFrame:
     t.supplier.select(
         F.col("s_suppkey").alias("Supp Key"), F.col("s_name").alias("Name"), F.col("s_nationkey").alias("Nation")
     ).write.option("header", True).csv(path)
-    rows = S.positional(S.land(t.spark, path, 3, embedded_newlines=False))
+    rows = S.positional(S.land(t.spark, path, 3))
     value = lambda i: F.get("cells", F.lit(i))
     return rows.select(
         value(0).cast("bigint").alias("s_suppkey"), F.get("names", F.lit(0)).alias("name1"),
@@ -249,11 +250,12 @@ def positional_csv(t: Tables) -> DataFrame:
     """SELECT s_suppkey, unnest([1, 2]) AS line_no, unnest(['ชื่อลูกค้า ' || s_name, 'บรรทัด|' || s_nationkey]) AS line FROM supplier""",
 )
 def charset_lines(t: Tables) -> DataFrame:
-    """One small file per supplier, in the character set of its partner, decoded to lines."""
-    text = F.concat(F.lit("ชื่อลูกค้า "), F.col("s_name"), F.lit("\r\nบรรทัด|"), F.col("s_nationkey").cast("string"), F.lit("\n"))
+    """One file per supplier, in the character set of its partner, read in splits and decoded line by line."""
+    text = F.concat(F.lit("ชื่อลูกค้า "), F.col("s_name"), F.lit("\r\nบรรทัด|"), F.col("s_nationkey").cast("string"))
     partner = F.when(F.col("s_nationkey") % 3 == 0, "TIB").otherwise("KK")
-    files = t.supplier.select("s_suppkey", partner.alias("partner"), text.alias("text")).select(
-        F.col("s_suppkey").alias("file"), "partner",
-        F.when(F.col("partner") == "TIB", F.encode("text", "UTF-8")).otherwise(F.encode("text", P.DEFAULT_CHARSET)).alias("content"),
-    )
-    return P.read_lines(files).withColumnRenamed("file", "s_suppkey")
+    # the text writer puts out the bytes of a string as they are
+    coded = F.when(partner == "TIB", F.encode(text, "UTF-8")).otherwise(F.encode(text, P.DEFAULT_CHARSET)).cast("string")
+    path = fresh_path(t.spark, "charsets")
+    t.supplier.select("s_suppkey", partner.alias("partner"), coded.alias("value")).write.partitionBy("partner", "s_suppkey").text(path)
+    lines = P.read_lines(raw_lines(t.spark, path), partner=F.regexp_extract("file", "partner=([^/]+)", 1))
+    return lines.select(F.regexp_extract("file", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "line_no", "line")

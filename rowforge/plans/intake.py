@@ -14,11 +14,13 @@ from rowforge.operators import intake as I
 from rowforge.operators import normalize as N
 from rowforge.operators.lifecycle import retry_import as retry_rest
 from rowforge.operators.ordered import id_range, number_rows, time_range
+from rowforge.operators.skew import attach
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import BOTH, NUMBERED, numbered
 from rowforge.plans.samples import ORDER_TEXT_SQL, order_text
-from rowforge.session import fresh_path
-from rowforge.sinks.tables import append_source, current_results, write_run
+from rowforge.session import fresh_path, stage
+from rowforge.sinks.once import append_once, read_once
+from rowforge.sinks.tables import current_results, write_run
 from rowforge.sources import csv as S
 from rowforge.sources import files as L
 
@@ -100,16 +102,18 @@ def csv_ragged(t: Tables) -> DataFrame:
     line = F.when(kind == 1, F.concat(key, F.lit(',"a,b",x,more'))).when(kind == 2, F.concat(key, F.lit(',5"6'))).otherwise(F.concat(key, F.lit(',"say ""x"", y",z')))
     path = fresh_path(t.spark, "ragged")
     t.orders.select(line.alias("Key,Text,Last")).write.option("header", True).option("quote", "").csv(path, sep="\x01")
-    landed = S.land(t.spark, path, embedded_newlines=False)
+    landed = S.land(t.spark, path)
     found = S.ragged(landed, S.headers(landed))
     return found.groupBy("reason", "n_cells").agg(F.count(F.lit(1)).alias("n_rows"), F.min("raw").alias("first_raw"))
 
 
 @query("snapshot_source", CSV_SQL)
 def snapshot_source(t: Tables) -> DataFrame:
-    """The same deliveries parsed from their stored bytes, as a retry does."""
-    snapshot = L.snapshot_files(t.spark, write_deliveries(t, "orders") + "/*.csv")
-    landed = S.parse_snapshot(snapshot, len(RULES))
+    """The same deliveries parsed from their stored lines, as a retry does, after the files are gone."""
+    path = write_deliveries(t, "orders")
+    snapshot = L.snapshot_files(t.spark, path)
+    t.orders.limit(0).write.mode("overwrite").parquet(path)
+    landed = S.parse(snapshot, len(RULES))
     return as_text(S.records(landed, S.headers(landed), RULES))
 
 
@@ -118,32 +122,54 @@ def snapshot_unchanged(t: Tables) -> DataFrame:
     """Live files hashed again after parsing; equal bytes may be archived."""
     path = write_deliveries(t, "orders") + "/*.csv"
     snapshot = L.snapshot_files(t.spark, path)
-    landed = S.parse_snapshot(snapshot, len(RULES))
-    sizes = landed.groupBy(F.col("file").alias("path")).agg((F.count(F.lit(1)) - 1).alias("n"))
-    status = R.archive_status(L.live_hashes(t.spark, path), snapshot.select("path", "sha256"), "path")
+    landed = S.parse(snapshot, len(RULES))
+    sizes = landed.groupBy(L.decoded_path(F.col("file")).alias("path")).agg((F.count(F.lit(1)) - 1).alias("n"))
+    status = R.archive_status(L.live_hashes(t.spark, path), snapshot.files.select("path", "sha256"), "path")
     return status.join(sizes, "path").groupBy("archive_status").agg(F.sum("n").alias("n_rows"))
 
 
 @query("retry_import", CSV_SQL)
 def retry_import(t: Tables) -> DataFrame:
-    """Imports broken off after row 49 of every file, completed from the snapshot."""
-    path = fresh_path(t.spark, "source")
-    snapshot = L.snapshot_files(t.spark, write_deliveries(t, "orders") + "/*.csv")
-    landed = S.parse_snapshot(snapshot, len(RULES))
+    """Imports broken off after row 49 of every file, completed from the snapshot. Numbers are those of the first read."""
+    path, deliveries = fresh_path(t.spark, "source"), write_deliveries(t, "orders")
+    landed = S.land(t.spark, deliveries, len(RULES))
     S.records(landed, S.headers(landed), RULES).filter(F.col("row_number") < 50).write.parquet(path)
-    rest = retry_rest(snapshot, t.spark.read.parquet(path), RULES, len(RULES))
+    rest = retry_rest(L.snapshot_files(t.spark, deliveries), t.spark.read.parquet(path), RULES, len(RULES))
     rest.write.mode("append").parquet(path)
     return as_text(t.spark.read.parquet(path))
 
 
+@query("csv_split_quotes", f"SELECT *, CAST(0 AS BIGINT) AS moved, TRUE AS many_tasks FROM ({CSV_SQL})")
+def csv_split_quotes(t: Tables) -> DataFrame:
+    """Files with newlines inside quotes, each read by four tasks or more; read again in other splits, every record keeps its number."""
+    path, reads = write_deliveries(t, "orders"), []
+    size = L.listing(t.spark, path + "/*.csv").agg(F.max("size")).first()[0]
+    before = t.spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for split in (max(64, size // 5), max(64, size // 2 + 1)):
+        t.spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+        try:
+            landed = S.land(t.spark, path, len(RULES))
+        finally:
+            t.spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        reads.append((landed, S.records(landed, S.headers(landed), RULES)))
+    tasks = reads[0][0].groupBy("file").agg(F.count_distinct("_block").alias("tasks"))
+    first = attach(reads[0][1], tasks, ["file"])
+    again = reads[1][1].select("file", "row_number", F.col("order_no").alias("again"))
+    both = first.join(again, ["file", "row_number"], "full")
+    moved = F.when(F.col("again").eqNullSafe(F.col("order_no")), 0).otherwise(1).cast("bigint")
+    return both.select(*as_text(both).columns, moved.alias("moved"), (F.col("tasks") >= 4).alias("many_tasks")).transform(
+        lambda df: df.withColumns({s: F.nullif(F.col(s), F.lit("")) for _, s in RULES})
+    )
+
+
 @query("idempotent_append", f"WITH {NUMBERED} SELECT * FROM numbered")
 def idempotent_append(t: Tables) -> DataFrame:
-    """A broken import, its retry and a repeated message leave every row once."""
-    path, rows = fresh_path(t.spark, "source"), numbered(t)
-    append_source(rows.filter(F.col("row_number") < 5), path)
-    append_source(rows, path)
-    append_source(rows, path)
-    return t.spark.read.parquet(path)
+    """A broken import, its retry and a repeated message leave every row once; stored keys are read by partition."""
+    path = fresh_path(t.spark, "source")
+    rows = stage(numbered(t).withColumn("config", F.pmod(F.col("file_job_id"), F.lit(16))), "numbered")
+    for batch, part in enumerate((rows.filter(F.col("row_number") < 5), rows, rows)):
+        append_once(part, path, batch, ("file_job_id", "row_number"), ("config",))
+    return read_once(t.spark, path, rows.schema).drop("config")
 
 
 CONFIG_COLUMNS = "table_id int, name string, data_type string, is_required boolean, ordinal int, precision int, scale int, max_length int"

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.operators.ordered import latest
+from rowforge.operators.skew import attach
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.core import TYPED
+from rowforge.plans.intake import RULES, write_deliveries
 from rowforge.plans.samples import ORDER_FIELDS, order_text
 from rowforge.session import fresh_path, spread
+from rowforge.sinks.once import read_once
+from rowforge.sources.files import listing
+from rowforge.streaming import chain as C
 from rowforge.streaming import intake as S
 from rowforge.streaming import runner as R
 from rowforge.streaming import state as H
@@ -51,25 +58,66 @@ def stream_normalize(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).select("source_row_id", "file_job_id", "status")
 
 
+def messages(t: Tables) -> DataFrame:
+    """Events as messages: config and week are the partition a repeat falls into again."""
+    return t.events.select("event_id", "user_id", F.col("event_type").alias("config"), F.date_trunc("week", "ts").cast("date").alias("week"))
+
+
 @query("stream_idempotent", "SELECT event_id, user_id FROM events")
 def stream_idempotent(t: Tables) -> DataFrame:
-    """Every message is delivered twice; each takes effect once."""
-    rows = t.events.select("event_id", "user_id")
-    path = fresh_path(t.spark, "effects")
+    """Every message is delivered twice; each takes effect once, compared only with its own config and week."""
+    rows, path = messages(t), fresh_path(t.spark, "effects")
     twice = feed(t, rows.unionByName(rows), "messages")
-    R.drain_batches(twice, S.idempotent_batch(("event_id",), path), fresh_path(t.spark, "checkpoint"))
-    return t.spark.read.parquet(path).select("event_id", "user_id")
+    R.drain_batches(twice, S.idempotent_batch(("event_id",), path, ("config", "week")), fresh_path(t.spark, "checkpoint"))
+    return read_once(t.spark, path, rows.schema).select("event_id", "user_id")
 
 
-@query("stream_restart", "SELECT event_id, event_type FROM events")
+@query("stream_restart", "SELECT event_id, config AS event_type, CAST(2 AS BIGINT) AS restarts FROM (SELECT event_id, event_type AS config FROM events)")
 def stream_restart(t: Tables) -> DataFrame:
-    """Half the files, a stop, the other half under the same checkpoint: nothing lost or doubled."""
-    folder, out, checkpoint = (fresh_path(t.spark, n) for n in ("arrivals", "landed", "checkpoint"))
-    rows = t.events.select("event_id", "event_type")
-    for part in (F.col("event_type").isin("error", "view"), ~F.col("event_type").isin("error", "view")):
-        rows.filter(part).write.mode("append").parquet(folder)
-        R.drain(t.spark.readStream.schema(rows.schema).parquet(folder), out, checkpoint)
-    return t.spark.read.schema(rows.schema).parquet(out)
+    """Messages come twice, and two of three batches break behind their writes and before their commit. Started again
+    under the same checkpoint, the batches run again and nothing is lost or doubled."""
+    rows, path, checkpoint = messages(t), fresh_path(t.spark, "landed"), fresh_path(t.spark, "checkpoint")
+    arrivals = feed(t, rows.unionByName(rows), "arrivals")
+    handle = R.breaking(S.idempotent_batch(("event_id",), path, ("config", "week")), (0, 2))
+    restarts = R.drain_with_restarts(lambda: arrivals, handle, checkpoint, 2)
+    out = read_once(t.spark, path, rows.schema)
+    return out.select("event_id", F.col("config").alias("event_type"), F.lit(restarts).cast("bigint").alias("restarts"))
+
+
+@query("stream_pipeline", f"{TYPED} SELECT order_no, status, TRUE AS file_complete, TRUE AS began_early FROM typed_status")
+def stream_pipeline(t: Tables) -> DataFrame:
+    """Delivered files to Source rows to typed rows in two streams. The first breaks between two shares of its second
+    batch; the second goes on with the rows of files that are not complete; then both are started again."""
+    root, path = write_deliveries(t, "orders"), fresh_path(t.spark, "chain")
+    checkpoints = [fresh_path(t.spark, f"checkpoint-{k}") for k in (1, 2)]
+    configs = t.spark.range(1).select(F.lit("orders").alias("folder"), (F.col("id") + 7).alias("config_id"))
+    n_files = listing(t.spark, root + "/*.csv").count()
+    faults = {(1, 1)}
+
+    def fault(batch_id: int, share: int) -> None:
+        if (batch_id, share) in faults:
+            faults.discard((batch_id, share))
+            raise R.Broken(f"batch {batch_id} broke behind share {share}")
+
+    def files_to_source() -> None:
+        arrivals = S.file_stream(t.spark, root.rsplit("/", 1)[0], max_files=-(-n_files // 3))
+        R.drain_batches(arrivals, C.import_batch(path, RULES, configs, 4, fault), checkpoints[0])
+
+    def source_to_rows() -> None:
+        R.drain_batches(C.source_stream(t.spark, path, RULES), C.results_batch(path, ORDER_FIELDS), checkpoints[1])
+
+    try:
+        files_to_source()
+    except Exception as e:
+        if R.Broken.__name__ not in str(e):
+            raise
+    source_to_rows()
+    early = C.file_progress(t.spark, path).where("normalized > 0 AND NOT complete").limit(1).count() == 1
+    files_to_source()
+    source_to_rows()
+    progress = C.file_progress(t.spark, path).select("file_job_id", F.col("complete").alias("file_complete"))
+    rows = C.results(t.spark, path).select("file_job_id", "order_no", "status")
+    return attach(rows, progress, ["file_job_id"]).select("order_no", "status", "file_complete", F.lit(early).alias("began_early"))
 
 
 @query("stream_status", "SELECT event_type AS status, count(*) AS n FROM events GROUP BY event_type")
@@ -81,21 +129,54 @@ def stream_status(t: Tables) -> DataFrame:
     return latest(t.spark.read.parquet(path), ["status"], ["batch_id"]).select("status", "n")
 
 
+def arriving(df: DataFrame, at: str, jitter: int, batches: int, last: DataFrame) -> Iterator[DataFrame]:
+    """Rows in the order they arrive, up to ``jitter`` seconds after ``at``, in ``batches`` parts of equal time; ``last`` ends the last part.
+
+    The row in ``last`` moves the clock of event time past all others."""
+    arrived = df.withColumn("_arrived", F.unix_seconds(at) + F.pmod(F.xxhash64(*df.columns), F.lit(jitter)))
+    low, high = arrived.agg(F.min("_arrived"), F.max("_arrived")).first()
+    if low is None:
+        return
+    part = F.least(F.floor((F.col("_arrived") - low) * batches / (high - low + 1)), F.lit(batches - 1))
+    for k in range(batches):
+        rows = arrived.where(part == k).drop("_arrived")
+        yield rows.unionByName(last) if k == batches - 1 else rows
+
+
+def read_folder(t: Tables, df: DataFrame):
+    return lambda folder: t.spark.readStream.schema(df.schema).parquet(folder)
+
+
+def closing(df: DataFrame, at: str, after: str, **values) -> DataFrame:
+    """One row ``after`` the latest time, with ``values`` in the other columns."""
+    row = df.agg((F.max(at) + F.expr(f"INTERVAL {after}")).alias(at)).where(F.col(at).isNotNull())
+    return row.select(*[F.col(at) if c == at else F.lit(values[c]).cast(df.schema[c].dataType).alias(c) for c in df.columns])
+
+
+BATCHES = 3
+
+
 @query(
     "stream_correlate",
-    """SELECT m.event_id AS message_id, n.event_id AS notice_id FROM events m JOIN events n ON m.user_id = n.user_id
-    AND n.ts BETWEEN m.ts - INTERVAL 12 HOUR AND m.ts + INTERVAL 12 HOUR WHERE m.event_type = 'purchase' AND n.event_type = 'signup'""",
+    """WITH m AS (SELECT user_id, event_id, ts, CASE event_type WHEN 'purchase' THEN 'confirm' ELSE 'cancel' END AS kind FROM events WHERE event_type IN ('purchase', 'error')),
+    n AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'signup'),
+    j AS (SELECT m.event_id AS message_id, m.kind, n.event_id AS notice_id, n.ts > m.ts AS late,
+        row_number() OVER (PARTITION BY m.event_id ORDER BY abs(epoch_us(n.ts) - epoch_us(m.ts)), n.ts, n.event_id) AS r
+      FROM m LEFT JOIN n ON m.user_id = n.user_id AND n.ts BETWEEN m.ts - INTERVAL 12 HOUR AND m.ts + INTERVAL 12 HOUR)
+    SELECT message_id, kind, notice_id, CASE WHEN notice_id IS NULL THEN 'Orphan' WHEN late THEN 'OutOfOrder' ELSE 'InOrder' END AS outcome FROM j WHERE r = 1""",
 )
 def stream_correlate(t: Tables) -> DataFrame:
-    """Purchases with signups of the same user within twelve hours, whichever came first."""
-    of = lambda kind, p: events(t).filter(F.col("event_type") == kind).select(
-        F.col("user_id").alias("business_key"), F.col("event_id").alias(f"{p}_id"), F.col("ts").alias(f"{p}_at")
-    )
-    joined = H.correlate_stream(
-        feed(t, of("purchase", "message"), "messages"), feed(t, of("signup", "notice"), "notices"),
-        "business_key", "60 days", "12 HOURS",
-    )
-    return R.to_table(joined, "correlated").filter(F.col("notice_id").isNotNull()).select("message_id", "notice_id")
+    """Purchases (confirms) and errors (cancels) with the nearest signup (notice) of the same user within twelve hours.
+
+    Events arrive up to six hours late, in three batches; every message gets its answer."""
+    R.use_rocksdb(t.spark)
+    kind = F.when(F.col("event_type") == "signup", "notice").when(F.col("event_type") == "purchase", "confirm").when(F.col("event_type") == "error", "cancel")
+    rows = events(t).select(F.col("user_id").alias("business_key"), kind.alias("kind"), F.col("event_id").alias("id"), F.col("ts").alias("at")).where("kind IS NOT NULL")
+    last = closing(rows, "at", "10 DAYS", business_key=-1, kind="notice", id=-1)
+    path = fresh_path(t.spark, "correlated")
+    R.drain_parts(arriving(rows, "at", 6 * 3600, BATCHES, last), lambda f: H.correlate_stream(read_folder(t, rows)(f), 12 * 3600, "8 hours"), path, "messages")
+    schema = "business_key long, message_id long, kind string, notice_id long, outcome string"
+    return t.spark.read.schema(schema).parquet(path).select("message_id", "kind", "notice_id", "outcome")
 
 
 @query(
@@ -103,30 +184,31 @@ def stream_correlate(t: Tables) -> DataFrame:
     """WITH o AS (SELECT user_id, ts, CAST(floor(value / 40) AS BIGINT) AS size, length(event_type) AS mtime FROM events),
     s AS (SELECT user_id, ts, size = lag(size) OVER w AND size = lag(size, 2) OVER w
         AND mtime = lag(mtime) OVER w AND mtime = lag(mtime, 2) OVER w AS same
-      FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts))
+      FROM o WINDOW w AS (PARTITION BY user_id ORDER BY ts, size, mtime))
     SELECT CAST(user_id AS VARCHAR) AS path, epoch_us(min(ts)) AS ready_us FROM s WHERE same GROUP BY user_id""",
 )
 def stream_readiness(t: Tables) -> DataFrame:
+    """Observations arrive up to six hours late, in three batches; each path becomes ready once, at the same time as in one batch."""
     R.use_rocksdb(t.spark)
     seen = events(t).select(
         F.col("user_id").cast("string").alias("path"), F.col("ts").alias("observed_at"),
         F.floor(F.col("value") / 40).alias("size"), F.length("event_type").cast("bigint").alias("mtime"),
     )
-    # one batch: readiness needs the observations of a path in time order
-    ready = H.readiness_stream(feed(t, seen, "observations", batches=1))
-    return R.to_table(ready, "ready").select("path", F.unix_micros("ready_at").alias("ready_us"))
+    last = closing(seen, "observed_at", "2 DAYS", path="", size=0, mtime=0)
+    path, forget = fresh_path(t.spark, "ready"), 10 * 366 * 86_400_000
+    R.drain_parts(arriving(seen, "observed_at", 6 * 3600, BATCHES, last), lambda f: H.readiness_stream(read_folder(t, seen)(f), 3, "8 hours", forget), path, "observations")
+    return t.spark.read.schema("path string, ready_at timestamp").parquet(path).select("path", F.unix_micros("ready_at").alias("ready_us"))
 
 
-@query(
-    "stream_hold",
-    """SELECT event_id AS job_id, epoch_us(ts) // 1000 + 30000 AS released_ms FROM events
-    WHERE epoch_us(ts) // 1000 + 30000 <= (SELECT max(epoch_us(ts)) // 1000 FROM events)""",
-)
+@query("stream_hold", "SELECT event_id AS job_id, epoch_us(ts) // 1000 + 30000 AS released_ms FROM events")
 def stream_hold(t: Tables) -> DataFrame:
-    """Jobs released by a timer 30 s after they were taken, in event time."""
+    """Jobs released by the clock 30 s after they were taken, in three batches or more; no later job is needed to
+    release the last ones, and no state is left behind."""
     R.use_rocksdb(t.spark)
     taken = events(t).select(F.col("event_id").alias("job_id"), F.col("ts").alias("taken_at"))
-    return R.to_table(H.hold_stream(feed(t, taken, "taken", batches=1)), "released")
+    path, jobs = fresh_path(t.spark, "released"), feed(t, taken, "taken")
+    R.run_until(H.hold_stream(jobs, 30, remember_ms=1000), path, fresh_path(t.spark, "checkpoint"))
+    return t.spark.read.schema("job_id long, released_ms long").parquet(path)
 
 
 @query(

@@ -1,8 +1,8 @@
 """CSV deliveries: header, quoting, newlines inside quotes, every field a string.
 
-Files are read without a header so that each file's own column order counts. One
-pass lands the cells with their place in the file; header check, numbering and
-projection all work on the landed table."""
+Files are read without a header so that each file's own column order counts. Lines are
+stored once, by split; header check, numbering and projection all work on the records
+read from them, in a first read as in a retry."""
 
 from __future__ import annotations
 
@@ -12,15 +12,13 @@ from pyspark.sql import types as T
 
 from rowforge.operators.intake import with_row_number
 from rowforge.operators.skew import attach
-from rowforge.session import stage
+from rowforge.sources import stored
+from rowforge.sources.files import Snapshot, snapshot_files
 from rowforge.sources.lines import accept
 
-# One record, as Spark's reader sees it: a quote opens a quoted cell only where a cell begins; one that
-# never closes runs to the end of the file.
-CELL = r'(?:"(?:[^"]++|"")*+"[^,\r\n]*+|"[\s\S]*+|[^",\r\n][^,\r\n]*+)?+'
-RECORD = rf"({CELL}(?:,{CELL})*+)"
 QUOTED = r'(^|,)"(?:[^"]++|"")*+"'
 RAW = "_raw"
+PARSED = {"quote": '"', "escape": '"', "multiLine": "true", "lineSep": "\n", "columnNameOfCorruptRecord": RAW}
 
 
 def cell_schema(width: int) -> T.StructType:
@@ -33,36 +31,41 @@ def cell_count(record: Column) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
 
 
-def header_width(spark: SparkSession, paths: list[str] | str) -> int:
-    """Cells of the widest header line among the files."""
-    lines = spark.read.text(paths).filter(F.col("_metadata.file_block_start") == 0)
-    placed = lines.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("_pos"), "value")
-    first = placed.groupBy("file").agg(F.min_by("value", "_pos").alias("line"))
-    return first.agg(F.max(cell_count(F.col("line")))).first()[0] or 1
+def header_width(texts: DataFrame) -> int:
+    """Cells of the widest header among the files."""
+    first = texts.filter(F.col("_block") == 0).groupBy("file").agg(F.min_by("record", "_pos").alias("head"))
+    return first.agg(F.max(cell_count(F.col("head")))).first()[0] or 1
 
 
-def land(spark: SparkSession, paths: list[str] | str, width: int | None = None, embedded_newlines: bool = True) -> DataFrame:
-    """(file, _block, _pos, cells, n_cells, raw) of every record, header included, written once.
+def land(spark: SparkSession, paths: list[str] | str, width: int | None = None, charset: str = "UTF-8") -> DataFrame:
+    """Records of the files as ``parse`` gives them, from lines stored by many tasks a file."""
+    return parse(snapshot_files(spark, paths), width, charset)
+
+
+def parse(snapshot: Snapshot, width: int | None = None, charset: str = "UTF-8") -> DataFrame:
+    """(file, _block, _pos, cells, n_cells, raw) of every record, header included, from stored lines.
 
     Without ``width`` the widest header decides. A record of another length keeps its text in ``raw``
-    and its length in ``n_cells``, so no cell is lost. With embedded newlines a file is one task; a
-    config that declares none lets Spark split files."""
-    width = width or header_width(spark, paths)
-    cells = F.array(*[F.col(f"c{i}") for i in range(width)])
-    raw = (
-        spark.read.schema(cell_schema(width))
-        .option("header", False).option("multiLine", embedded_newlines).option("encoding", "UTF-8")
-        .option("quote", '"').option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", RAW)
-        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-        .csv(paths)
+    and its length in ``n_cells``, so no cell is lost. Positions count the records of a split, so they
+    are the same in every read of a snapshot."""
+    texts = stored.texts(snapshot.lines, snapshot.splits, charset)
+    width = width or header_width(texts)
+    ddl = ", ".join(f"{n} string" for n in cell_schema(width).names)
+    rows = texts.select("file", "_block", "_pos", F.from_csv("record", ddl, PARSED).alias("r"))
+    return rows.select(
+        "file", "_block", "_pos", F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("cells"),
+        n_cells(F.col(f"r.{RAW}"), width), F.col(f"r.{RAW}").alias("raw"),
     )
-    return stage(
-        raw.select(
-            F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"),
-            F.monotonically_increasing_id().alias("_pos"), cells.alias("cells"),
-            n_cells(F.col(RAW), width), F.col(RAW).alias("raw"),
-        ),
-        "landed",
+
+
+def unclosed(snapshot: Snapshot) -> DataFrame:
+    """Files in which a quote never closes, with the number of the record that opens it; a file-level failure."""
+    before = parse(snapshot, 1).select("file", "_block", "_pos")
+    counts = attach(before.withColumnRenamed("_block", "_b").withColumnRenamed("_pos", "_p"), stored.unclosed(snapshot.splits), ["file"], "right")
+    at = counts.groupBy("file").agg(F.count("_p").alias("n"))
+    return at.select(
+        "file", F.lit("ImportFailed").alias("import_status"),
+        F.concat(F.lit("Unclosed quote in record "), F.col("n").cast("string")).alias("last_error"),
     )
 
 
@@ -141,17 +144,3 @@ def positional(landed: DataFrame) -> DataFrame:
         .filter(accept("sheet", F.col("cells")))
         .select("file", "_block", "_pos", "names", "cells")
     )
-
-
-def parse_snapshot(snapshot: DataFrame, width: int) -> DataFrame:
-    """Records of stored bytes in the same shape as ``land``: the retry path."""
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
-    split = snapshot.select(
-        F.col("path").alias("file"), F.posexplode(F.regexp_extract_all(text, F.lit(RECORD), 1)).alias("_pos", "_record")
-    ).filter(F.col("_record") != "")
-    ddl = ", ".join(f"{n} string" for n in cell_schema(width).names)
-    parsed = F.from_csv("_record", ddl, {"quote": '"', "escape": '"', "multiLine": "true", "columnNameOfCorruptRecord": RAW})
-    return split.select("file", F.lit(0).cast("bigint").alias("_block"), F.col("_pos").cast("bigint"), parsed.alias("r")).select(
-        "file", "_block", "_pos", F.array(*[F.col(f"r.c{i}") for i in range(width)]).alias("cells"),
-        n_cells(F.col(f"r.{RAW}"), width), F.col(f"r.{RAW}").alias("raw"),
-    )

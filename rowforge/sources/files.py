@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import re
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowforge.functions.keys import content_hash, intake_key
+from rowforge.functions.keys import intake_key
 from rowforge.session import stage
+from rowforge.sources import stored
 
 
 def file_name(path: Column) -> Column:
@@ -46,21 +48,43 @@ def with_intake_key(listing: DataFrame, config_id: Column) -> DataFrame:
     )
 
 
-def snapshot_files(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    """Stored bytes and hash of each file. Hashing, parsing and every retry use this copy.
+@dataclass(frozen=True)
+class Snapshot:
+    """Files as they were when read: their lines, what their splits do to quotes, and one row per file."""
 
-    One row holds one file, so a file must stay below the 2 GB a value can have; larger
-    files go through ``csv.land`` on a folder that no longer changes."""
+    lines: DataFrame
+    splits: DataFrame
+    files: DataFrame
+
+    def only(self, files: DataFrame) -> Snapshot:
+        """The part of ``files`` (file)."""
+        keep = lambda df, name="file": df.join(files.select(F.col("file").alias(name)).distinct(), name, "left_semi")
+        return Snapshot(keep(self.lines), keep(self.splits), keep(self.files, "path"))
+
+
+def listing(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path, file_name, size, mtime); the bytes are not read."""
     files = spark.read.format("binaryFile").load(paths)
-    return stage(
-        files.select(
-            "path", file_name(F.col("path")).alias("file_name"), F.col("length").alias("size"),
-            F.col("modificationTime").alias("mtime"), "content", content_hash(F.col("content")).alias("sha256"),
-        ),
-        "snapshot",
-    )
+    return files.select("path", file_name(F.col("path")).alias("file_name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+
+
+def with_hash(files: DataFrame, lines: DataFrame, name: str) -> DataFrame:
+    """``files`` (path) with the hash of their stored lines. Empty files are in no listing."""
+    hashed = stored.hashes(lines).select(decoded_path(F.col("file")).alias("path"), F.col("sha256").alias(name))
+    return files.join(hashed, "path", "left").withColumn(name, F.coalesce(name, F.sha2(F.lit(""), 256)))
+
+
+def decoded_path(path: Column) -> Column:
+    """Metadata columns escape a path, listings don't."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
+def snapshot_files(spark: SparkSession, paths: list[str] | str) -> Snapshot:
+    """Lines of each file, stored once by many tasks a file. Hashing, parsing and every retry use this copy."""
+    lines = stored.store_lines(spark, paths)
+    return Snapshot(lines, stored.splits(lines), stage(with_hash(listing(spark, paths), lines, "sha256"), "snapshot"))
 
 
 def live_hashes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(paths)
-    return files.select("path", content_hash(F.col("content")).alias("live_hash"))
+    """(path, live_hash) of the files as they are now."""
+    return with_hash(listing(spark, paths), stored.raw_lines(spark, paths), "live_hash").select("path", "live_hash")

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.text import non_blank, padded_slice, trimmed
+from rowforge.operators.intake import with_row_number
 from rowforge.operators.skew import attach
+from rowforge.session import stage
+from rowforge.sources.stored import decoded
 
 # Character set per partner; every other partner uses the default.
 CHARSETS = {"TIB": "UTF-8"}
@@ -25,15 +28,17 @@ class Slot:
     length: int
 
 
-def read_lines(files: DataFrame) -> DataFrame:
-    """(file, line_no, line) from (file, partner, content), decoded by partner.
+def read_lines(raw: DataFrame, partner: Column) -> DataFrame:
+    """(file, line_no, line) from ``stored.raw_lines``, decoded by partner.
 
-    The partner decides between two branches, as a character set must be a literal."""
-    text = F.when(F.col("partner").isin(*CHARSETS), F.decode("content", "UTF-8")).otherwise(
-        F.decode("content", DEFAULT_CHARSET)
-    )
-    lines = F.split(F.regexp_replace(text, r"\r?\n$", ""), r"\r?\n")
-    return files.select("file", F.posexplode(lines).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1)
+    The partner decides between branches, as a character set must be a literal. Lines are stored once,
+    so that each keeps its split and place; a file is read by as many tasks as it has splits."""
+    lines = stage(raw.select("file", "_block", "_pos", "line"), "raw")
+    text = decoded(F.col("line"), DEFAULT_CHARSET)
+    for name, charset in CHARSETS.items():
+        text = F.when(partner == name, decoded(F.col("line"), charset)).otherwise(text)
+    numbered = with_row_number(lines.select("file", "_block", "_pos", F.regexp_replace(text, "\r\\z", "").alias("line")), "file")
+    return numbered.select("file", F.col("row_number").cast("int").alias("line_no"), "line")
 
 
 def clean_cells(cells: Column) -> Column:

@@ -7,23 +7,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowforge.functions.convert import Field
-from rowforge.functions.keys import content_hash
 from rowforge.operators import config as G
 from rowforge.operators.intake import mark_duplicates, new_rows_only, release_after
 from rowforge.operators.normalize import LINEAGE, normalize
+from rowforge.sinks.once import append_once
 from rowforge.sinks.tables import read_table
-from rowforge.sources.files import candidate, file_name, with_intake_key
+from rowforge.sources.files import candidate, file_name, live_hashes, with_intake_key
 from rowforge.streaming.runner import write_batch
 
 # Message topics and their key fields.
 TOPICS = {"mapping.file-import": "fileJobId", "mapping.row-normalize": "rowJobId"}
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"  # content is never selected, so never read
 
 
 def file_stream(
     spark: SparkSession, root: str, exts: str = "csv", max_files: int = 1000, archive: str | None = None
 ) -> DataFrame:
-    """New files below the config folders of ``root``, with folder and content hash.
+    """New files below the config folders of ``root``, as a listing; handlers read the bytes by split.
 
     ``max_files`` bounds a batch. With ``archive`` Spark moves processed files there; the
     last batch's files move when the next one runs."""
@@ -36,7 +36,6 @@ def file_stream(
     files = reader.load(root).select(
         "path", file_name(F.col("path")).alias("file_name"), F.element_at(F.split("path", "/"), -2).alias("folder"),
         F.col("length").alias("size"), F.col("modificationTime").alias("mtime"),
-        content_hash(F.col("content")).alias("content_hash"),
     )
     return files.filter(candidate(F.col("file_name"), F.col("size"), exts))
 
@@ -57,6 +56,16 @@ def coalesce_events(events: DataFrame, key: list[str], at: str, delay: str) -> D
     return events.withWatermark(at, delay).dropDuplicatesWithinWatermark(key)
 
 
+def hashed(files: DataFrame) -> DataFrame:
+    """A batch of files with the hash of their bytes, read by split; the paths of a batch are bounded by ``max_files``."""
+    if "content_hash" in files.columns:
+        return files
+    paths = [r.path for r in files.select("path").distinct().collect()]
+    if not paths:
+        return files.withColumn("content_hash", F.lit(None).cast("string"))
+    return files.join(live_hashes(files.sparkSession, paths).withColumnRenamed("live_hash", "content_hash"), "path", "left")
+
+
 def intake_batch(configs: DataFrame, activations: DataFrame, registry: str, warnings: str):
     """Handler: pin the version active at receipt, find duplicates, write jobs. Folders without a config, and
     configs without an active version, only warn.
@@ -68,7 +77,7 @@ def intake_batch(configs: DataFrame, activations: DataFrame, registry: str, warn
 
     def handle(files: DataFrame, batch_id: int) -> None:
         spark = files.sparkSession
-        files = files.persist()
+        files = hashed(files).persist()
         known = files.join(configs.select("folder", "config_id"), "folder")
         keyed = with_intake_key(known, F.col("config_id"))
         stored = read_table(spark, registry)
@@ -106,15 +115,15 @@ def normalize_batch(fields: list[Field], path: str, keep: tuple[str, ...] = LINE
     return handle
 
 
-def idempotent_batch(key: tuple[str, ...], path: str):
-    """Handler: rows whose key no other batch wrote yet. Messages may come any number of times."""
+def idempotent_batch(key: tuple[str, ...], path: str, parts: tuple[str, ...], told: list[dict] | None = None):
+    """Handler: rows whose key no other batch wrote yet. Messages may come any number of times, in their own partitions ``parts``.
+
+    ``told`` collects what each batch took."""
 
     def handle(rows: DataFrame, batch_id: int) -> None:
-        stored = read_table(rows.sparkSession, path)
-        fresh = rows.dropDuplicates(list(key))
-        if stored is not None:
-            fresh = new_rows_only(fresh, stored.filter(F.col("batch_id") != batch_id), key)
-        write_batch(fresh, path, batch_id)
+        took = append_once(rows, path, batch_id, key, parts)
+        if told is not None:
+            told.append(took)
 
     return handle
 

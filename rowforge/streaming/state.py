@@ -1,4 +1,7 @@
-"""Streams that need state per key: readiness, hold, correlation, live counts."""
+"""Streams that need state per key: readiness, hold, correlation, live counts.
+
+State holds what the lateness bound or the hold leaves open, and nothing else: what is settled is cleared, so a
+stream that runs for months keeps the keys of its last minutes."""
 
 from __future__ import annotations
 
@@ -11,85 +14,202 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 
+def _millis(us: int) -> int:
+    """First whole millisecond that is not before ``us``."""
+    return -(-us // 1000)
+
+
 class Readiness(StatefulProcessor):
-    """Counts equal (size, mtime) observations of a path; emits once when ``n`` follow each other."""
+    """Emits a path once ``n`` observations with equal size and mtime have followed each other.
 
-    def __init__(self, n: int = 3):
-        self.n = n
+    Observations wait until the watermark has passed them and are judged in time order, whatever batch they came
+    in; equal times go by size, then mtime. After a path was emitted only that fact stays, for ``forget_ms`` of
+    event time, and further observations are ignored."""
+
+    def __init__(self, n: int = 3, forget_ms: int = 86_400_000):
+        self.n, self.forget_ms = n, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", "size long, mtime long, run int, done boolean")
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at_us long, size long, mtime long")
+        self.run = handle.getValueState("run", "size long, mtime long, n long")
+        self.until = handle.getValueState("until", "ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        size, mtime, run, done = self.seen.get() if self.seen.exists() else (None, None, 0, False)
-        # one path in one micro-batch: three numbers per observation, bounded by the batch size
-        seen = pd.concat([b[["observed_at", "size", "mtime"]] for b in rows]).sort_values("observed_at")
-        values, place = seen[["size", "mtime"]].to_numpy("int64"), np.arange(len(seen))
-        before = np.vstack([values[:1] - 1 if size is None else [[size, mtime]], values[:-1]])
-        begun = np.maximum.accumulate(np.where((values != before).any(axis=1), place, -1))
+        if self.until.exists():
+            return
+        for batch in rows:
+            seen = batch[["at_us", "size", "mtime"]]
+            self.waiting.appendList([tuple(map(int, r)) for r in seen.itertuples(index=False)])
+            self.handle.registerTimer(_millis(int(seen["at_us"].min())))
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        if self.until.exists():
+            if self.until.get()[0] <= passed:
+                self.until.clear()
+            return
+        waiting = np.array(sorted(self.waiting.get()), np.int64).reshape(-1, 3)
+        due = waiting[waiting[:, 0] <= passed * 1000]
+        later = waiting[len(due) :]
+        if not len(due):
+            return
+        size, mtime, run = self.run.get() if self.run.exists() else (0, 0, 0)
+        values, place = due[:, 1:], np.arange(len(due))
+        changed = np.ones(len(due), bool)
+        changed[1:] = (values[1:] != values[:-1]).any(axis=1)
+        changed[0] = run == 0 or tuple(values[0]) != (size, mtime)
+        begun = np.maximum.accumulate(np.where(changed, place, -1))
         runs = np.where(begun >= 0, place - begun + 1, run + place + 1)
         ready = np.flatnonzero(runs >= self.n)
-        if len(ready) and not done:
-            done = True
-            yield pd.DataFrame({"path": [key[0]], "ready_at": [seen["observed_at"].iloc[ready[0]]]})
-        self.seen.update((int(values[-1, 0]), int(values[-1, 1]), int(runs[-1]), done))
+        if len(ready):
+            at_us = int(due[ready[0], 0])
+            self.waiting.clear()
+            self.run.clear()
+            self.until.update((_millis(at_us) + self.forget_ms,))
+            self.handle.registerTimer(_millis(at_us) + self.forget_ms)
+            yield pd.DataFrame({"path": [key[0]], "ready_at": pd.to_datetime([at_us], unit="us")})
+            return
+        self.run.update((int(values[-1, 0]), int(values[-1, 1]), int(runs[-1])))
+        if len(later):
+            self.waiting.put([tuple(map(int, r)) for r in later])
+            self.handle.registerTimer(_millis(int(later[0, 0])))
+        else:
+            self.waiting.clear()
 
     def close(self) -> None:
         pass
 
 
-def readiness_stream(observations: DataFrame, n: int = 3) -> DataFrame:
-    """Observations (path string, observed_at, size, mtime) → (path, ready_at)."""
-    return observations.groupBy("path").transformWithStateInPandas(
-        statefulProcessor=Readiness(n), outputStructType="path string, ready_at timestamp", outputMode="Append", timeMode="None",
+def readiness_stream(observations: DataFrame, n: int = 3, late: str = "0 seconds", forget_ms: int = 86_400_000) -> DataFrame:
+    """Observations (path string, observed_at, size, mtime) → (path, ready_at), in whatever order they come within ``late``."""
+    timed = observations.withWatermark("observed_at", late).withColumn("at_us", F.unix_micros("observed_at"))
+    return timed.groupBy("path").transformWithStateInPandas(
+        statefulProcessor=Readiness(n, forget_ms), outputStructType="path string, ready_at timestamp", outputMode="Append", timeMode="EventTime",
     )
 
 
 class Hold(StatefulProcessor):
-    """Holds a job from its first event and lets it go when the timer fires."""
+    """Holds a job for a fixed time from its first event, by the clock, and lets it go without any later event.
+
+    A later event never restarts a hold; a released job is remembered for ``remember_ms`` and ignored meanwhile."""
 
-    def __init__(self, seconds: int = 30):
-        self.ms = seconds * 1000
+    def __init__(self, seconds: float = 30, remember_ms: int = 60_000):
+        self.ms, self.remember_ms = int(seconds * 1000), remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.taken = handle.getValueState("taken", "ms long, released boolean")
+        self.taken = handle.getValueState("taken", "ms long")
+        self.gone = handle.getValueState("gone", "ms long", ttlDurationMs=self.remember_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = min(int(batch["taken_ms"].min()) for batch in rows)
-        if not self.taken.exists():
-            self.taken.update((first, False))
+        if not self.taken.exists() and not self.gone.exists():
+            self.taken.update((first,))
             self.handle.registerTimer(first + self.ms)
-        yield pd.DataFrame({"job_id": [], "released_ms": []}).astype("int64")
+        yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms, _ = self.taken.get()
-        self.taken.update((ms, True))
+        ms = self.taken.get()[0]
+        self.taken.clear()
+        self.gone.update((ms,))
         yield pd.DataFrame({"job_id": [key[0]], "released_ms": [ms + self.ms]})
 
     def close(self) -> None:
         pass
 
 
-def hold_stream(jobs: DataFrame, delay: str = "0 seconds", seconds: int = 30) -> DataFrame:
-    """(job_id, taken_at) → (job_id, released_ms) once event time passes the hold."""
-    timed = jobs.withWatermark("taken_at", delay).withColumn("taken_ms", F.unix_millis("taken_at"))
+def hold_stream(jobs: DataFrame, seconds: float = 30, remember_ms: int = 60_000) -> DataFrame:
+    """(job_id, taken_at) → (job_id, released_ms) once the clock passes the hold; run it with ``runner.run_until``."""
+    timed = jobs.withColumn("taken_ms", F.unix_millis("taken_at"))
     return timed.groupBy("job_id").transformWithStateInPandas(
-        statefulProcessor=Hold(seconds), outputStructType="job_id long, released_ms long", outputMode="Append", timeMode="EventTime",
+        statefulProcessor=Hold(seconds, remember_ms), outputStructType="job_id long, released_ms long", outputMode="Append", timeMode="ProcessingTime",
     )
 
 
-def correlate_stream(messages: DataFrame, notices: DataFrame, key: str, delay: str, reach: str) -> DataFrame:
-    """Confirms or cancels with a notice of the same key at most ``reach`` before or after.
+class Correlation(StatefulProcessor):
+    """Gives each confirm or cancel the nearest notice of its key within ``reach_us``, before or after it.
+
+    A message is answered when the watermark says that no notice can come any more. Of equally near notices the
+    earlier counts, then the smaller id. Without one it is an orphan; with one that came later it is out of
+    order. A notice stays while a message to come could reach it, so a key holds what arrives within twice the
+    reach, and one row leaves per message, however many notices there are."""
+
+    def __init__(self, reach_us: int):
+        self.reach_us = reach_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.notices = handle.getListState("notices", "at_us long, id long")
+        self.messages = handle.getListState("messages", "at_us long, id long, kind string")
+
+    def _next(self, due_us: int) -> None:
+        self.handle.registerTimer(_millis(due_us))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        for batch in rows:
+            found = batch[batch["kind"] == "notice"]
+            if len(found):
+                self.notices.appendList([(int(a), int(i)) for a, i in zip(found["at_us"], found["id"], strict=True)])
+                self._next(int(found["at_us"].min()) + 2 * self.reach_us)
+            asked = batch[batch["kind"] != "notice"]
+            if len(asked):
+                self.messages.appendList([(int(a), int(i), k) for a, i, k in zip(asked["at_us"], asked["id"], asked["kind"], strict=True)])
+                self._next(int(asked["at_us"].min()) + self.reach_us)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
+        notices, messages = sorted(self.notices.get()), sorted(self.messages.get())
+        due = [m for m in messages if m[0] + self.reach_us <= passed]
+        left = messages[len(due) :]
+        kept = [n for n in notices if n[0] + 2 * self.reach_us > passed]
+        if due:
+            yield self._answers(key[0], due, notices)
+        for state, rows, reach in ((self.messages, left, 1), (self.notices, kept, 2)):
+            if rows:
+                state.put(rows)
+                self._next(rows[0][0] + reach * self.reach_us)
+            else:
+                state.clear()
+
+    def _answers(self, key, due: list[tuple], notices: list[tuple]) -> pd.DataFrame:
+        asked = np.array([m[0] for m in due], np.int64)
+        best, gap = np.full(len(due), -1), np.full(len(due), self.reach_us + 1)
+        at = np.array([n[0] for n in notices], np.int64)
+        if len(at):
+            before = np.searchsorted(at, asked, "right") - 1
+            first = np.searchsorted(at, at, "left")  # of notices at one time the smallest id stands first
+            before = np.where(before >= 0, first[np.maximum(before, 0)], -1)
+            after = np.searchsorted(at, asked, "right")
+            for place in (before, after):
+                ok = (place >= 0) & (place < len(at))
+                d = np.where(ok, np.abs(asked - at[np.clip(place, 0, len(at) - 1)]), self.reach_us + 1)
+                nearer = d < gap
+                best, gap = np.where(nearer, place, best), np.where(nearer, d, gap)
+        found = [notices[b] if b >= 0 else None for b in best]
+        outcome = ["Orphan" if n is None else "OutOfOrder" if n[0] > m[0] else "InOrder" for n, m in zip(found, due, strict=True)]
+        return pd.DataFrame(
+            {
+                "business_key": key, "message_id": [m[1] for m in due], "kind": [m[2] for m in due],
+                "notice_id": pd.array([None if n is None else n[1] for n in found], "Int64"), "outcome": outcome,
+            }
+        )
+
+    def close(self) -> None:
+        pass
+
+
+def correlate_stream(events: DataFrame, reach_seconds: int, late: str) -> DataFrame:
+    """(business_key long, kind in notice/confirm/cancel, id, at) → one row per message with its nearest notice and outcome.
 
-    Messages without a notice come out once the watermark has passed; the batch
-    correlation is the answer for anything later than ``delay``."""
-    m = messages.withWatermark("message_at", delay).alias("m")
-    n = notices.withWatermark("notice_at", delay).alias("n")
-    near = F.expr(
-        f"m.{key} = n.{key} AND notice_at BETWEEN message_at - INTERVAL {reach} AND message_at + INTERVAL {reach}"
+    Events may come in any order within ``late``."""
+    timed = events.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
+    return timed.groupBy("business_key").transformWithStateInPandas(
+        statefulProcessor=Correlation(reach_seconds * 1_000_000),
+        outputStructType="business_key long, message_id long, kind string, notice_id long, outcome string", outputMode="Append", timeMode="EventTime",
     )
-    return m.join(n, near, "left_outer").select(f"m.{key}", "message_id", "notice_id", "message_at", "notice_at")
 
 
 def status_stream(rows: DataFrame, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowforge.operators import archive as R
 from rowforge.operators import intake as I
+from rowforge.operators import lifecycle as C
 from rowforge.sinks import tables as W
 from rowforge.sources import csv as S
 from rowforge.sources import files as L
@@ -58,14 +59,25 @@ def test_snapshot_gives_the_same_records_after_the_file_changed(spark, folder):
     snapshot = L.snapshot_files(spark, f"{folder}/[abc].csv")
     with open(f"{folder}/a.csv", "a") as f:
         f.write("4,40,late\n")
-    landed = S.parse_snapshot(snapshot, 3)
+    landed = S.parse(snapshot, 3)
     assert by_file(S.records(landed, S.headers(landed), RULES)) == EXPECTED
-    status = R.archive_status(L.live_hashes(spark, f"{folder}/[abc].csv"), snapshot.select("path", "sha256"), "path")
+    status = R.archive_status(L.live_hashes(spark, f"{folder}/[abc].csv"), snapshot.files.select("path", "sha256"), "path")
     assert {os.path.basename(r.path): r.archive_status for r in status.collect()} == {
         "a.csv": "ChangedAfterRead", "b.csv": "Archived", "c.csv": "Archived",
     }
 
 
+def test_retry_adds_only_what_is_missing_with_the_same_numbers(spark, folder, tmp_path):
+    snapshot = L.snapshot_files(spark, f"{folder}/[ab].csv")
+    landed = S.parse(snapshot)
+    done = S.records(landed, S.headers(landed), RULES).filter("row_number <> 2")
+    rest = C.retry_import(snapshot, done, RULES)
+    assert by_file(rest) == {"a.csv": [EXPECTED["a.csv"][1]], "b.csv": [EXPECTED["b.csv"][1]]}
+    broken = L.Snapshot(snapshot.lines, snapshot.splits, snapshot.files.withColumn("sha256", F.when(F.col("file_name") == "a.csv", "0").otherwise(F.col("sha256"))))
+    assert [os.path.basename(r.path) for r in C.changed_snapshots(broken).collect()] == ["a.csv"]
+    assert set(by_file(C.retry_import(broken, done, RULES))) == {"b.csv"}
+
+
 def test_numbers_hold_when_a_file_is_split(spark, tmp_path):
     for name in ("x", "y"):
         rows = "".join(f"{name}{i},{i},n\n" for i in range(1, 4001))
@@ -73,7 +85,7 @@ def test_numbers_hold_when_a_file_is_split(spark, tmp_path):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "7000")
     try:
-        landed = S.land(spark, str(tmp_path), 3, embedded_newlines=False)
+        landed = S.land(spark, str(tmp_path), 3)
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert landed.select("file", "_block").distinct().count() > 10
