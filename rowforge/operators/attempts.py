@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -109,6 +110,24 @@ def retry_rows(attempts: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+def retry_failed(attempts: DataFrame, source: DataFrame, convert: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(source_row_id, run_id, file_job_id, before, after) of every row whose latest attempt failed; only those are converted."""
+    failed = latest_attempts(attempts).filter(F.col("status") == FAILED).select("source_row_id", "run_id", "file_job_id")
+    fresh = convert(source.join(failed.select("source_row_id"), "source_row_id", "left_semi")).select("source_row_id", F.col("status").alias("after"))
+    return failed.withColumn("before", F.lit(FAILED)).join(fresh, "source_row_id")
+
+
+def recount(counts: DataFrame, changed: DataFrame) -> DataFrame:
+    """File counts after ``changed`` (file_job_id, before, after): a sum per touched file, no other row is read."""
+    states = (PENDING, DONE, INVALID, FAILED)
+    moved = lambda s: F.count_if(F.col("after") == s) - F.count_if(F.col("before") == s)
+    delta = changed.groupBy("file_job_id").agg(*[moved(s).alias(f"_{s.lower()}") for s in states])
+    names = [s.lower() for s in states]
+    return counts.join(delta, "file_job_id", "left").select(
+        "file_job_id", *[(F.coalesce(n, F.lit(0)) + F.coalesce(f"_{n}", F.lit(0))).alias(n) for n in names]
+    )
+
+
 def select_rows(source: DataFrame, rows: DataFrame | None = None) -> DataFrame:
     """Whole file, or the chosen (file_job_id, row_number) pairs."""
     return source if rows is None else source.join(rows, ["file_job_id", "row_number"], "left_semi")

@@ -34,6 +34,28 @@ def evolve(df: DataFrame, columns: list[tuple[str, str]]) -> DataFrame:
     return df.withColumns({n: F.lit(None).cast(DATA_TYPES[t]) for n, t in columns if n not in have})
 
 
+def merge_columns(stored: DataFrame, defined: DataFrame) -> DataFrame:
+    """(table_id, name, data_type, action, reason): what a new definition does to each stored column.
+
+    Both sides hold (table_id, name, data_type). New columns are added, columns the definition no longer names are
+    kept and stay null in new rows, a change of type is refused and the stored type holds."""
+    both = stored.select("table_id", "name", F.col("data_type").alias("_stored")).join(
+        defined.select("table_id", "name", F.col("data_type").alias("_defined")), ["table_id", "name"], "full"
+    )
+    known = F.col("_defined").isin(*DATA_TYPES)
+    action = (
+        F.when(F.col("_defined").isNull(), "Missing").when(~known, "Refused").when(F.col("_stored").isNull(), "Added")
+        .when(F.col("_stored") != F.col("_defined"), "Refused").otherwise("Kept")
+    )
+    change = F.concat(F.lit("TypeChange:"), F.col("_stored"), F.lit(">"), F.col("_defined"))
+    reason = F.when(~known, F.concat(F.lit("UnsupportedType:"), F.col("_defined"))).otherwise(change)
+    merged = both.withColumn("action", action)
+    return merged.select(
+        "table_id", "name", F.coalesce("_stored", F.when(F.col("action") == "Added", F.col("_defined"))).alias("data_type"), "action",
+        F.when(F.col("action") == "Refused", reason).alias("reason"),
+    )
+
+
 def validate_tables(tables: DataFrame, columns: DataFrame) -> DataFrame:
     """(table_id, problem, detail) of every broken rule."""
     table_names = tables.select("table_id", identifier_problem(F.col("name")).alias("problem"), F.col("name").alias("detail"))

@@ -59,9 +59,16 @@ def current_year(df: DataFrame, date_col: str, asof: Column) -> DataFrame:
 
 
 def enrich_policy(df: DataFrame, policy: DataFrame, motor: DataFrame, asof: Column) -> DataFrame:
-    """Newest policy of this year by (chassis, agent), then its motor detail."""
+    """Newest policy of this year by (chassis, agent), with its motor detail.
+
+    The detail is joined to the policies, so rows without a policy never meet it. Rows without a whole key can
+    match nothing and go around the join."""
     this_year = latest(current_year(policy, "cc_date", asof), ["chassis", "agent"], ["cc_date", "policy_no"])
-    return attach(df, this_year, ["chassis", "agent"]).join(motor, "policy_no", "left")
+    facts = this_year.where("chassis IS NOT NULL AND agent IS NOT NULL").join(motor, "policy_no", "left")
+    whole = F.col("chassis").isNotNull() & F.col("agent").isNotNull()
+    found = attach(df.where(whole), facts, ["chassis", "agent"])
+    bare = df.where(~whole).withColumns({f.name: F.lit(None).cast(f.dataType) for f in facts.schema if f.name not in df.columns})
+    return found.unionByName(bare.select(*found.columns)).select("policy_no", *[c for c in found.columns if c != "policy_no"])
 
 
 def fill_enriched(df: DataFrame, texts: list[str], numbers: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,26 +14,33 @@ def with_operation_key(ops: DataFrame) -> DataFrame:
     return ops.withColumn("operation_key", operation_key(*[F.col(c) for c in OPERATION_KEY]))
 
 
+def _same_operation(ops: DataFrame, ledger: DataFrame) -> Column:
+    """The key columns of both sides agree; missing parts agree with missing parts. No digest is shuffled."""
+    same = [ops[c].eqNullSafe(ledger[f"_{c}"]) for c in OPERATION_KEY]
+    return reduce(lambda x, y: x & y, same)
+
+
 def uncommitted(ops: DataFrame, ledger: DataFrame) -> DataFrame:
-    """Operations not in the ledger. Keys stay the same over attempts, so nothing runs twice."""
-    committed = ledger.filter(F.col("committed_at").isNotNull()).select("operation_key")
-    return ops.join(committed, "operation_key", "left_anti")
+    """Operations not in the ledger, by the columns of their key. Keys stay the same over attempts, so nothing runs twice."""
+    committed = ledger.filter(F.col("committed_at").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in OPERATION_KEY])
+    return ops.join(committed, _same_operation(ops, committed), "left_anti")
 
 
 def resume_failed(ops: DataFrame, ledger: DataFrame) -> DataFrame:
-    return uncommitted(ops, ledger).dropDuplicates(["operation_key"])
+    return with_operation_key(uncommitted(ops, ledger).dropDuplicates(list(OPERATION_KEY)))
 
 
 def classify_recovery(ops: DataFrame, ledger: DataFrame) -> DataFrame:
     """Where a crash left each operation, and what may follow."""
-    found = ledger.select("operation_key", "committed_at", "affected_rows", F.lit(True).alias("_in_ledger"))
-    joined = ops.select("operation_key", "expected_rows", F.lit(True).alias("_planned")).join(found, "operation_key", "full")
+    found = ledger.select(*[F.col(c).alias(f"_{c}") for c in OPERATION_KEY], "committed_at", "affected_rows", F.lit(True).alias("_in_ledger"))
+    plan = ops.select(*OPERATION_KEY, "expected_rows", F.lit(True).alias("_planned"))
+    joined = plan.join(found, _same_operation(plan, found), "full").withColumns({c: F.coalesce(c, f"_{c}") for c in OPERATION_KEY})
     point = (
         F.when(F.col("_planned").isNull(), "Unknown").when(F.col("_in_ledger").isNull(), "NotStarted")
         .when(F.col("committed_at").isNull(), "Unknown")
         .when(F.col("affected_rows") < F.col("expected_rows"), "Partial").otherwise("Committed")
     )
-    return joined.select("operation_key", point.alias("crash_point")).withColumn(
+    return with_operation_key(joined.withColumn("crash_point", point)).select("operation_key", "crash_point").withColumn(
         "action",
         F.when(F.col("crash_point") == "NotStarted", "Retry").when(F.col("crash_point") == "Committed", "Skip")
         .when(F.col("crash_point") == "Partial", "ResumeRest").otherwise("Review"),

@@ -13,7 +13,7 @@ from rowforge.operators import normalize as N
 from rowforge.operators.ordered import id_range, number_rows
 from rowforge.plans.catalog import Tables, query
 from rowforge.plans.samples import ORDER_FIELDS, ORDER_TEXT_SQL, amount_number, day_text, order_text, typed_sql
-from rowforge.session import fresh_path
+from rowforge.session import fresh_path, stage
 from rowforge.sinks.tables import evolve_table
 
 TYPED = f"WITH {ORDER_TEXT_SQL}, {typed_sql()}"
@@ -271,6 +271,23 @@ def retry_rows(t: Tables) -> DataFrame:
     return A.retry_rows(run1(t), results(t))
 
 
+@query(
+    "retry_status",
+    f"""{FIRST_RUN}, after AS (SELECT r.file_job_id, CASE WHEN r.status = 'Failed' THEN s.status ELSE r.status END AS status
+      FROM run1 r JOIN typed_status s USING (source_row_id))
+    SELECT file_job_id, count(*) FILTER (status = 'Pending') AS pending, count(*) FILTER (status = 'Done') AS done,
+      count(*) FILTER (status = 'Invalid') AS invalid, count(*) FILTER (status = 'Failed') AS failed,
+      CASE WHEN count(*) FILTER (status = 'Pending') > 0 THEN 'InProgress'
+        WHEN count(*) FILTER (status IN ('Invalid', 'Failed')) > 0 THEN 'CompletedWithErrors' ELSE 'Completed' END AS normalization_status
+    FROM after GROUP BY file_job_id""",
+)
+def retry_status(t: Tables) -> DataFrame:
+    """Counts and status per file after a retry of its failed rows, from the counts before and the changed rows alone."""
+    log = stage(run1(t), "attempts")
+    changed = A.retry_failed(log, order_text(t.orders), lambda rows: N.normalize(rows, ORDER_FIELDS))
+    return A.recount(A.file_counts(log), changed).withColumn("normalization_status", A.normalization_status(F.lit("Imported")))
+
+
 @query("overlap", f"{FIRST_RUN} SELECT source_row_id, file_job_id FROM run1 WHERE status = 'Pending'")
 def overlap(t: Tables) -> DataFrame:
     requests = order_text(t.orders).select("source_row_id", "file_job_id")
@@ -330,6 +347,25 @@ def page(t: Tables) -> DataFrame:
     return A.page(rows, ["c_mktsegment", "c_custkey"], ["BUILDING", 40], 25)
 
 
+@query(
+    "schema_merge",
+    """WITH c AS (SELECT p_brand AS table_id, 'c' || p_size AS name, p_partkey % 2 AS side, min(p_partkey) % 9 AS k FROM part GROUP BY ALL),
+    d AS (SELECT *, CASE WHEN k < 4 THEN 'text' WHEN k < 7 THEN 'date' WHEN k = 7 AND side = 0 THEN 'money' ELSE 'decimal' END AS data_type FROM c),
+    j AS (SELECT coalesce(s.table_id, n.table_id) AS table_id, coalesce(s.name, n.name) AS name, s.data_type AS st, n.data_type AS de
+      FROM (SELECT * FROM d WHERE side = 1) s FULL JOIN (SELECT * FROM d WHERE side = 0) n ON s.table_id = n.table_id AND s.name = n.name),
+    a AS (SELECT *, CASE WHEN de IS NULL THEN 'Missing' WHEN de = 'money' THEN 'Refused' WHEN st IS NULL THEN 'Added' WHEN st <> de THEN 'Refused' ELSE 'Kept' END AS action FROM j)
+    SELECT table_id, name, coalesce(st, CASE WHEN action = 'Added' THEN de END) AS data_type, action,
+      CASE WHEN action = 'Refused' THEN CASE WHEN de = 'money' THEN 'UnsupportedType:money' ELSE 'TypeChange:' || st || '>' || de END END AS reason FROM a""",
+)
+def schema_merge(t: Tables) -> DataFrame:
+    """Brands as tables, sizes as their columns: odd parts define the stored version, even ones the new definition."""
+    side = F.col("p_partkey") % 2
+    columns = t.part.groupBy(F.col("p_brand").alias("table_id"), F.concat(F.lit("c"), F.col("p_size").cast("string")).alias("name"), side.alias("side")).agg((F.min("p_partkey") % 9).alias("k"))
+    kind = F.when(F.col("k") < 4, "text").when(F.col("k") < 7, "date").when((F.col("k") == 7) & (F.col("side") == 0), "money").otherwise("decimal")
+    typed = columns.select("table_id", "name", "side", kind.alias("data_type"))
+    return G.merge_columns(typed.where("side = 1"), typed.where("side = 0"))
+
+
 @query(
     "schema_evolution",
     """SELECT o_orderkey, o_orderstatus AS state, CASE WHEN o_orderstatus = 'O' THEN o_orderpriority END AS priority,

@@ -87,6 +87,25 @@ def missing_headers(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "repeated_headers",
+    """SELECT 'ImportFailed' AS import_status, 'Repeated header: Amount' AS last_error, count(*) AS rows_refused, CAST(0 AS BIGINT) AS rows_read FROM orders""",
+)
+def repeated_headers(t: Tables) -> DataFrame:
+    """Files that name a required column twice fail as files; none of their rows is read."""
+    path = fresh_path(t.spark, "repeated")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_totalprice").cast("string"), F.lit("1.00"))
+    t.orders.select(line.alias("Order No,Amount,Amount")).write.option("header", True).option("quote", "").csv(path, sep="\x01")
+    landed, rules = S.land(t.spark, path), [("Order No", "order_no"), ("Amount", "amount")]
+    heads = S.headers(landed)
+    failed = S.repeated_headers(heads, [h for h, _ in rules])
+    read = S.records(landed, heads, rules).groupBy("file").agg(F.count(F.lit(1)).alias("r"))
+    sizes = landed.groupBy("file").agg((F.count(F.lit(1)) - 1).alias("n")).join(read, "file", "left")
+    return failed.join(sizes, "file").groupBy("import_status", "last_error").agg(
+        F.sum("n").alias("rows_refused"), F.coalesce(F.sum("r"), F.lit(0)).alias("rows_read")
+    )
+
+
 @query(
     "csv_ragged",
     """SELECT reason, n_cells, count(*) AS n_rows, min(raw) AS first_raw FROM (
@@ -303,6 +322,24 @@ def missed_files(t: Tables) -> DataFrame:
     return I.missed_files(listing, jobs)
 
 
+@query(
+    "file_listing",
+    """WITH s AS (SELECT s_suppkey // 500 * 25 + s_nationkey AS lot, s_name FROM supplier)
+    SELECT 'lot=' || lot AS folder, CAST(sum(octet_length(encode(s_name)) + 1) AS BIGINT) AS size, lot % 3 = 0 AS missed FROM s GROUP BY lot""",
+)
+def file_listing(t: Tables) -> DataFrame:
+    """Delivery folders listed as a table; more than a few folders are listed by tasks. Every third file has no job yet."""
+    root = fresh_path(t.spark, "drop")
+    lot = F.floor(F.col("s_suppkey") / 500) * 25 + F.col("s_nationkey")
+    t.supplier.select(lot.alias("lot"), F.col("s_name").alias("value")).repartition("lot").write.partitionBy("lot").text(root)
+    folder = F.element_at(F.split("path", "/"), -2)
+    found = L.listing(t.spark, f"{root}/*").withColumn("folder", folder).where(L.candidate(F.col("file_name"), F.col("size"), "txt"))
+    keyed = L.with_intake_key(found, F.col("folder"))
+    known = keyed.where(F.substring_index("folder", "=", -1).cast("int") % 3 != 0).select("path", "intake_key", F.lit("Imported").alias("import_status"))
+    missed = I.missed_files(keyed, known).select("path", F.lit(True).alias("missed"))
+    return keyed.join(missed, "path", "left").select("folder", "size", F.coalesce("missed", F.lit(False)).alias("missed"))
+
+
 @query(
     "quarantine",
     """WITH f AS (SELECT doc_id, n_chars AS size,

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowforge.functions import keys as Y
 from rowforge.functions import rules as U
 from rowforge.functions.convert import Field
+from rowforge.functions.keys import OPERATION_KEY
 from rowforge.functions.text import masked, system_id_parts
 from rowforge.operators import archive as R
 from rowforge.operators import attempts as A
@@ -23,7 +24,7 @@ from rowforge.plans.core import TYPED, jobs
 from rowforge.plans.samples import ORDER_FIELDS, order_text
 from rowforge.plans.transfer import HEADERS_SQL, headers
 from rowforge.session import fresh_path, spread
-from rowforge.sinks.tables import write_single
+from rowforge.sinks.publish import publish
 
 
 def micros(name: str) -> Column:
@@ -42,24 +43,22 @@ ledger AS (SELECT {KEY_SQL} AS operation_key, CASE WHEN l_linestatus = 'O' THEN
 
 
 def keyed(df: DataFrame) -> DataFrame:
-    return V.with_operation_key(
-        df.withColumns(
-            {
-                "file_id": F.col("l_orderkey"), "sheet_id": F.col("l_returnflag"), "source_row_id": F.col("l_linenumber"),
-                "target_id": F.col("l_partkey"), "operation_type": F.lit("PRIMARY"), "business_revision": F.col("l_suppkey"),
-            }
-        )
+    return df.withColumns(
+        {
+            "file_id": F.col("l_orderkey"), "sheet_id": F.col("l_returnflag"), "source_row_id": F.col("l_linenumber"),
+            "target_id": F.col("l_partkey"), "operation_type": F.lit("PRIMARY"), "business_revision": F.col("l_suppkey"),
+        }
     )
 
 
 def planned(t: Tables) -> DataFrame:
-    return keyed(t.lineitem).select("operation_key", "l_orderkey", "l_linenumber", F.lit(1).alias("expected_rows"))
+    return keyed(t.lineitem).select(*OPERATION_KEY, "l_orderkey", "l_linenumber", F.lit(1).alias("expected_rows"))
 
 
 def ledger(t: Tables) -> DataFrame:
     """Returned lines never ran; open lines have no commit time; small ones wrote nothing."""
     return keyed(t.lineitem.filter(F.col("l_returnflag") != "R")).select(
-        "operation_key", F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("committed_at"),
+        *OPERATION_KEY, F.when(F.col("l_linestatus") == "O", F.col("l_shipdate")).alias("committed_at"),
         F.when(F.col("l_quantity") > 5, 1).otherwise(0).alias("affected_rows"),
     )
 
@@ -70,7 +69,7 @@ def ledger(t: Tables) -> DataFrame:
     WHERE operation_key NOT IN (SELECT operation_key FROM ledger WHERE committed_at IS NOT NULL)""",
 )
 def resume_failed(t: Tables) -> DataFrame:
-    return V.resume_failed(planned(t), ledger(t)).drop("expected_rows")
+    return V.resume_failed(planned(t), ledger(t)).select("operation_key", "l_orderkey", "l_linenumber")
 
 
 @query(
@@ -271,12 +270,12 @@ def export_selection(t: Tables) -> DataFrame:
     WHERE system_id = 'KK-02'""",
 )
 def export_file(t: Tables) -> DataFrame:
-    """Configured columns under their headings; a second export replaces the first."""
-    path = fresh_path(t.spark, "export")
+    """Configured columns under their headings in one file of the configured name; a second export replaces the first."""
+    folder = fresh_path(t.spark, "export")
     rows = headers(t).filter(F.col("system_id") == "KK-02")
     columns = [("trans_id", "Transaction"), ("ref_no", "File"), ("exp_flag", "Flag")]
-    write_single(E.export_columns(rows.filter("exp_flag = 'Y'"), columns), path)
-    write_single(E.export_columns(rows, columns), path)
+    publish(E.export_columns(rows.filter("exp_flag = 'Y'"), columns), folder, "KK-02.csv", 1)
+    path = publish(E.export_columns(rows, columns), folder, "KK-02.csv", 2)
     return t.spark.read.option("header", True).schema("Transaction string, File string, Flag string").csv(path)
 
 

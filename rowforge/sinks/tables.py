@@ -42,9 +42,3 @@ def current_results(runs: DataFrame) -> DataFrame:
     """Current Normalized rows out of the stored results of all runs."""
     done = runs.filter(F.col("status") == "Done")
     return upsert_normalized(done, done.limit(0))
-
-
-def write_single(df: DataFrame, path: str, fmt: str = "csv") -> None:
-    """One named export, replacing an older one of the same name."""
-    writer = df.write.mode("overwrite")
-    writer.option("header", True).csv(path) if fmt == "csv" else writer.parquet(path)

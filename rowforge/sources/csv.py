@@ -102,6 +102,23 @@ def lacking(required: list[str]) -> Column:
     return F.array_except(F.array(*[F.lit(r) for r in required]), F.array_compact("header"))
 
 
+def repeated(required: list[str]) -> Column:
+    """Required headers that name more than one column."""
+    return F.filter(F.array(*[F.lit(r) for r in required]), lambda r: F.size(F.filter("header", lambda h: h == r)) > 1)
+
+
+def repeated_headers(heads: DataFrame, required: list[str]) -> DataFrame:
+    """Files in which a required header occurs twice, with the names; which column is meant is not guessed."""
+    return (
+        heads.withColumn("twice", repeated(required))
+        .filter(F.size("twice") > 0)
+        .select(
+            "file", F.lit("ImportFailed").alias("import_status"),
+            F.concat(F.lit("Repeated header: "), F.array_join("twice", ", ")).alias("last_error"),
+        )
+    )
+
+
 def missing_headers(heads: DataFrame, required: list[str]) -> DataFrame:
     """Files without a required header, with the names; a file-level failure, no row errors."""
     return (
@@ -115,8 +132,9 @@ def missing_headers(heads: DataFrame, required: list[str]) -> DataFrame:
 
 
 def records(landed: DataFrame, heads: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
-    """Numbered Source rows of the files whose header is complete, columns found by header name."""
-    good = heads.filter(F.size(lacking([h for h, _ in rules])) == 0)
+    """Numbered Source rows of the files whose header holds each name once, columns found by header name."""
+    names = [h for h, _ in rules]
+    good = heads.filter((F.size(lacking(names)) == 0) & (F.size(repeated(names)) == 0))
     body = (
         attach(landed, good, ["file"], "inner")
         .filter((F.col("_block") > 0) | (F.col("_pos") > F.col("_header_pos")))
