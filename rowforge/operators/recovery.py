@@ -14,16 +14,22 @@ def with_operation_key(ops: DataFrame) -> DataFrame:
     return ops.withColumn("operation_key", operation_key(*[F.col(c) for c in OPERATION_KEY]))
 
 
-def _same_operation(ops: DataFrame, ledger: DataFrame) -> Column:
+def _key_columns(ledger: DataFrame) -> tuple[str, ...]:
+    """The columns a ledger names an operation by; one that holds digests alone is met by digest."""
+    return OPERATION_KEY if set(OPERATION_KEY) <= set(ledger.columns) else ("operation_key",)
+
+
+def _same_operation(ops: DataFrame, ledger: DataFrame, keys: tuple[str, ...]) -> Column:
     """The key columns of both sides agree; missing parts agree with missing parts. No digest is shuffled."""
-    same = [ops[c].eqNullSafe(ledger[f"_{c}"]) for c in OPERATION_KEY]
+    same = [ops[c].eqNullSafe(ledger[f"_{c}"]) for c in keys]
     return reduce(lambda x, y: x & y, same)
 
 
 def uncommitted(ops: DataFrame, ledger: DataFrame) -> DataFrame:
     """Operations not in the ledger, by the columns of their key. Keys stay the same over attempts, so nothing runs twice."""
-    committed = ledger.filter(F.col("committed_at").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in OPERATION_KEY])
-    return ops.join(committed, _same_operation(ops, committed), "left_anti")
+    keys = _key_columns(ledger)
+    committed = ledger.filter(F.col("committed_at").isNotNull()).select(*[F.col(c).alias(f"_{c}") for c in keys])
+    return ops.join(committed, _same_operation(ops, committed, keys), "left_anti")
 
 
 def resume_failed(ops: DataFrame, ledger: DataFrame) -> DataFrame:
@@ -32,15 +38,17 @@ def resume_failed(ops: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def classify_recovery(ops: DataFrame, ledger: DataFrame) -> DataFrame:
     """Where a crash left each operation, and what may follow."""
-    found = ledger.select(*[F.col(c).alias(f"_{c}") for c in OPERATION_KEY], "committed_at", "affected_rows", F.lit(True).alias("_in_ledger"))
-    plan = ops.select(*OPERATION_KEY, "expected_rows", F.lit(True).alias("_planned"))
-    joined = plan.join(found, _same_operation(plan, found), "full").withColumns({c: F.coalesce(c, f"_{c}") for c in OPERATION_KEY})
+    keys = _key_columns(ledger)
+    found = ledger.select(*[F.col(c).alias(f"_{c}") for c in keys], "committed_at", "affected_rows", F.lit(True).alias("_in_ledger"))
+    plan = ops.select(*keys, "expected_rows", F.lit(True).alias("_planned"))
+    joined = plan.join(found, _same_operation(plan, found, keys), "full").withColumns({c: F.coalesce(c, f"_{c}") for c in keys})
     point = (
         F.when(F.col("_planned").isNull(), "Unknown").when(F.col("_in_ledger").isNull(), "NotStarted")
         .when(F.col("committed_at").isNull(), "Unknown")
         .when(F.col("affected_rows") < F.col("expected_rows"), "Partial").otherwise("Committed")
     )
-    return with_operation_key(joined.withColumn("crash_point", point)).select("operation_key", "crash_point").withColumn(
+    told = joined.withColumn("crash_point", point)
+    return (with_operation_key(told) if keys == OPERATION_KEY else told).select("operation_key", "crash_point").withColumn(
         "action",
         F.when(F.col("crash_point") == "NotStarted", "Retry").when(F.col("crash_point") == "Committed", "Skip")
         .when(F.col("crash_point") == "Partial", "ResumeRest").otherwise("Review"),
