@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowforge.functions.arrays import present
 from rowforge.functions.keys import archive_path
+from rowforge.sinks.publish import Files
 
 
 def archive_status(live: DataFrame, snapshot: DataFrame, key: str = "file_job_id") -> DataFrame:
@@ -42,6 +43,34 @@ def archive_plan(jobs: DataFrame) -> DataFrame:
     )
 
 
+def move_files(plan: DataFrame, most: int = 10_000) -> DataFrame:
+    """Carry out the moves of one batch: (path, archive_path, archive_status, reason).
+
+    ``plan`` (path, archive_path) holds files whose bytes are unchanged. Repeated any number of times, also after a
+    fault between a move and the record of it, it gives the same: a file that lies at its target and no longer at its
+    source was moved before. Two files are never merged, and a place that is taken is a failure with its reason. A
+    batch holds at most ``most`` files, as many as a poll admits."""
+    spark = plan.sparkSession
+    rows = plan.select("path", "archive_path").distinct().limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} files in one batch of moves")
+    out = []
+    for path, target in rows:
+        files, reason = Files(spark, path), None
+        there, moved = files.exists(path), files.exists(target)
+        if there and moved:
+            reason = "TargetExists"
+        elif there:
+            try:
+                files.move(path, target)
+            except Exception as e:  # the next repetition tries again
+                reason = f"{type(e).__name__}"
+        elif not moved:
+            reason = "SourceMissing"
+        out.append((path, target, "ArchiveFailed" if reason else "Archived", reason))
+    return spark.createDataFrame(out, "path string, archive_path string, archive_status string, reason string")
+
+
 def pending_finalization(jobs: DataFrame) -> DataFrame:
     """Mapped jobs that still owe an archive move or a notification, without mapping them again."""
     owes = present(

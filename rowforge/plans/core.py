@@ -261,6 +261,16 @@ def retry_eligible(t: Tables) -> DataFrame:
     return A.eligible_for_retry(A.latest_attempts(attempts(t)).select("source_row_id", "status"), N.FAILED)
 
 
+@query(
+    "file_retry_eligible",
+    f"""WITH {JOBS} SELECT file_job_id, import_status AS status, import_status = 'ImportFailed' AS accepted,
+      CASE WHEN import_status <> 'ImportFailed' THEN 'NotRetryable:' || import_status END AS refusal FROM jobs""",
+)
+def file_retry_eligible(t: Tables) -> DataFrame:
+    """Only files whose import failed may be imported again."""
+    return A.eligible_for_retry(jobs(t).withColumnRenamed("import_status", "status"), "ImportFailed")
+
+
 @query(
     "retry_rows",
     f"""{FIRST_RUN} SELECT r.run_id, source_row_id, r.file_job_id, r.row_number, r.config_version_id, r.kind,

@@ -20,6 +20,7 @@ from rowforge.plans.core import BOTH, NUMBERED, numbered
 from rowforge.plans.samples import ORDER_TEXT_SQL, order_text
 from rowforge.session import fresh_path, stage
 from rowforge.sinks.once import append_once, read_once
+from rowforge.sinks.publish import Files
 from rowforge.sinks.tables import current_results, write_run
 from rowforge.sources import csv as S
 from rowforge.sources import files as L
@@ -340,6 +341,33 @@ def file_listing(t: Tables) -> DataFrame:
     return keyed.join(missed, "path", "left").select("folder", "size", F.coalesce("missed", F.lit(False)).alias("missed"))
 
 
+@query(
+    "archive_moves",
+    """WITH s AS (SELECT s_suppkey // 500 * 25 + s_nationkey AS lot FROM supplier)
+    SELECT 'lot=' || lot AS folder, CASE WHEN lot % 5 = 0 THEN 'ChangedAfterRead' ELSE 'Archived' END AS archive_status,
+      CASE WHEN lot % 5 = 0 THEN 'drop' ELSE 'archive' END AS place, CAST(NULL AS VARCHAR) AS reason FROM s GROUP BY lot""",
+)
+def archive_moves(t: Tables) -> DataFrame:
+    """Files moved to the archive, some before a fault and again with the rest after it. Every fifth changed after it was
+    read and stays where it is."""
+    root = fresh_path(t.spark, "archiving")
+    lot = F.floor(F.col("s_suppkey") / 500) * 25 + F.col("s_nationkey")
+    t.supplier.select(lot.alias("lot"), F.col("s_name").alias("value")).repartition("lot").write.partitionBy("lot").text(f"{root}/drop")
+    folder = F.element_at(F.split("path", "/"), -2)
+    read = stage(L.live_hashes(t.spark, f"{root}/drop/*").withColumnRenamed("live_hash", "sha256").withColumn("folder", folder), "read")
+    files = Files(t.spark, root)
+    for row in read.where(F.substring_index("folder", "=", -1).cast("int") % 5 == 0).select("path").collect():
+        files.write(row.path, b"changed\n")
+    status = stage(R.archive_status(L.live_hashes(t.spark, f"{root}/drop/*"), read.select("path", "sha256"), "path").join(read.select("path", "folder"), "path"), "status")
+    target = F.concat_ws("/", F.lit(f"{root}/archive"), "folder", L.file_name(F.col("path")))
+    plan = status.where(F.col("archive_status") == "Archived").select("path", target.alias("archive_path"))
+    R.move_files(plan.where(F.crc32("path") % 2 == 0))  # the run breaks here, before it records a status
+    moved = R.move_files(plan).select("path", F.col("archive_status").alias("_moved"), "reason")
+    places = L.listing(t.spark, [f"{root}/drop/*", f"{root}/archive/*"]).select(folder.alias("folder"), F.element_at(F.split("path", "/"), -3).alias("place"))
+    told = status.join(moved, "path", "left").select("folder", F.coalesce("_moved", "archive_status").alias("archive_status"), "reason")
+    return told.join(places, "folder").select("folder", "archive_status", "place", "reason")
+
+
 @query(
     "quarantine",
     """WITH f AS (SELECT doc_id, n_chars AS size,

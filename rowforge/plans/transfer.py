@@ -108,6 +108,19 @@ def legacy_mapping(t: Tables) -> DataFrame:
     return out.withColumns({"nPrice": F.col("nPrice").cast("double"), "dShip": F.date_format("dShip", "yyyy-MM-dd")})
 
 
+STAMPED = U.TargetMap(
+    "stamped", 1, (U.ColumnMap("dCreated", type="DATETIME", default="now"), U.ColumnMap("dDay", type="DATETIME", default="today"), U.ColumnMap("cFlag", "flag")),
+)
+
+
+@query("legacy_datetime_default", f"{TYPED_LINE} SELECT {ROW_SQL}, flag AS \"cFlag\", TRUE AS stamped, TRUE AS dated FROM line_ok")
+def legacy_datetime_default(t: Tables) -> DataFrame:
+    """DATETIME defaults name an allowed expression; every row of a run gets the same time."""
+    out = X.fan_out(line_text(t), (STAMPED,), ROW)["stamped"]
+    fresh = F.col("dCreated").cast("timestamp").between(F.current_timestamp() - F.expr("INTERVAL 1 HOUR"), F.current_timestamp())
+    return out.select(*ROW, "cFlag", fresh.alias("stamped"), (F.col("dDay").cast("date") == F.current_date()).alias("dated"))
+
+
 @query("fan_out_targets", f"{OPS} SELECT * FROM ops")
 def fan_out_targets(t: Tables) -> DataFrame:
     return X.operations(line_text(t), TARGETS, ROW)
@@ -472,3 +485,24 @@ def error_summary(t: Tables) -> DataFrame:
 def notification_summary(t: Tables) -> DataFrame:
     totals = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n_rows"))
     return X.notification_summary(K.violations(checked(t), list(ROW), checks()), totals, "l_suppkey")
+
+
+@query(
+    "notification_system_errors",
+    """WITH v AS (SELECT user_id, CASE event_type WHEN 'error' THEN 'system' ELSE 'partner' END AS category, event_type AS field,
+        CASE WHEN value >= 50 THEN 'High' ELSE 'Low' END AS reason FROM events WHERE event_type IN ('error', 'view')),
+    kinds AS (SELECT user_id, category, field, reason, count(*) AS n FROM v GROUP BY ALL),
+    errs AS (SELECT user_id, CAST(coalesce(sum(n) FILTER (category = 'partner'), 0) AS BIGINT) AS partner_errors,
+      CAST(coalesce(sum(n) FILTER (category = 'system'), 0) AS BIGINT) AS system_errors,
+      coalesce(string_agg(field || ':' || reason || ':' || n, '; ' ORDER BY field || ':' || reason || ':' || n) FILTER (category = 'partner'), '') AS partner_detail FROM kinds GROUP BY user_id),
+    totals AS (SELECT user_id, count(*) AS n_rows FROM events GROUP BY user_id)
+    SELECT user_id, n_rows, coalesce(partner_errors, 0) AS partner_errors, coalesce(system_errors, 0) AS system_errors, coalesce(partner_detail, '') AS partner_detail,
+      CASE WHEN coalesce(partner_errors, 0) + coalesce(system_errors, 0) = 0 THEN 'SUCCESS' ELSE 'ERROR' END AS subject
+    FROM totals LEFT JOIN errs USING (user_id)""",
+)
+def notification_system_errors(t: Tables) -> DataFrame:
+    """Notifications where the system itself failed: only partner errors are listed, both count."""
+    category = F.when(F.col("event_type") == "error", "system").otherwise("partner")
+    reason = F.when(F.col("value") >= 50, "High").otherwise("Low")
+    found = t.events.where(F.col("event_type").isin("error", "view")).select("user_id", category.alias("category"), F.col("event_type").alias("field"), reason.alias("reason"))
+    return X.notification_summary(found, t.events.groupBy("user_id").agg(F.count(F.lit(1)).alias("n_rows")), "user_id")

@@ -39,6 +39,12 @@ class Files:
     def remove(self, path: str) -> None:
         self.fs.delete(self.path(path), True)
 
+    def move(self, old: str, new: str) -> None:
+        """Rename to a place that is free, making its folder."""
+        self.fs.mkdirs(self.path(new).getParent())
+        if not self.fs.rename(self.path(old), self.path(new)):
+            raise OSError(f"can't move {old} to {new}")
+
     def names(self, path: str) -> list[str]:
         return sorted(f.getPath().getName() for f in self.fs.listStatus(self.path(path)) if not f.getPath().getName().startswith(("_", ".")))
 

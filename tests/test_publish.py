@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from rowforge.operators import archive as R
 from rowforge.operators import attempts as A
 from rowforge.operators import config as G
 from rowforge.operators import export as E
@@ -92,3 +93,19 @@ def test_merge_of_column_definitions(spark):
         (1, "a"): ("text", "Kept", None), (1, "b"): ("date", "Refused", "TypeChange:date>text"), (1, "c"): ("text", "Missing", None),
         (1, "d"): ("boolean", "Added", None), (1, "e"): (None, "Refused", "UnsupportedType:blob"), (2, "a"): ("date", "Added", None),
     }
+
+
+def test_moves_can_be_repeated(spark, tmp_path):
+    at = lambda name: f"file:{tmp_path}/{name}"
+    for name in ("a", "b", "c"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "c").write_text("other")
+    plan = spark.createDataFrame([(at(n), at(f"old/{n}")) for n in ("a", "b", "c", "gone")], "path string, archive_path string")
+    want = {"a": ("Archived", None), "b": ("Archived", None), "c": ("ArchiveFailed", "TargetExists"), "gone": ("ArchiveFailed", "SourceMissing")}
+    R.move_files(plan.where("path LIKE '%/a'"))
+    for _ in range(2):
+        assert {os.path.basename(r.path): (r.archive_status, r.reason) for r in R.move_files(plan).collect()} == want
+    assert (tmp_path / "old" / "a").read_text() == "a" and (tmp_path / "c").read_text() == "c" and (tmp_path / "old" / "c").read_text() == "other"
+    with pytest.raises(ValueError, match="more than 2"):
+        R.move_files(plan, most=2)
