@@ -92,7 +92,7 @@ def stream_pipeline(t: Tables) -> DataFrame:
     checkpoints = [fresh_path(t.spark, f"checkpoint-{k}") for k in (1, 2)]
     configs = t.spark.range(1).select(F.lit("orders").alias("folder"), (F.col("id") + 7).alias("config_id"))
     n_files = listing(t.spark, root + "/*.csv").count()
-    faults = {(1, 1)}
+    faults = {(1, 0)}
 
     def fault(batch_id: int, share: int) -> None:
         if (batch_id, share) in faults:
@@ -101,7 +101,7 @@ def stream_pipeline(t: Tables) -> DataFrame:
 
     def files_to_source() -> None:
         arrivals = S.file_stream(t.spark, root.rsplit("/", 1)[0], max_files=-(-n_files // 3))
-        R.drain_batches(arrivals, C.import_batch(path, RULES, configs, 4, fault), checkpoints[0])
+        R.drain_batches(arrivals, C.import_batch(path, RULES, configs, 2, fault), checkpoints[0])
 
     def source_to_rows() -> None:
         R.drain_batches(C.source_stream(t.spark, path, RULES), C.results_batch(path, ORDER_FIELDS), checkpoints[1])

@@ -61,9 +61,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def ends_with_session(spark: SparkSession, path: str) -> None:
+    """Remove what lies at ``path`` when the session's JVM ends."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back: fixed rows, no lineage, pruned columns."""
+    """Write ``df`` once and read it back: fixed rows, no lineage, pruned columns. The table goes with the session."""
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
+    ends_with_session(spark, path)
     return spark.read.schema(df.schema).parquet(path)
