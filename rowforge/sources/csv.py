@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from rowforge.operators.intake import with_row_number
 from rowforge.operators.skew import attach
 from rowforge.sources import stored
-from rowforge.sources.files import Snapshot, snapshot_files
+from rowforge.sources.files import Snapshot, stored_files
 from rowforge.sources.lines import accept
 
 QUOTED = r'(^|,)"(?:[^"]++|"")*+"'
@@ -33,13 +33,13 @@ def cell_count(record: Column) -> Column:
 
 def header_width(texts: DataFrame) -> int:
     """Cells of the widest header among the files."""
-    first = texts.filter(F.col("_block") == 0).groupBy("file").agg(F.min_by("record", "_pos").alias("head"))
+    first = texts.filter((F.col("_block") == 0) & (F.col("_pos") == 1)).groupBy("file").agg(F.min_by("record", "_pos").alias("head"))
     return first.agg(F.max(cell_count(F.col("head")))).first()[0] or 1
 
 
 def land(spark: SparkSession, paths: list[str] | str, width: int | None = None, charset: str = "UTF-8") -> DataFrame:
     """Records of the files as ``parse`` gives them, from lines stored by many tasks a file."""
-    return parse(snapshot_files(spark, paths), width, charset)
+    return parse(stored_files(spark, paths), width, charset)
 
 
 def parse(snapshot: Snapshot, width: int | None = None, charset: str = "UTF-8") -> DataFrame:
@@ -87,7 +87,7 @@ def ragged(landed: DataFrame, heads: DataFrame) -> DataFrame:
 def headers(landed: DataFrame) -> DataFrame:
     """Header cells per file: the first record of the first split."""
     return (
-        landed.filter(F.col("_block") == 0)
+        landed.filter((F.col("_block") == 0) & (F.col("_pos") == 1))  # records of a split count from 1, so no other is parsed
         .groupBy("file")
         .agg(F.min_by(F.struct("cells", "n_cells"), "_pos").alias("_first"), F.min("_pos").alias("_header_pos"))
         .select("file", "_header_pos", "_first.cells", F.col("_first.n_cells").alias("header_cells"))

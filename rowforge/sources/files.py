@@ -79,10 +79,16 @@ def decoded_path(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def snapshot_files(spark: SparkSession, paths: list[str] | str) -> Snapshot:
-    """Lines of each file, stored once by many tasks a file. Hashing, parsing and every retry use this copy."""
+def stored_files(spark: SparkSession, paths: list[str] | str) -> Snapshot:
+    """Lines of each file, stored once by many tasks a file; listing and hashes are made only where they are asked for."""
     lines = stored.store_lines(spark, paths)
-    return Snapshot(lines, stored.splits(lines), stage(with_hash(listing(spark, paths), lines, "sha256"), "snapshot"))
+    return Snapshot(lines, stored.splits(lines), with_hash(listing(spark, paths), lines, "sha256"))
+
+
+def snapshot_files(spark: SparkSession, paths: list[str] | str) -> Snapshot:
+    """``stored_files`` with the hash of each file stored too. Hashing, parsing and every retry use this copy."""
+    found = stored_files(spark, paths)
+    return Snapshot(found.lines, found.splits, stage(found.files, "snapshot"))
 
 
 def live_hashes(spark: SparkSession, paths: list[str] | str) -> DataFrame:
