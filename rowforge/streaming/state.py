@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -90,31 +90,80 @@ def readiness_stream(observations: DataFrame, n: int = 3, late: str = "0 seconds
     )
 
 
+SHARES = 512  # state per share of the keys; as many calls to the state store, however many keys a batch has
+
+
+def _share(key: str) -> list[Column]:
+    """Share of a key, and whether it is known: null keys are one key, as in any grouping."""
+    return [F.pmod(F.xxhash64(key), F.lit(SHARES)).alias("share"), F.col(key).isNotNull().alias("known")]
+
+
+def _read(rows) -> np.ndarray:
+    """Rows of a binary state value."""
+    return np.zeros((0, 2), np.int64) if rows is None else np.frombuffer(rows[0], np.int64).reshape(-1, 2)
+
+
+def _write(state, rows: np.ndarray) -> None:
+    if len(rows):
+        state.update((rows.astype(np.int64).tobytes(),))
+    else:
+        state.clear()
+
+
 class Hold(StatefulProcessor):
     """Holds a job for a fixed time from its first event, by the clock, and lets it go without any later event.
 
-    A later event never restarts a hold; a released job is remembered for ``remember_ms`` and ignored meanwhile."""
+    A later event never restarts a hold; a released job is remembered for ``remember_ms`` and ignored meanwhile. A
+    job none of whose first events has a time has nothing to wait for and goes at once, without a time.
+
+    State belongs to a share of the jobs, as arrays: a call to the state store costs far more than a row."""
+
+    NO_TIME = np.iinfo(np.int64).max
 
     def __init__(self, seconds: float = 30, remember_ms: int = 60_000):
         self.ms, self.remember_ms = int(seconds * 1000), remember_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.taken = handle.getValueState("taken", "ms long")
-        self.gone = handle.getValueState("gone", "ms long", ttlDurationMs=self.remember_ms)
+        self.held = handle.getValueState("held", "rows binary")  # job, time taken
+        self.gone = handle.getValueState("gone", "rows binary")  # job, time until which it is remembered
+
+    def _due(self, held: np.ndarray) -> np.ndarray:
+        return np.where(held[:, 1] == self.NO_TIME, 0, held[:, 1] + self.ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = min(int(batch["taken_ms"].min()) for batch in rows)
-        if not self.taken.exists() and not self.gone.exists():
-            self.taken.update((first,))
-            self.handle.registerTimer(first + self.ms)
+        first = pd.concat(list(rows)).groupby("job_id")["taken_ms"].min()
+        new = np.column_stack([first.index.to_numpy(np.int64), first.to_numpy(np.int64)])
+        held, gone = _read(self.held.get()), _read(self.gone.get())
+        gone = gone[gone[:, 1] > timerValues.getCurrentProcessingTimeInMs()]
+        new = new[~np.isin(new[:, 0], held[:, 0]) & ~np.isin(new[:, 0], gone[:, 0])]
+        if len(new):
+            _write(self.held, np.concatenate([held, new]))
+            self.handle.registerTimer(max(1, int(self._due(new).min())))
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ms = self.taken.get()[0]
-        self.taken.clear()
-        self.gone.update((ms,))
-        yield pd.DataFrame({"job_id": [key[0]], "released_ms": [ms + self.ms]})
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held, gone = _read(self.held.get()), _read(self.gone.get())
+        due = self._due(held) <= now
+        kept, out, left = gone[gone[:, 1] > now], held[due], held[~due]
+        if len(out):
+            until = now + self.remember_ms
+            _write(self.held, left)
+            if len(left):
+                self.handle.registerTimer(int(self._due(left).min()))
+            if until > now:
+                kept = np.concatenate([kept, np.column_stack([out[:, 0], np.full(len(out), until)])])
+                self.handle.registerTimer(until)
+        if len(out) or len(kept) < len(gone):
+            _write(self.gone, kept)
+        if len(out):
+            released = pd.array(out[:, 1], "Int64")
+            released[out[:, 1] == self.NO_TIME] = pd.NA
+            jobs = pd.array(out[:, 0], "Int64")
+            if not key[1]:
+                jobs[:] = pd.NA
+            yield pd.DataFrame({"job_id": jobs, "released_ms": released + self.ms})
 
     def close(self) -> None:
         pass
@@ -122,8 +171,9 @@ class Hold(StatefulProcessor):
 
 def hold_stream(jobs: DataFrame, seconds: float = 30, remember_ms: int = 60_000) -> DataFrame:
     """(job_id, taken_at) → (job_id, released_ms) once the clock passes the hold; run it with ``runner.run_until``."""
-    timed = jobs.withColumn("taken_ms", F.unix_millis("taken_at"))
-    return timed.groupBy("job_id").transformWithStateInPandas(
+    taken = F.coalesce(F.unix_millis(F.col("taken_at").cast("timestamp")), F.lit(int(Hold.NO_TIME))).alias("taken_ms")
+    timed = jobs.select(*_share("job_id"), F.coalesce(F.col("job_id").cast("long"), F.lit(0)).alias("job_id"), taken)
+    return timed.groupBy("share", "known").transformWithStateInPandas(
         statefulProcessor=Hold(seconds, remember_ms), outputStructType="job_id long, released_ms long", outputMode="Append", timeMode="ProcessingTime",
     )
 

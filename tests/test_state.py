@@ -92,3 +92,17 @@ def test_hold_ends_by_the_clock_and_leaves_no_state(spark, tmp_path):
     taken = {r.job_id: int(r.taken_at.timestamp() * 1000) for r in jobs.groupBy("job_id").agg(F.min("taken_at").alias("taken_at")).collect()}
     assert sorted(r.job_id for r in got) == [0, 1, 2, 3]
     assert all(r.released_ms - taken[r.job_id] - 3000 in (-1, 0, 1) for r in got)
+
+
+def test_hold_runs_as_long_as_jobs_come_and_takes_nulls(spark, tmp_path):
+    R.use_rocksdb(spark)
+    folder = str(tmp_path / "in")
+    jobs = spark.range(5).select(F.when(F.col("id") < 4, F.col("id")).alias("job_id"), F.when(F.col("id") > 0, at(F.col("id") * SECOND)).alias("taken_at"))
+    jobs.repartition(5, "job_id").write.option("maxRecordsPerFile", 1).parquet(folder)
+    stream = spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    out = str(tmp_path / "out")
+    # five batches and more take longer in all than the time allowed without any change
+    R.run_until(H.hold_stream(stream, 3, remember_ms=500), out, str(tmp_path / "checkpoint"), seconds=5)
+    got = spark.read.schema("job_id long, released_ms long").parquet(out).collect()
+    assert {(r.job_id, r.released_ms) for r in got} == {(0, None), (1, 4000), (2, 5000), (3, 6000), (None, 7000)}
+    assert len(got) == 5
