@@ -65,15 +65,17 @@ def fixed_cells(line: Column, layout: list[Slot]) -> Column:
 
 
 def parse_fixed_width(lines: DataFrame, layout: list[Slot]) -> DataFrame:
-    """Only for files without a single pipe row; line 1 is skipped, Value1 must not be blank."""
+    """Only for files without a single pipe row; line 1 is skipped, Value1 must not be blank.
+
+    Cells are cut out before the files are compared, so no line is shuffled."""
     piped = lines.filter(~is_header_line(F.col("line")) & F.col("line").contains("|")).select("file").distinct()
-    return (
-        attach(lines, piped, ["file"], "left_anti")
-        .filter(F.col("line_no") > 1)
+    rows = (
+        lines.filter(F.col("line_no") > 1)
         .withColumn("cells", fixed_cells(F.col("line"), layout))
         .filter(non_blank(F.get("cells", F.lit(0))))
         .drop("line")
     )
+    return attach(rows, piped, ["file"], "left_anti")
 
 
 def parse_simple_csv(lines: DataFrame) -> DataFrame:
