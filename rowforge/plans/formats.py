@@ -40,6 +40,11 @@ def lines(t: Tables) -> DataFrame:
     return number_rows(rows, ["file"], ["p_partkey"], id_range(F.col("p_partkey")), out="line_no")
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Small rows dealt to all cores, by ``keys`` where given, before they become large or files; a scan's splits may hold less than they tell."""
+    return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def first_cells(df: DataFrame, n: int, *keep: str) -> DataFrame:
     return df.select(*keep, *[F.get("cells", F.lit(i)).alias(f"value{i + 1}") for i in range(n)])
 
@@ -221,8 +226,10 @@ def slice_overruns(t: Tables) -> DataFrame:
 )
 def parse_fixed_long(t: Tables) -> DataFrame:
     """A slot that begins after 6000 characters, and one past the end of the line."""
-    line = F.concat(F.rpad("p_name", 6500, " "), F.col("p_type"))
-    rows = t.part.select(F.col("p_brand").alias("file"), "p_partkey", F.lit(2).alias("line_no"), line.alias("line"))
+    padded = F.substring(F.concat("p_name", F.lit(" " * 6500)), 1, 6500)  # rpad puts its spaces in one by one
+    line = F.concat(padded, F.col("p_type"))
+    parts = dealt(t.part.select("p_brand", "p_partkey", "p_name", "p_type"))
+    rows = parts.select(F.col("p_brand").alias("file"), "p_partkey", F.lit(2).alias("line_no"), line.alias("line"))
     layout = [P.Slot(1, 30), P.Slot(6501, 40), P.Slot(9000, 10)]
     return first_cells(P.parse_fixed_width(rows, layout), 3, "file", "p_partkey")
 
