@@ -263,6 +263,8 @@ def charset_lines(t: Tables) -> DataFrame:
     # the text writer puts out the bytes of a string as they are
     coded = F.when(partner == "TIB", F.encode(text, "UTF-8")).otherwise(F.encode(text, P.DEFAULT_CHARSET)).cast("string")
     path = fresh_path(t.spark, "charsets")
-    t.supplier.select("s_suppkey", partner.alias("partner"), coded.alias("value")).write.partitionBy("partner", "s_suppkey").text(path)
+    # tasks write files of their own suppliers and put them in place themselves, not the driver one after the other
+    files = dealt(t.supplier.select("s_suppkey", partner.alias("partner"), coded.alias("value")), "partner", "s_suppkey")
+    files.write.option("mapreduce.fileoutputcommitter.algorithm.version", 2).partitionBy("partner", "s_suppkey").text(path)
     lines = P.read_lines(raw_lines(t.spark, path), partner=F.regexp_extract("file", "partner=([^/]+)", 1))
     return lines.select(F.regexp_extract("file", "s_suppkey=([0-9]+)", 1).cast("bigint").alias("s_suppkey"), "line_no", "line")
