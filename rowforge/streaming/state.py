@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -183,67 +184,78 @@ class Correlation(StatefulProcessor):
 
     A message is answered when the watermark says that no notice can come any more. Of equally near notices the
     earlier counts, then the smaller id. Without one it is an orphan; with one that came later it is out of
-    order. A notice stays while a message to come could reach it, so a key holds what arrives within twice the
-    reach, and one row leaves per message, however many notices there are."""
+    order. A notice stays while a message to come could reach it, so a share of the keys holds what arrives within
+    twice the reach, and one row leaves per message, however many notices there are."""
+
+    NOTICES, MESSAGES = ["business_key", "at_us", "id"], ["business_key", "at_us", "id", "kind"]
 
     def __init__(self, reach_us: int):
         self.reach_us = reach_us
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.notices = handle.getListState("notices", "at_us long, id long")
-        self.messages = handle.getListState("messages", "at_us long, id long, kind string")
+        self.notices = handle.getListState("notices", "rows binary")  # Arrow streams of NOTICES
+        self.messages = handle.getListState("messages", "rows binary")  # and of MESSAGES
 
     def _next(self, due_us: int) -> None:
         self.handle.registerTimer(_millis(due_us))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
-            found = batch[batch["kind"] == "notice"]
-            if len(found):
-                self.notices.appendList([(int(a), int(i)) for a, i in zip(found["at_us"], found["id"], strict=True)])
-                self._next(int(found["at_us"].min()) + 2 * self.reach_us)
-            asked = batch[batch["kind"] != "notice"]
-            if len(asked):
-                self.messages.appendList([(int(a), int(i), k) for a, i, k in zip(asked["at_us"], asked["id"], asked["kind"], strict=True)])
-                self._next(int(asked["at_us"].min()) + self.reach_us)
+            notice = batch["kind"] == "notice"
+            for state, found, names, reach in ((self.notices, batch[notice], self.NOTICES, 2), (self.messages, batch[~notice], self.MESSAGES, 1)):
+                if len(found):
+                    state.appendValue((_packed(found[names]),))
+                    self._next(int(found["at_us"].min()) + reach * self.reach_us)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed = timerValues.getCurrentWatermarkInMs() * 1000
-        notices, messages = sorted(self.notices.get()), sorted(self.messages.get())
-        due = [m for m in messages if m[0] + self.reach_us <= passed]
-        left = messages[len(due) :]
-        kept = [n for n in notices if n[0] + 2 * self.reach_us > passed]
-        if due:
-            yield self._answers(key[0], due, notices)
-        for state, rows, reach in ((self.messages, left, 1), (self.notices, kept, 2)):
-            if rows:
-                state.put(rows)
-                self._next(rows[0][0] + reach * self.reach_us)
+        notices, messages = _unpacked(self.notices.get(), self.NOTICES), _unpacked(self.messages.get(), self.MESSAGES)
+        due = messages["at_us"] + self.reach_us <= passed
+        kept = notices["at_us"] + 2 * self.reach_us > passed
+        if due.any():
+            yield self._answers(messages[due], notices.sort_values(self.NOTICES), bool(key[1]))
+        for state, stays, rows, reach in ((self.messages, ~due, messages, 1), (self.notices, kept, notices, 2)):
+            if stays.all():
+                continue
+            if stays.any():
+                state.put([(_packed(rows[stays]),)])
+                self._next(int(rows.loc[stays, "at_us"].min()) + reach * self.reach_us)
             else:
                 state.clear()
 
-    def _answers(self, key, due: list[tuple], notices: list[tuple]) -> pd.DataFrame:
-        asked = np.array([m[0] for m in due], np.int64)
+    def _answers(self, due: pd.DataFrame, notices: pd.DataFrame, known: bool) -> pd.DataFrame:
+        """Nearest notices of the messages ``due`` among ``notices``, which are in order."""
+        keys, at = (np.unique(np.concatenate([due[c], notices[c]])) for c in ("business_key", "at_us"))
+        place = lambda df: np.searchsorted(keys, df["business_key"]) * len(at) + np.searchsorted(at, df["at_us"])
+        there, asked = place(notices), place(due)
+        asked_at, asked_key = due["at_us"].to_numpy(), due["business_key"].to_numpy()
         best, gap = np.full(len(due), -1), np.full(len(due), self.reach_us + 1)
-        at = np.array([n[0] for n in notices], np.int64)
-        if len(at):
-            before = np.searchsorted(at, asked, "right") - 1
-            first = np.searchsorted(at, at, "left")  # of notices at one time the smallest id stands first
-            before = np.where(before >= 0, first[np.maximum(before, 0)], -1)
-            after = np.searchsorted(at, asked, "right")
-            for place in (before, after):
-                ok = (place >= 0) & (place < len(at))
-                d = np.where(ok, np.abs(asked - at[np.clip(place, 0, len(at) - 1)]), self.reach_us + 1)
+        notice_at, notice_key, ids = (notices[c].to_numpy() for c in ("at_us", "business_key", "id"))
+        if len(there):
+            after = np.searchsorted(there, asked, "right")
+            first = np.searchsorted(there, there, "left")  # of notices at one time the smallest id stands first
+            before = np.where(after > 0, first[np.maximum(after - 1, 0)], -1)
+            for near in (before, after):
+                row = np.clip(near, 0, len(there) - 1)
+                ok = (near >= 0) & (near < len(there)) & (notice_key[row] == asked_key)
+                d = np.where(ok, np.abs(asked_at - notice_at[row]), self.reach_us + 1)
                 nearer = d < gap
-                best, gap = np.where(nearer, place, best), np.where(nearer, d, gap)
-        found = [notices[b] if b >= 0 else None for b in best]
-        outcome = ["Orphan" if n is None else "OutOfOrder" if n[0] > m[0] else "InOrder" for n, m in zip(found, due, strict=True)]
+                best, gap = np.where(nearer, row, best), np.where(nearer, d, gap)
+        found = best >= 0
+        notice, late = pd.array(np.zeros(len(due), np.int64), "Int64"), np.zeros(len(due), bool)
+        notice[~found] = pd.NA
+        if found.any():
+            notice[found] = ids[best[found]]
+            late[found] = notice_at[best[found]] > asked_at[found]
+        key = pd.array(asked_key, "Int64")
+        if not known:
+            key[:] = pd.NA
         return pd.DataFrame(
             {
-                "business_key": key, "message_id": [m[1] for m in due], "kind": [m[2] for m in due],
-                "notice_id": pd.array([None if n is None else n[1] for n in found], "Int64"), "outcome": outcome,
+                "business_key": key, "message_id": due["id"].to_numpy(), "kind": due["kind"].to_numpy(),
+                "notice_id": notice, "outcome": np.where(~found, "Orphan", np.where(late, "OutOfOrder", "InOrder")),
             }
         )
 
@@ -251,12 +263,26 @@ class Correlation(StatefulProcessor):
         pass
 
 
+def _packed(rows: pd.DataFrame) -> bytes:
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema) as stream:
+        stream.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(values: Iterator[tuple], names: list[str]) -> pd.DataFrame:
+    found = [pa.ipc.open_stream(bytes(v[0])).read_pandas() for v in values]
+    return pd.concat(found, ignore_index=True) if found else pd.DataFrame({n: np.zeros(0, object if n == "kind" else np.int64) for n in names})
+
+
 def correlate_stream(events: DataFrame, reach_seconds: int, late: str) -> DataFrame:
     """(business_key long, kind in notice/confirm/cancel, id, at) → one row per message with its nearest notice and outcome.
 
-    Events may come in any order within ``late``."""
+    Events may come in any order within ``late``. State belongs to a share of the keys, as that of ``Hold``."""
     timed = events.withWatermark("at", late).withColumn("at_us", F.unix_micros("at"))
-    return timed.groupBy("business_key").transformWithStateInPandas(
+    shared = timed.select(*_share("business_key"), F.coalesce("business_key", F.lit(0)).alias("business_key"), "kind", "id", "at", "at_us")
+    return shared.groupBy("share", "known").transformWithStateInPandas(
         statefulProcessor=Correlation(reach_seconds * 1_000_000),
         outputStructType="business_key long, message_id long, kind string, notice_id long, outcome string", outputMode="Append", timeMode="EventTime",
     )
