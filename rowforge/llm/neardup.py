@@ -195,8 +195,8 @@ def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
     """a < b with the number of orders in which they are candidates."""
     near = neighbours(forest(classes.withColumn("met", F.lit(0).cast("long")), trees))
     near = stage(near, "neighbours")
-    ends = near.select(F.explode(F.array("a", "b")).alias("id"), "trees")
-    met = ends.groupBy("id").agg((-F.sum("trees")).alias("met"))
+    side = lambda c: near.groupBy(F.col(c).alias("id")).agg(F.sum("trees").alias("n"))
+    met = side("a").unionByName(side("b")).groupBy("id").agg((-F.sum("n")).alias("met"))
     star = hubs(forest(classes.join(met, "id"), trees)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("trees"))
     return near.unionByName(star).groupBy("a", "b").agg(F.sum("trees").alias("trees"))
 
@@ -245,7 +245,8 @@ def left_over(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in ``pairs``, and of few others."""
-    marks = Marks(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    side = lambda c: pairs.select(F.col(c).alias("id")).distinct()
+    marks = Marks(stage(side("a").unionByName(side("b")).distinct(), "ids"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     return select(rows, F.col("doc_id"), marks, True).select("doc_id", "text")
 
@@ -276,6 +277,14 @@ def merged(known: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, per
     return stage(final.unionByName(alone), "components")
 
 
+def best_of(pairs: DataFrame) -> DataFrame:
+    """a, b: for each end of ``pairs`` (a, b, trees) the pair of most orders, then of the smallest ids. Each side is grouped before they meet."""
+    most = F.max(F.struct("trees", (-F.col("a")).alias("a"), (-F.col("b")).alias("b"))).alias("p")
+    side = lambda c: pairs.groupBy(F.col(c).alias("v")).agg(most)
+    best = side("a").unionByName(side("b")).groupBy("v").agg(F.max("p").alias("p"))
+    return best.select((-F.col("p.a")).alias("a"), (-F.col("p.b")).alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, trees: int = TREES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and set digest (a, b) of every row.
 
@@ -289,8 +298,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     named = classes.where("id IS NOT NULL")
     pairs = stage(candidates(named.select("id", "minima"), trees), "candidates")
     texts = stage(texts_of(docs, pairs), "texts")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("v"), "a", "b", "trees")
-    best = ends.groupBy("v").agg(F.max_by(F.struct("a", "b"), F.struct("trees", -F.col("a"), -F.col("b"))).alias("p")).select("p.a", "p.b").distinct()
+    best = best_of(pairs)
     first = components(confirmed(stage(best, "best"), texts, words, percent))
     first = stage(first, "components")
     of = lambda c: first.select(F.col("id").alias(c), F.col("component").alias(f"_{c}"))
