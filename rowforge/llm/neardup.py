@@ -13,9 +13,10 @@ Links are confirmed on full shingle sets: first the best candidate of every clas
 component change nothing, every candidate that still joins two components.
 
 The forest only saves work; what it misses is found exactly. The shingles of a class are ranked, rarest first, by
-hashed counts. Two sets of the asked likeness have ``need`` shingles in common among the first of both, as many
-first ones as their sizes ask for. Classes of different components that do, and that lengths and ranks don't
-rule out, are confirmed as well. Of a shingle that a large component holds, only the other classes meet all."""
+hashed counts. The first shingle that two sets of the asked likeness share stands early in both: at most as many
+others precede it as the pair may leave unshared. Classes of different components meet by that shingle only; of one
+that a large component holds, only the other classes meet all. Such pairs have ``need`` shingles in common among the
+first of both; those that do, and that lengths and ranks don't rule out, are confirmed as well."""
 
 from __future__ import annotations
 
@@ -201,54 +202,74 @@ def candidates(classes: DataFrame, trees: int = TREES) -> DataFrame:
     return near.unionByName(star).groupBy("a", "b").agg(F.sum("trees").alias("trees"))
 
 
-def left_over(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """a, b, _a, _b: every pair of different components among ``sets`` (id, n, first, component) that may be ``percent`` alike.
+def meeting(sets: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, _a, _b: pairs of different components among ``sets`` (id, n, first), once for each shingle that may be the rarest they share.
 
-    Both sides are checked by the pair's rarest shingles, their number, sizes and what follows the last of them."""
+    ``known`` (id, component) has the components; other sets are their own. Where I is the least intersection of sets
+    of sizes n and m that are ``percent`` alike, the rarest shared one has at most n - I shingles of its set before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data = [np.frombuffer(b.as_py(), np.int64) for b in batch.column(2)]
-            size = np.array([len(d) for d in data], np.int64)
-            if not size.sum():
-                continue
             n = np.asarray(batch.column(1)).astype(np.int64)
-            most, need = first_ones(n, percent, True)
+            (small, need), (large, most) = first_ones(n, percent, True), first_ones(n, percent, False)
+            early, size = small - need, large - most + 1
+            data = [np.frombuffer(b.as_py(), np.int64)[:m] for b, m in zip(batch.column(2), size.tolist(), strict=True)]
+            if not len(data):
+                continue
             row = np.repeat(np.arange(len(size)), size)
             rank = np.arange(len(row)) - (np.cumsum(size) - size)[row]
             shingle = np.concatenate(data)
             for a in range(0, len(row), 1 << 16):
                 own, k = row[a : a + (1 << 16)], rank[a : a + (1 << 16)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(shingle[a : a + (1 << 16)]), batch.column(0).take(pa.array(own)), pa.array(n[own]), pa.array(k), pa.array(need[own]), pa.array(k < most[own]), batch.column(3).take(pa.array(own))],
-                    names=["g", "id", "n", "rank", "need", "early", "c"],
+                    [pa.array(shingle[a : a + (1 << 16)]), batch.column(0).take(pa.array(own)), pa.array(n[own]), pa.array(k), pa.array(k <= early[own]), batch.column(3).take(pa.array(own))],
+                    names=["g", "id", "n", "rank", "early", "c"],
                 )
 
-    firsts = sets.select("id", "n", "first", "component").mapInArrow(run, "g long, id long, n long, rank long, need long, early boolean, c long")
+    named = sets.join(known, "id", "left").select("id", "n", "first", F.coalesce("component", "id").alias("component"))
+    firsts = named.mapInArrow(run, "g long, id long, n long, rank long, early boolean, c long")
     ends = firsts.groupBy("g").agg(F.min("c").alias("_low"), F.max("c").alias("_high")).where("_low < _high").select("g")
     met = stage(attach(firsts, ends, ["g"], "inner"), "shared")
     sizes = met.groupBy("g", "c").agg(F.count(F.lit(1)).alias("k"))
     major = sizes.groupBy("g").agg(F.max_by("c", F.struct("k", "c")).alias("_major"))
     told = stage(attach(met, major, ["g"]).withColumn("minor", F.expr("c <> _major")).drop("_major"), "shared")
     x, y = told.where("early").alias("x"), told.alias("y")
-    least = F.expr(f"ceil({percent} * (x.n + y.n) / {100 + percent} - 1e-6)")
     fits = F.expr(f"x.g = y.g AND x.c <> y.c AND (x.n < y.n OR x.n = y.n AND x.id < y.id) AND 100 * x.n >= {percent} * y.n")
-    late = F.least(F.expr("x.n - x.rank"), F.expr("y.n - y.rank")) + F.expr("x.need") > least
-    of = lambda left, right: left.join(right, fits & late).select(
-        F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("_a"), F.col("y.c").alias("_b"), F.col("x.need").alias("need"), least.alias("least"),
-        F.expr("x.n - x.rank - 1").alias("rest_a"), F.expr("y.n - y.rank - 1").alias("rest_b"),
-    )
-    both = of(x.where("minor"), y).unionByName(of(x.where("NOT minor"), y.where("minor")))
-    found = both.groupBy("a", "b", "_a", "_b", "need", "least").agg(F.count(F.lit(1)).alias("k"), F.min(F.least("rest_a", "rest_b")).alias("rest"))
-    return found.where("k >= need AND k + rest >= least").select("a", "b", "_a", "_b").distinct()
+    first = F.expr(f"least(x.n - x.rank, y.n - y.rank) >= ceil({percent} * (x.n + y.n) / {100 + percent} - 1e-6)")
+    of = lambda left, right: left.join(right, fits & first).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.col("x.c").alias("_a"), F.col("y.c").alias("_b"))
+    return of(x.where("minor"), y).unionByName(of(x.where("NOT minor"), y.where("minor")))
+
+
+def left_over(sets: DataFrame, known: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """a, b, _a, _b: every pair of ``meeting`` that may be ``percent`` alike by the number of first shingles they share and by what follows the last of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (np.asarray(batch.column(k)).astype(np.int64) for k in ("n_a", "n_b"))
+            _, need = first_ones(n, percent, True)
+            least = -(-percent * (n + m) // (100 + percent))
+            fits = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column("first_a"), batch.column("first_b"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.int64)[: n[k] - least[k] + need[k]], np.frombuffer(y.as_py(), np.int64)[: m[k] - least[k] + need[k]]
+                shared, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+                fits[k] = len(shared) >= need[k] and len(shared) + min(n[k] - i.max() - 1, m[k] - j.max() - 1) >= least[k]
+            yield batch.select(["a", "b", "_a", "_b"]).filter(pa.array(fits))
+
+    pairs = stage(meeting(sets, known, percent).distinct(), "met")
+    few = stage(select(sets.select("id", "n", "first"), F.col("id"), ends_of(pairs), True).select("id", "n", "first"), "met-sets")
+    side = lambda c: few.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("first").alias(f"first_{c}"))
+    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, _a long, _b long")
+
+
+def ends_of(pairs: DataFrame) -> Marks:
+    side = lambda c: pairs.select(F.col(c).alias("id")).distinct()
+    return Marks(stage(side("a").unionByName(side("b")).distinct(), "ids"))
 
 
 def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, text of the documents in ``pairs``, and of few others."""
-    side = lambda c: pairs.select(F.col(c).alias("id")).distinct()
-    marks = Marks(stage(side("a").unionByName(side("b")).distinct(), "ids"))
     rows = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return select(rows, F.col("doc_id"), marks, True).select("doc_id", "text")
+    return select(rows, F.col("doc_id"), ends_of(pairs), True).select("doc_id", "text")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -305,8 +326,7 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT,
     told = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("_a", F.coalesce("_a", "a")).withColumn("_b", F.coalesce("_b", "b"))
     open_pairs = stage(told.where("_a <> _b").select("a", "b", "_a", "_b"), "open")
     second = merged(first, open_pairs, texts, words, percent)
-    sets = named.join(second, "id", "left").select("id", F.col("n_shingles").alias("n"), "first", F.coalesce("component", "id").alias("component"))
-    rest = stage(left_over(sets, percent), "rest")
+    rest = stage(left_over(named.select("id", F.col("n_shingles").alias("n"), "first"), second, percent), "rest")
     third = merged(second, rest, stage(texts_of(docs, rest), "texts"), words, percent)
     facts = named.join(third, "id", "left").select("a", "b", "n_shingles", F.coalesce("component", "id").alias("_component"))
     found = attach(full.drop("minima", "first"), facts, ["a", "b", "n_shingles"])

@@ -50,3 +50,33 @@ def test_best_pair_of_each_end(spark):
     want = {max((p for p in pairs if v in p), key=lambda p: (pairs[p], -p[0], -p[1])) for v in ends}
     assert sorted(map(tuple, got.collect())) == sorted(want)
     assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def edited_copies(n, edits):
+    """Copies of one text, each with its own new words, far apart: near copies that are not alike enough, with all of the text's other shingles in common."""
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(100)]
+    for i in range(n):
+        copy, shift = list(base), rng.randrange(96 // edits - 4)
+        for k in range(edits):
+            copy[4 + shift + k * (96 // edits)] = f"x{i}x{k}"
+        yield i, " ".join(copy)
+
+
+def test_near_copies_below_the_likeness_do_not_meet_in_pairs(spark):
+    docs = spark.createDataFrame(list(edited_copies(400, 3)), "doc_id long, text string")
+    sets = neardup.describe(docs).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "first")
+    alone = spark.createDataFrame([], "id long, component long")
+    assert neardup.meeting(sets, alone).count() <= 400  # all 79,800 pairs share most of their shingles
+    assert neardup.left_over(sets, alone).count() == 0
+
+
+def test_pairs_that_only_the_exact_way_finds(spark):
+    rows = list(edited_copies(300, 3))
+    rows += [(1000 + i, text + " and more") for i, text in rows[::10]]  # two more shingles
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = neardup.describe(docs).select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "first")
+    shingles = {i: {tuple(t.split()[k : k + 4]) for k in range(len(t.split()) - 3)} for i, t in rows}
+    alike = {(i, j) for i in shingles for j in shingles if i != j and 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])}
+    got = {(r.a, r.b) for r in neardup.left_over(sets, spark.createDataFrame([], "id long, component long")).collect()}
+    assert len(alike) >= 60 and alike <= got | {(b, a) for a, b in got}
