@@ -71,7 +71,7 @@ def import_batch(path: str, rules: list[tuple[str, str]], configs: DataFrame, sh
         source = stage(attach(rows, jobs, ["_path"], "inner").withColumn("row_number", F.col("row_number").cast("long")).select(*source_schema(rules).fieldNames()), "source-rows")
         totals = source.groupBy("file_job_id").agg(F.count(F.lit(1)).alias("total_rows"))
         size = F.ceil(F.col("total_rows") / shares)
-        shared = attach(source, totals, ["file_job_id"]).withColumn("_share", F.floor((F.col("row_number") - 1) / size))
+        shared = stage(attach(source, totals, ["file_job_id"]).withColumn("_share", F.floor((F.col("row_number") - 1) / size)), "shares")  # joined once, read for every share
         for share in range(shares):
             part = shared.where(F.col("_share") == share).select(*source.columns)
             append_once(part, f"{path}/source", batch_id * shares + share, KEY, PARTS)

@@ -1,5 +1,6 @@
 """What must not grow with the size of a line, a table's number of row groups, or the pairs of a group."""
 
+import datetime
 import random
 import re
 
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from rowforge.llm import neardup
 from rowforge.plans.formats import dealt
+from rowforge.plans.intake import RULES
 from rowforge.sources import lines as P
+from rowforge.streaming import chain
 from rowforge.streaming.state import Correlation
 
 
@@ -80,3 +83,16 @@ def test_pairs_that_only_the_exact_way_finds(spark):
     alike = {(i, j) for i in shingles for j in shingles if i != j and 100 * len(shingles[i] & shingles[j]) >= 80 * len(shingles[i] | shingles[j])}
     got = {(r.a, r.b) for r in neardup.left_over(sets, spark.createDataFrame([], "id long, component long")).collect()}
     assert len(alike) >= 60 and alike <= got | {(b, a) for a, b in got}
+
+
+def test_shares_of_a_batch_are_read_not_joined_again(spark, tmp_path, monkeypatch):
+    folder = tmp_path / "orders"
+    folder.mkdir()
+    lines = [",".join(h for h, _ in RULES), *[",".join(f"v{k}" for _ in RULES) for k in range(5)]]
+    (folder / "a.csv").write_text("\n".join(lines) + "\n")
+    files = spark.createDataFrame([(f"file:{folder}/a.csv", "orders", datetime.datetime(2026, 1, 1))], "path string, folder string, mtime timestamp")
+    shares = []
+    monkeypatch.setattr(chain, "append_once", lambda rows, *_: shares.append(rows))
+    chain.import_batch(str(tmp_path / "chain"), RULES, spark.createDataFrame([("orders", 7)], "folder string, config_id long"), 2)(files, 0)
+    assert [sorted(r.row_number for r in s.collect()) for s in shares] == [[1, 2, 3], [4, 5]]
+    assert all("Join" not in s._jdf.queryExecution().optimizedPlan().toString() for s in shares)
