@@ -272,21 +272,22 @@ def texts_of(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return select(rows, F.col("doc_id"), ends_of(pairs), True).select("doc_id", "text")
 
 
+def alike(batches: Iterator[pa.RecordBatch], words: int = WORDS, percent: int = PERCENT) -> Iterator[pa.RecordBatch]:
+    """a, b of the rows (a, b, x, y) whose texts are ``percent`` alike. A short text may meet a long one, so both sides bound a piece."""
+    for batch in batches:
+        for at, to in T.pieces(batch.column(2), 1 << 21, beside=batch.column(3)):
+            n = to - at
+            x, y = (T.sets(*T.shingles(T.words(batch.column(k).slice(at, n)), words)) for k in (2, 3))
+            shared, union = T.overlap(x, y, n)
+            yield batch.select(["a", "b"]).slice(at, n).filter(pa.array((union > 0) & (100 * shared >= percent * union)))
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) whose full shingle sets satisfy ``100 * intersection >= percent * union``."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("x"))
     right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("y"))
     met = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "x", "y")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to in T.pieces(batch.column(2), 1 << 20):
-                n = to - at
-                x, y = (T.sets(*T.shingles(T.words(batch.column(k).slice(at, n)), words)) for k in (2, 3))
-                shared, union = T.overlap(x, y, n)
-                yield batch.select(["a", "b"]).slice(at, n).filter(pa.array((union > 0) & (100 * shared >= percent * union)))
-
-    return met.mapInArrow(run, "a long, b long")
+    return met.mapInArrow(lambda batches: alike(batches, words, percent), "a long, b long")
 
 
 def merged(known: DataFrame, pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:

@@ -55,9 +55,11 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def pieces(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16) -> Iterator[tuple[int, int]]:
-    """Ranges of at most ``rows`` rows whose bytes stay near ``most``, so that work arrays stay small. A longer row stands alone."""
+def pieces(column: pa.Array, most: int = 1 << 20, rows: int = 1 << 16, beside: pa.Array | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` rows whose bytes, with those of ``beside``, stay near ``most``, so that work arrays stay small. A longer row stands alone."""
     _, offsets = utf8(column)
+    if beside is not None:
+        offsets = offsets + utf8(beside)[1]
     at = 0
     while at < len(column):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)

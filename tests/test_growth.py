@@ -6,9 +6,11 @@ import re
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from rowforge.llm import neardup
+from rowforge.llm import text as T
 from rowforge.plans.formats import dealt
 from rowforge.plans.intake import RULES
 from rowforge.sources import lines as P
@@ -96,3 +98,15 @@ def test_shares_of_a_batch_are_read_not_joined_again(spark, tmp_path, monkeypatc
     chain.import_batch(str(tmp_path / "chain"), RULES, spark.createDataFrame([("orders", 7)], "folder string, config_id long"), 2)(files, 0)
     assert [sorted(r.row_number for r in s.collect()) for s in shares] == [[1, 2, 3], [4, 5]]
     assert all("Join" not in s._jdf.queryExecution().optimizedPlan().toString() for s in shares)
+
+
+def test_short_texts_beside_long_ones_are_compared_in_bounded_pieces(monkeypatch):
+    long = [" ".join(f"w{k}x{j}" for j in range(3000)) for k in range(300)]
+    short = [f"one two three four five {k}" for k in range(300)]
+    x, y = [*short, *long[:3], "a", None], [*long, *long[:3], long[0] + long[1], None]
+    sizes, words = [], T.words
+    monkeypatch.setattr(T, "words", lambda column: sizes.append(len(T.utf8(column)[0])) or words(column))
+    rows = pa.RecordBatch.from_arrays([pa.array(range(305)), pa.array(range(1000, 1305)), pa.array(x), pa.array(y)], names=["a", "b", "x", "y"])
+    got = [r["a"] for batch in neardup.alike(iter([rows])) for r in batch.to_pylist()]
+    assert got == [300, 301, 302]
+    assert sum(map(len, long)) > 6e6 and max(sizes) <= 1 << 21  # each text is far below that
