@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowforge.functions.arrays import present
 from rowforge.functions.keys import archive_path
+from rowforge.operators.ordered import number_rows
+from rowforge.session import ends_with_session, fresh_path, stage
 from rowforge.sinks.publish import Files
 
+MOVED = "path string, archive_path string, archive_status string, reason string"
+
 
 def archive_status(live: DataFrame, snapshot: DataFrame, key: str = "file_job_id") -> DataFrame:
     """Equal bytes may be archived; changed bytes stay for a person to decide.
@@ -54,9 +60,10 @@ def move_files(plan: DataFrame, most: int = 10_000) -> DataFrame:
     rows = plan.select("path", "archive_path").distinct().limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} files in one batch of moves")
-    out = []
+    out, systems = [], {}
     for path, target in rows:
-        files, reason = Files(spark, path), None
+        system, reason = re.match(r"([^/:]+:)?(//[^/]*)?", path).group(), None
+        files = systems[system] = systems.get(system) or Files(spark, path)
         there, moved = files.exists(path), files.exists(target)
         if there and moved:
             reason = "TargetExists"
@@ -68,7 +75,26 @@ def move_files(plan: DataFrame, most: int = 10_000) -> DataFrame:
         elif not moved:
             reason = "SourceMissing"
         out.append((path, target, "ArchiveFailed" if reason else "Archived", reason))
-    return spark.createDataFrame(out, "path string, archive_path string, archive_status string, reason string")
+    return spark.createDataFrame(out, MOVED)
+
+
+def move_batches(plan: DataFrame, most: int = 10_000) -> DataFrame:
+    """Carry out the moves of any number of files, as ``move_files`` in batches of at most ``most``, one after the other.
+
+    The plan is written down first, so it stays what it was while files move, and numbered by a hash of its rows; the
+    driver holds one batch. What a batch did is written down behind it. A run that breaks is repeated as a whole: files
+    of the batches before the fault lie at their targets, which ``move_files`` tells from a place that is taken."""
+    spark = plan.sparkSession
+    rows = stage(plan.select("path", "archive_path").distinct(), "moves").withColumn("_hash", F.xxhash64("path", "archive_path"))
+    numbered = number_rows(rows, [], ["_hash", "path", "archive_path"], F.shiftright("_hash", 52))
+    dealt = stage(numbered.select("path", "archive_path", F.floor((F.col("row_number") - 1) / most).alias("batch")), "batches")
+    batches = dealt.agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+    place = fresh_path(spark, "moved")
+    spark.createDataFrame([], MOVED).write.parquet(place)  # there may be no batch
+    for k in range(batches):
+        move_files(dealt.where(F.col("batch") == k), most).write.mode("append").parquet(place)
+    ends_with_session(spark, place)
+    return spark.read.schema(MOVED).parquet(place)
 
 
 def pending_finalization(jobs: DataFrame) -> DataFrame:

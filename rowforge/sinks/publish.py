@@ -25,10 +25,11 @@ class Files:
     def __init__(self, spark: SparkSession, folder: str):
         self.jvm, self.conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         self.gateway = spark.sparkContext._gateway
+        self.kind = self.jvm.org.apache.hadoop.fs.Path  # looked up once: each part of the name asks the JVM
         self.fs = self.path(folder).getFileSystem(self.conf)
 
     def path(self, text: str):
-        return self.jvm.org.apache.hadoop.fs.Path(text)
+        return self.kind(text)
 
     def exists(self, path: str) -> bool:
         return self.fs.exists(self.path(path))
@@ -55,17 +56,17 @@ class Files:
 
     def join(self, parts: list[str], path: str) -> None:
         """Append ``parts`` to the file at ``path`` in order."""
-        kind = self.gateway.new_array(self.jvm.org.apache.hadoop.fs.Path, len(parts))
+        sources = self.gateway.new_array(self.kind, len(parts))
         for k, part in enumerate(parts):
-            kind[k] = self.path(part)
+            sources[k] = self.path(part)
         if self.fs.getScheme() == "hdfs":
-            self.fs.concat(self.path(path), kind)
+            self.fs.concat(self.path(path), sources)
             return
         head = self.path(path + ".head")
         self.fs.delete(head, False)
         self.fs.rename(self.path(path), head)
         out = self.fs.create(self.path(path), True)
-        for part in [head, *kind]:
+        for part in [head, *sources]:
             source = self.fs.open(part)
             self.jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, out, BUFFER, False)
             source.close()
